@@ -218,8 +218,10 @@ starts AS (
   FROM (SELECT *, sum(CASE WHEN tok = ' ,' THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY pos) AS seps
         FROM ruled) r JOIN lens USING (series_id) GROUP BY 1),
 nlls AS (
-  SELECT series_id, n_val, lens.scale AS scale, CASE WHEN val_start IS NULL THEN 'no_validation_start' ELSE 'ok' END AS status,
-         -sum(CASE WHEN pos >= val_start THEN logprob - ln(1 - extra) END) / n_val AS nll
+  SELECT series_id, n_val, lens.scale AS scale, CASE WHEN val_start IS NULL THEN 'no_validation_start'
+              WHEN max(extra) FILTER (WHERE pos >= val_start) >= 1 THEN 'unusable_token' ELSE 'ok' END AS status,
+         CASE WHEN max(extra) FILTER (WHERE pos >= val_start) < 1 THEN
+           -sum(CASE WHEN pos >= val_start THEN logprob - ln(CASE WHEN extra < 1 THEN 1 - extra END) END) / n_val END AS nll
   FROM scored JOIN starts USING (series_id) JOIN lens USING (series_id)
   GROUP BY series_id, n_val, lens.scale, val_start)""",
     ]

@@ -3,21 +3,22 @@
 from numerale.functions.columns import by_key, key_columns, require_columns
 from numerale.functions.dates import week_end
 from numerale.functions.digits import (
-    chunk_text,
     decimal_digits,
     decode_chunk,
-    digit_array,
-    digit_text,
     ensure_terminated,
-    greedy_digits,
     overflows,
+    signed_chunk,
+    spaced_digits,
     split_chunks,
     token_array,
+    token_codes,
     token_count,
+    token_of_code,
+    with_greedy_digits,
 )
 
 __all__ = [
-    "by_key", "key_columns", "require_columns", "week_end", "chunk_text", "decimal_digits",
-    "decode_chunk", "digit_array", "digit_text", "ensure_terminated", "greedy_digits",
-    "overflows", "split_chunks", "token_array", "token_count",
+    "by_key", "key_columns", "require_columns", "week_end", "decimal_digits", "decode_chunk", "ensure_terminated",
+    "overflows", "signed_chunk", "spaced_digits", "split_chunks", "token_array", "token_codes", "token_count",
+    "token_of_code", "with_greedy_digits",
 ]

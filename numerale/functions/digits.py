@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from numerale.functions.columns import column
@@ -55,52 +55,40 @@ def decimal_digits(z: Column | str, fmt: TextFormat, prec: Column | int | None =
     )
 
 
-def greedy_digits(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:
-    """Divide, truncate and subtract per position in float64, as an array of digits."""
-    base = float(fmt.base)
-    powers = [base**k for k in range(fmt.int_digits - 1, -1, -1)]
-    powers += [base**-k for k in range(1, MAX_PREC + 1)]
-    used = F.slice(F.array(*map(F.lit, powers)), F.lit(1), F.lit(fmt.int_digits) + _prec(fmt, prec))
-    start = F.struct(_size(z).alias("rest"), F.array().cast("array<bigint>").alias("digits"))
-
-    def take_digit(state: Column, power: Column) -> Column:
-        digit = (state["rest"] / power).cast("bigint")
-        return F.struct(
-            (state["rest"] - digit * power).alias("rest"),
-            F.concat(state["digits"], F.array(digit)).alias("digits"),
-        )
-
-    return F.aggregate(used, start, take_digit)["digits"]
-
-
-def _without_leading_zeros(digits: Column) -> Column:
-    first = F.array_position(F.transform(digits, lambda d: d != 0), True)
-    return F.when(first == 0, F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.slice(digits, F.greatest(first, F.lit(1)).cast("int"), F.size(digits))
-    )
-
-
-def digit_array(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:
-    """Digits of ``|z|`` without leading zeros, ARRAY<STRING>; zero is one 0."""
-    if fmt.digit_mode == "greedy":
-        digits = _without_leading_zeros(greedy_digits(z, fmt, prec)).cast("array<string>")
-        return F.when(~is_missing(column(z)), digits)
-    return F.split(decimal_digits(z, fmt, prec), "")
+def with_greedy_digits(df: DataFrame, col: str, fmt: TextFormat, prec: Column | int | None = None) -> DataFrame:
+    """Divide, truncate and subtract per position in float64: adds ``_d0``, ``_d1``, … and a spaced text ``_spaced``.
 
-
-def digit_text(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:
-    """Digits run together, e.g. 1.23 -> '1230'."""
-    if fmt.digit_mode == "greedy":
-        return F.array_join(digit_array(z, fmt, prec), "")
-    return decimal_digits(z, fmt, prec)
-
-
-def chunk_text(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:
-    """One time step as text: sign, then every digit led by ``bit_sep``; NULL -> the missing marker."""
+    One select whose columns build on each other, which Spark turns into a
+    chain of projections compiled together.  The first digit may exceed 9.
+    """
+    base = float(fmt.base)
+    places = fmt.prec if prec is None else prec if isinstance(prec, int) else MAX_PREC
+    powers = [base**k for k in range(fmt.int_digits - 1, -1, -1)] + [base**-k for k in range(1, places + 1)]
+    columns, pieces, rest = [_size(col).alias("_r0")], [], F.col("_r0")
+    for k, power in enumerate(powers):
+        digit = F.col(f"_d{k}")
+        columns += [(rest / power).cast("bigint").alias(f"_d{k}"), (rest - digit * power).alias(f"_r{k + 1}")]
+        rest = F.col(f"_r{k + 1}")
+        piece = F.concat(F.lit(fmt.bit_sep), digit.cast("string"))
+        if isinstance(prec, Column) and k >= fmt.int_digits:
+            piece = F.when(prec > k - fmt.int_digits, piece).otherwise(F.lit(""))
+        pieces.append(piece)
+    zeros = f"^(?:{_quoted(fmt.bit_sep + '0')})+(?={_quoted(fmt.bit_sep) if fmt.bit_sep else '.'})"
+    columns.append(F.regexp_replace(F.concat(*pieces), zeros, "").alias("_spaced"))
+    kept = [*df.columns, "_spaced"]
+    return df.select("*", *columns).select(*kept)
+
+
+def spaced_digits(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:
+    """Decimal digits of ``|z|``, each led by ``bit_sep``."""
+    return F.concat(F.lit(fmt.bit_sep), F.array_join(F.split(decimal_digits(z, fmt, prec), ""), fmt.bit_sep))
+
+
+def signed_chunk(z: Column | str, spaced: Column, fmt: TextFormat) -> Column:
+    """One time step as text: the sign before its digits; a missing value is the marker alone."""
     z = column(z)
     sign = F.when(z < 0, F.lit(fmt.minus_sign)).otherwise(F.lit(fmt.plus_sign))
-    digits = F.concat(F.lit(fmt.bit_sep), F.array_join(digit_array(z, fmt, prec), fmt.bit_sep))
-    return F.when(is_missing(z), F.lit(fmt.missing_str)).otherwise(F.concat(sign, digits))
+    return F.when(is_missing(z), F.lit(fmt.missing_str)).otherwise(F.concat(sign, spaced))
 
 
 def ensure_terminated(text: Column | str, fmt: TextFormat) -> Column:
@@ -111,10 +99,7 @@ def ensure_terminated(text: Column | str, fmt: TextFormat) -> Column:
 def token_array(chunk: Column | str, fmt: TextFormat) -> Column:
     """Tokens of one chunk and its separator: sign, one per digit, time_sep."""
     chunk = column(chunk)
-    negative = chunk.startswith(fmt.minus_sign)
-    body = F.when(negative, F.substring(chunk, len(fmt.minus_sign) + 1, 1 << 30)).otherwise(
-        F.substring(chunk, len(fmt.plus_sign) + 1, 1 << 30)
-    )
+    negative, body = _signed_body(chunk, fmt)
     pieces = F.split(body, f"(?={_quoted(fmt.bit_sep)})" if fmt.bit_sep else "")
     plus = F.array(F.lit(fmt.plus_sign)) if fmt.plus_sign else F.array().cast("array<string>")
     sign = F.when(negative, F.array(F.lit(fmt.minus_sign))).otherwise(plus)
@@ -124,6 +109,37 @@ def token_array(chunk: Column | str, fmt: TextFormat) -> Column:
     )
 
 
+def _signed_body(chunk: Column, fmt: TextFormat) -> tuple[Column, Column]:
+    """Whether a chunk is negative, and what follows its sign."""
+    negative = chunk.startswith(fmt.minus_sign)
+    after = F.when(negative, len(fmt.minus_sign) + 1).otherwise(len(fmt.plus_sign) + 1)
+    return negative, F.substring(chunk, after, F.length(chunk))
+
+
+def token_codes(chunk: Column | str, fmt: TextFormat) -> Column:
+    """Tokens of one chunk and its separator as a text of one character each (``fmt.codes``).
+
+    Tokens outside the vocabulary (digits beyond the base) become '?'.
+    """
+    chunk, codes = column(chunk), fmt.codes
+    if fmt.base <= 10 and fmt.digit_mode == "decimal":
+        negative, body = _signed_body(chunk, fmt)
+        sign = F.when(negative, codes[fmt.minus_sign]).otherwise(codes.get(fmt.plus_sign, ""))
+        digits = F.replace(body, F.lit(fmt.bit_sep), F.lit("")) if fmt.bit_sep else body
+        text = F.when(chunk == fmt.missing_str, F.lit(codes[fmt.missing_str])).otherwise(F.concat(sign, digits))
+        return F.concat(text, F.lit(codes[fmt.time_sep]))
+    known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    return F.array_join(
+        F.transform(token_array(chunk, fmt), lambda t: F.coalesce(F.try_element_at(known, t), F.lit("?"))), ""
+    )
+
+
+def token_of_code(code: Column, fmt: TextFormat) -> Column:
+    """The token behind one character; NULL stays NULL."""
+    known = F.create_map(*[F.lit(x) for tok, c in fmt.codes.items() for x in (c, tok)])
+    return F.when(code.isNotNull(), F.coalesce(F.try_element_at(known, code), F.lit("?")))
+
+
 def token_count(text: Column | str, fmt: TextFormat) -> Column:
     """Tokens of a text whose pieces each begin with one space.
 
@@ -148,17 +164,25 @@ def split_chunks(text: Column | str, fmt: TextFormat) -> Column:
 
 
 def decode_chunk(chunk: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:
-    """One chunk back to a number, half a bin added; NULL when it is malformed."""
-    chunk = column(chunk)
-    negative = chunk.startswith(fmt.minus_sign)
-    body = F.when(negative, F.substring(chunk, len(fmt.minus_sign) + 1, 1 << 30)).otherwise(
-        F.substring(chunk, len(fmt.plus_sign) + 1, 1 << 30)
-    )
+    """One chunk back to a number, half a bin added; NULL when it is malformed.
+
+    Malformed is whatever has a piece that is not an integer.  A piece may
+    hold several digits or its own minus, so the general way weighs each
+    piece by its place; plain single digits are read as one number.
+    """
+    negative, body = _signed_body(column(chunk), fmt)
     body = F.regexp_replace(body, r"^\s+|\s+$", "")
-    bits = F.split(body, _quoted(fmt.bit_sep), -1) if fmt.bit_sep else F.split(body, "")
-    valid = F.forall(bits, lambda b: b.rlike(r"^-?[0-9]+\z"))
-    # try_cast: the branch is only reached for digits, but ANSI casts may be evaluated early
-    whole = F.aggregate(bits, F.lit(0.0), lambda a, b: a * float(fmt.base) + b.try_cast("double"))
+    gap = _quoted(fmt.bit_sep)
+    bits = F.split(body, gap, -1) if fmt.bit_sep else F.split(body, "")
+    # try_cast: the branches are only reached for digits, but ANSI casts may be evaluated early
+    weighed = F.aggregate(bits, F.lit(0.0), lambda a, b: a * float(fmt.base) + b.try_cast("double"))
+    piece = "-?[0-9]+"
+    valid = body.rlike(f"^{piece}(?:{gap}{piece})*\\z" if fmt.bit_sep else r"^[0-9]+\z")
+    whole = F.when(valid, weighed)
+    if fmt.base == 10:
+        joined = F.replace(body, F.lit(fmt.bit_sep), F.lit("")) if fmt.bit_sep else body
+        plain = body.rlike(f"^[0-9](?:{gap}[0-9])*\\z" if fmt.bit_sep else r"^[0-9]+\z")
+        whole = F.when(plain, joined.try_cast("double")).otherwise(whole)
     unit = _unit(fmt, prec)
     size = whole / unit + (F.lit(0.5) / unit if fmt.half_bin else F.lit(0.0))
-    return F.when(valid, F.when(negative, -size).otherwise(size))
+    return F.when(negative, -size).otherwise(size)

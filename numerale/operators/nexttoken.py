@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from numerale.functions import by_key, key_columns, require_columns, token_array
+from numerale.functions import by_key, key_columns, require_columns, token_array, token_codes, token_of_code
 from numerale.settings import HEADROOM, REQUEST_SEED, TOKEN_BIAS, TextFormat
 
 ORDER = 2
@@ -74,37 +74,45 @@ def complete_with(
 # --- the stand-in -----------------------------------------------------------------------------
 
 
-def context_tokens(chunk_rows: DataFrame, fmt: TextFormat) -> DataFrame:
-    """One row per token with the two tokens before it (``p2``, ``p1``) and its position ``pos``.
+def code_lines(chunk_rows: DataFrame, fmt: TextFormat) -> DataFrame:
+    """Replace ``chunk`` by ``codes``, one character per token, and add ``line``: the two characters before it, then it.
 
     The window runs over steps, not tokens: every step ends with a separator,
-    so the two tokens before a step are all that has to cross from one to the next.
+    so two characters are all that has to cross from one step to the next.
     """
     require_columns(chunk_rows, "i", "chunk")
-    carried = [c for c in chunk_rows.columns if c != "chunk"]
     order = by_key(chunk_rows).orderBy("i")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    # the windows below sort rows that still hold the short chunk text, not token arrays
-    rows = chunk_rows.withColumns(
-        {
-            "_before": F.lag("chunk").over(order),
-            "_start": F.coalesce(F.sum(F.size(token_array("chunk", fmt))).over(earlier), F.lit(0)),
-        }
-    ).withColumn("_toks", token_array("chunk", fmt))
-    tail = F.coalesce(F.slice(token_array("_before", fmt), -ORDER, ORDER), F.array().cast("array<string>"))
-    rows = rows.withColumn("_line", F.concat(tail, F.col("_toks"))).withColumn(
-        "_lead", F.size("_line") - F.size("_toks")
-    )
+    rows = chunk_rows.withColumn("codes", token_codes("chunk", fmt)).drop("chunk")
+    before = F.coalesce(F.substring(F.lag("codes").over(order), -ORDER, ORDER), F.lit(""))
+    return rows.withColumn("line", F.concat(before, "codes"))
+
+
+def code_position() -> Column:
+    """Place in ``line`` (from 1) of each token of the step: one row per token."""
+    return F.explode(F.sequence(F.length("line") - F.length("codes") + 1, F.length("line")))
 
-    def entry(tok: Column, j: Column) -> Column:
-        return F.struct(
-            F.get("_line", j + F.col("_lead") - 2).alias("p2"),
-            F.get("_line", j + F.col("_lead") - 1).alias("p1"),
-            tok.alias("tok"),
-        )
 
-    return rows.select(*carried, "_start", F.posexplode(F.transform("_toks", entry)).alias("j", "e")).select(
-        *carried, "j", (F.col("_start") + F.col("j")).cast("int").alias("pos"), "e.p2", "e.p1", "e.tok"
+def context_tokens(chunk_rows: DataFrame, fmt: TextFormat) -> DataFrame:
+    """One row per token with the two tokens before it (``p2``, ``p1``) and its position ``pos``."""
+    carried = [c for c in chunk_rows.columns if c != "chunk"]
+    lines = code_lines(chunk_rows, fmt)
+    earlier = by_key(chunk_rows).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("codes")).over(earlier), F.lit(0))
+    at = lines.withColumn("_start", start).select(*carried, "_start", "line", "codes", code_position().alias("_at"))
+    lead = F.length("line") - F.length("codes")
+    j = F.col("_at") - lead - 1
+
+    def token(back: int) -> Column:
+        there = F.when(F.col("_at") > back, F.substring("line", F.col("_at") - back, F.lit(1)))
+        return token_of_code(there, fmt)
+
+    return at.select(
+        *carried,
+        j.alias("j"),
+        (F.col("_start") + j).cast("int").alias("pos"),
+        token(2).alias("p2"),
+        token(1).alias("p1"),
+        token(0).alias("tok"),
     )
 
 
@@ -166,47 +174,47 @@ def _token_index(tok: Column | str, fmt: TextFormat) -> Column:
 
 
 def sampling_tables(model: DataFrame, fmt: TextFormat) -> DataFrame:
-    """Per series, the counts as one array indexed by context, each entry a list of (token, weight).
+    """Per series, ``counts[context][token]`` as one nested array.
 
-    Bounded by the vocabulary: at most |V|^2 entries of |V| tokens.  Tokens a
-    request does not allow (the missing marker) are left out.
+    Bounded by the vocabulary: |V|^2 + 1 contexts of |V| counts.  Tokens a
+    request does not allow (the missing marker) stay 0.  A context that was
+    never seen is NULL; the last entry, token counts alone, stands in for it.
     """
     keys = key_columns(model)
     size = len(fmt.vocabulary)
-    allowed = model.where(F.col("tok").isin(fmt.allowed_tokens()))
     context = _token_index(F.col("p2"), fmt) * size + _token_index(F.col("p1"), fmt)
-    rows = allowed.select(*keys, context.alias("ctx"), _token_index(F.col("tok"), fmt).alias("t"), "c")
-    # entry size * size is the fallback for a context that was never seen: token counts alone
-    rows = rows.select(*keys, F.explode(F.array("ctx", F.lit(size * size))).alias("ctx"), "t", "c")
-    rows = rows.groupBy(*keys, "ctx", "t").agg(F.sum("c").alias("c"))
-    lists = rows.groupBy(*keys, "ctx").agg(F.array_sort(F.collect_list(F.struct("t", "c"))).alias("nexts"))
-    table = F.map_from_entries(F.collect_list(F.struct("ctx", "nexts")))
-    return lists.groupBy(*keys).agg(table.alias("_m")).select(
-        *keys,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(size * size)), lambda k: F.try_element_at("_m", k)
-        ).alias("nexts"),
+    rows = model.where(F.col("tok").isin(fmt.allowed_tokens())).select(
+        *keys, F.explode(F.array(context, F.lit(size * size))).alias("ctx"), _token_index(F.col("tok"), fmt).alias("t"), "c"
     )
+    counts = F.array(*[F.coalesce(F.sum(F.when(F.col("t") == k, F.col("c"))), F.lit(0)) for k in range(size)])
+    by_context = rows.groupBy(*keys, "ctx").agg(counts.alias("counts"))
+    table = F.map_from_entries(F.collect_list(F.struct("ctx", "counts")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size * size)), lambda k: F.try_element_at("_m", k))
+    return by_context.groupBy(*keys).agg(table.alias("_m")).select(*keys, dense.alias("counts"))
 
 
-def _cumulative(nexts: Column, temperature: Column) -> Column:
-    """(token, cumulative weight) per entry; weight = (count / highest count) ^ (1 / temperature)."""
+def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time, through a one-element array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def one(entry: Column) -> Column:
-        top = F.array_max(F.transform(entry, lambda x: x["c"]))
 
-        def weight(x: Column) -> Column:
-            share = x["c"].cast("double") / top
-            cold = F.when(x["c"] == top, F.lit(1.0)).otherwise(F.lit(0.0))
-            return F.when(temperature > 0, F.pow(share, F.lit(1.0) / F.nullif(temperature, F.lit(0.0)))).otherwise(cold)
+def _cumulative(counts: Column, temperature: Column) -> Column:
+    """Cumulative weights per context; weight = (count / highest count) ^ (1 / temperature)."""
 
-        def add(acc: Column, x: Column) -> Column:
-            so_far = F.coalesce(F.try_element_at(acc, F.lit(-1))["w"], F.lit(0.0))
-            return F.array_append(acc, F.struct(x["t"].alias("t"), (so_far + weight(x)).alias("w")))
+    def weight(c: Column, top: Column) -> Column:
+        cold = F.when(c == top, F.lit(1.0)).otherwise(F.lit(0.0))
+        exponent = F.lit(1.0) / F.nullif(temperature, F.lit(0.0))
+        return F.when(temperature > 0, F.pow(c.cast("double") / top, exponent)).otherwise(cold)
 
-        return F.aggregate(entry, F.array().cast("array<struct<t:int,w:double>>"), add)
+    def one(entry: Column) -> Column:
+        weights = bound_once(F.array_max(entry), lambda top: F.transform(entry, lambda c: weight(c, top)))
+        return F.aggregate(
+            weights,
+            F.array().cast("array<double>"),
+            lambda acc, w: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + w),
+        )
 
-    return F.transform(nexts, one)
+    return F.transform(counts, one)
 
 
 def sample_completions(model: DataFrame, requests: DataFrame, fmt: TextFormat) -> DataFrame:
@@ -223,33 +231,31 @@ def sample_completions(model: DataFrame, requests: DataFrame, fmt: TextFormat) -
     tail = F.slice(token_array(last_chunk, fmt), -ORDER, ORDER)
     ready = (
         requests.join(sampling_tables(model, fmt), keys)
-        .withColumn("cum", _cumulative(F.col("nexts"), F.col("temperature")))
+        .withColumn("cum", _cumulative(F.col("counts"), F.col("temperature")))
         .withColumn("ctx", _token_index(F.get(tail, F.lit(0)), fmt) * size + _token_index(F.get(tail, F.lit(1)), fmt))
         .select(*keys, "max_tokens", "n_samples", "seed", "cum", "ctx")
         .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.col("n_samples") - 1)))
     )
-    start = F.struct(F.col("ctx").alias("ctx"), F.lit("").alias("text"))
+    start = F.struct(F.col("ctx").alias("ctx"), F.array().cast("array<int>").alias("drawn"))
 
     def draw(state: Column, k: Column) -> Column:
         options = F.coalesce(F.get("cum", state["ctx"]), F.get("cum", F.lit(size * size)))
         bits = F.xxhash64(*keys, "sample_id", k, "seed").bitwiseAND(F.lit((1 << 53) - 1))
         level = bits.cast("double") / float(1 << 53)
 
-        def pick(entry: Column) -> Column:
-            bound = level * F.element_at(entry, -1)["w"]
-            return F.get(F.filter(entry, lambda x: x["w"] > bound), F.lit(0))["t"]
+        def pick(cum: Column) -> Column:
+            # the token's index is the number of cumulative weights not above the level
+            bound = level * F.element_at(cum, -1)
+            return bound_once(bound, lambda u: F.size(F.filter(cum, lambda w: w <= u)))
 
         def step(t: Column) -> Column:
             return F.struct(
-                ((state["ctx"] % size) * size + t).alias("ctx"),
-                F.concat(state["text"], F.get(words, t)).alias("text"),
+                ((state["ctx"] % size) * size + t).alias("ctx"), F.array_append(state["drawn"], t).alias("drawn")
             )
 
-        # going through one-element arrays binds the options and the drawn token once
-        drawn = F.transform(F.array(options), pick)
-        return F.element_at(F.transform(drawn, step), 1)
+        return bound_once(bound_once(options, pick), step)
 
-    text = F.when(
-        F.col("max_tokens") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest("max_tokens", F.lit(1))), start, draw)["text"]
-    ).otherwise(F.lit(""))
+    positions = F.sequence(F.lit(1), F.greatest("max_tokens", F.lit(1)))
+    drawn = F.slice(F.aggregate(positions, start, draw)["drawn"], F.lit(1), F.greatest("max_tokens", F.lit(0)))
+    text = F.array_join(F.transform(drawn, lambda t: F.get(words, t)), "")
     return ready.select(*keys, "sample_id", text.alias("text"))

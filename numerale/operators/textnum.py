@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from numerale.functions import (
-    chunk_text,
+    decimal_digits,
     decode_chunk,
-    digit_text,
     key_columns,
     overflows,
     require_columns,
+    signed_chunk,
+    spaced_digits,
     split_chunks,
+    with_greedy_digits,
 )
 from numerale.operators.scaling import scaled
 from numerale.settings import TextFormat
@@ -24,8 +26,13 @@ def prec_of(df: DataFrame) -> Column | None:
 
 
 def digits(df: DataFrame, fmt: TextFormat, col: str = "z") -> DataFrame:
-    """Add the digit text of a scaled value and whether it outgrew the integer positions."""
-    return df.withColumns({"digits": digit_text(col, fmt, prec_of(df)), "overflow": overflows(col, fmt)})
+    """Add the digits of a scaled value, run together, and whether it outgrew the integer positions."""
+    prec, overflow = prec_of(df), overflows(col, fmt)
+    if fmt.digit_mode == "greedy":
+        spaced = with_greedy_digits(df, col, fmt, prec)
+        text = F.replace("_spaced", F.lit(fmt.bit_sep), F.lit("")) if fmt.bit_sep else F.col("_spaced")
+        return spaced.withColumns({"digits": text, "overflow": overflow}).drop("_spaced")
+    return df.withColumns({"digits": decimal_digits(col, fmt, prec), "overflow": overflow})
 
 
 def encode(df: DataFrame, fmt: TextFormat) -> DataFrame:
@@ -36,7 +43,10 @@ def encode(df: DataFrame, fmt: TextFormat) -> DataFrame:
 
 def chunks(df: DataFrame, fmt: TextFormat, col: str = "z") -> DataFrame:
     """Add the text of one step to every row."""
-    return df.withColumn("chunk", chunk_text(col, fmt, prec_of(df)))
+    if fmt.digit_mode == "greedy":
+        spaced = with_greedy_digits(df, col, fmt, prec_of(df))
+        return spaced.withColumn("chunk", signed_chunk(col, F.col("_spaced"), fmt)).drop("_spaced")
+    return df.withColumn("chunk", signed_chunk(col, spaced_digits(col, fmt, prec_of(df)), fmt))
 
 
 def joined_chunks(fmt: TextFormat, kept: Column | None = None) -> Column:

@@ -8,10 +8,10 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from numerale.functions import key_columns, require_columns
+from numerale.functions import key_columns, require_columns, token_of_code
 from numerale.operators.calendar import split_holdout
 from numerale.operators.likelihood import bin_correction
-from numerale.operators.nexttoken import context_tokens, smoothed_logprob
+from numerale.operators.nexttoken import code_lines, code_position, smoothed_logprob
 from numerale.operators.scaling import attach_grid_scalers, grid_literal
 from numerale.plans.prepare import marked_chunks
 from numerale.settings import CONTEXT_TOKENS, STEP_MULTIPLIER, TextFormat
@@ -42,7 +42,7 @@ def evaluate_grid(
     """``scores(series_id, pid, alpha, beta, prec, temp, nlld, status)`` under the offline model.
 
     Same numbers as scoring every validation token and summing, but the sum
-    runs over distinct (context, token) pairs: one count per pair holds how
+    runs over distinct (context, token) pairs: two counts per pair hold how
     often it occurs in the training text and in the validation text, and that
     is all the likelihood needs.  After the series has been laid out by
     ``series_id`` no further shuffle is needed.
@@ -55,20 +55,28 @@ def evaluate_grid(
     rows = attach_grid_scalers(marked, grid, fit_on=train)
     chunks = marked_chunks(rows, fmt, True, val_steps, context, multiplier, within=train)
     kept = chunks.where((F.col("i") >= F.col("cut")) | ~train)
-    pairs = (
-        context_tokens(kept.select("series_id", "pid", "i", "chunk", "split", "scale", "cut", "n_val"), fmt)
-        .groupBy("series_id", "pid", "p2", "p1", "tok")
+    lines = code_lines(kept.select("series_id", "pid", "i", "chunk", "scale", "cut", "n_val", train.alias("train")), fmt)
+    # a token and up to two before it as one short text; fewer than three characters only where a text begins
+    first = F.greatest(F.col("_at") - 2, F.lit(1))
+    gram = F.substring("line", first, F.col("_at") - first + 1)
+    grams = (
+        lines.select("*", code_position().alias("_at"))
+        .groupBy("series_id", "pid", gram.alias("gram"))
         .agg(
-            F.count_if(train & F.col("p2").isNotNull()).alias("c"),
-            F.count_if(~train).alias("v"),
+            F.count_if("train").alias("c"),
+            F.count_if(~F.col("train")).alias("v"),
             # the same for all tokens of a key: carried, not computed
             F.max("scale").alias("scale"),
             F.max("cut").alias("cut"),
             F.max("n_val").alias("n_val"),
         )
+        .withColumn("context", F.substring("gram", F.lit(1), F.length("gram") - 1))
+        .withColumn("tok", token_of_code(F.right("gram", F.lit(1)), fmt))
+        # tokens without a full context are scored but not learned from
+        .withColumn("c", F.when(F.length("gram") == 3, F.col("c")).otherwise(0))
     )
-    same_context = Window.partitionBy("series_id", "pid", "p2", "p1")
-    ranked = pairs.withColumns(
+    same_context = Window.partitionBy("series_id", "pid", "context")
+    ranked = grams.withColumns(
         {
             "total": F.sum("c").over(same_context),
             "rank": F.row_number().over(same_context.orderBy(F.desc("c"), "tok")),

@@ -75,3 +75,10 @@ class TextFormat:
     def vocabulary(self) -> list[str]:
         """Every token the serialiser can write: the allowed ones and the missing marker."""
         return list(dict.fromkeys([*self.allowed_tokens(), self.missing_str]))
+
+    @property
+    def codes(self) -> dict[str, str]:
+        """One character per vocabulary token, so that a text can be cut by position."""
+        marks = {self.time_sep: ",", self.minus_sign: "-", self.plus_sign: "+", self.missing_str: "N"}
+        named = {t: str(d) if d < 10 else chr(0x100 + d) for d, t in enumerate(self.digit_tokens)}
+        return {t: named.get(t) or marks[t] for t in self.vocabulary}
