@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from numerale.functions.columns import column
+from numerale.functions.columns import bound_once, column
 from numerale.settings import DIGIT_TOLERANCE, MAX_PREC, TextFormat
 
 _EXACT_LONG = 1e18
@@ -160,7 +160,7 @@ def token_count(text: Column | str, fmt: TextFormat) -> Column:
 def split_chunks(text: Column | str, fmt: TextFormat) -> Column:
     """Chunks of a completion: split, drop empty ones, then always drop the last."""
     filled = F.filter(F.split(column(text), _quoted(fmt.time_sep), -1), lambda p: F.length(p) > 0)
-    return F.slice(filled, F.lit(1), F.greatest(F.size(filled) - 1, F.lit(0)))
+    return bound_once(filled, lambda f: F.slice(f, F.lit(1), F.greatest(F.size(f) - 1, F.lit(0))))
 
 
 def decode_chunk(chunk: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:

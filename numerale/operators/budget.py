@@ -6,6 +6,8 @@ sort instead of re-tokenising every suffix.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +92,7 @@ def truncation_report(marked: DataFrame) -> DataFrame:
     return marked.groupBy(*key_columns(marked)).agg(*_report())
 
 
-def prompts(marked: DataFrame, fmt: TextFormat) -> DataFrame:
-    """The report with the text itself."""
-    require_columns(marked, "i", "cut", "n_tok", "chunk")
-    return marked.groupBy(*key_columns(marked)).agg(*_report(fmt))
+def prompts(marked: DataFrame, fmt: TextFormat, carry: Sequence[str] = ()) -> DataFrame:
+    """The report with the text itself; ``carry`` names columns that are constant within a series."""
+    require_columns(marked, "i", "cut", "n_tok", "chunk", *carry)
+    return marked.groupBy(*key_columns(marked)).agg(*_report(fmt), *[F.max(c).alias(c) for c in carry])

@@ -7,13 +7,13 @@ language model would answer.  Own a model?  Use ``complete_with``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from numerale.functions import by_key, key_columns, require_columns, token_array, token_codes, token_of_code
+from numerale.functions import bound_once, by_key, key_columns, require_columns, token_array, token_codes, token_of_code
 from numerale.settings import HEADROOM, REQUEST_SEED, TOKEN_BIAS, TextFormat
 
 ORDER = 2
@@ -32,8 +32,12 @@ def build_requests(
     temperature: Column | float = 1.0,
     n_samples: int = 10,
     seed: int = REQUEST_SEED,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One request per prompt; the answer's length follows from the tokens per step."""
+    """One request per prompt; the answer's length follows from the tokens per step.
+
+    ``carry`` names further columns of ``prepared`` to pass along.
+    """
     require_columns(prepared, "prompt", "avg_tokens", "status")
     temp = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
     max_tokens = F.floor(F.col("avg_tokens") * F.lit(n_steps) * F.lit(HEADROOM)).cast("int")
@@ -45,6 +49,7 @@ def build_requests(
         F.lit(n_samples).alias("n_samples"),
         F.lit(seed).cast("bigint").alias("seed"),
         token_bias(fmt).alias("bias"),
+        *carry,
     )
 
 
@@ -193,11 +198,6 @@ def sampling_tables(model: DataFrame, fmt: TextFormat) -> DataFrame:
     return by_context.groupBy(*keys).agg(table.alias("_m")).select(*keys, dense.alias("counts"))
 
 
-def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed a single time, through a one-element array."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _cumulative(counts: Column, temperature: Column) -> Column:
     """Cumulative weights per context; weight = (count / highest count) ^ (1 / temperature)."""
 
@@ -217,7 +217,9 @@ def _cumulative(counts: Column, temperature: Column) -> Column:
     return F.transform(counts, one)
 
 
-def sample_completions(model: DataFrame, requests: DataFrame, fmt: TextFormat) -> DataFrame:
+def sample_completions(
+    model: DataFrame, requests: DataFrame, fmt: TextFormat, carry: Sequence[str] = ()
+) -> DataFrame:
     """Draw the requested number of texts of ``max_tokens`` tokens: ``(…, sample_id, text)``.
 
     Every draw is a hash of (series, sample, position, seed), so the result
@@ -233,7 +235,7 @@ def sample_completions(model: DataFrame, requests: DataFrame, fmt: TextFormat) -
         requests.join(sampling_tables(model, fmt), keys)
         .withColumn("cum", _cumulative(F.col("counts"), F.col("temperature")))
         .withColumn("ctx", _token_index(F.get(tail, F.lit(0)), fmt) * size + _token_index(F.get(tail, F.lit(1)), fmt))
-        .select(*keys, "max_tokens", "n_samples", "seed", "cum", "ctx")
+        .select(*keys, *carry, "max_tokens", "n_samples", "seed", "cum", "ctx")
         .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.col("n_samples") - 1)))
     )
     start = F.struct(F.col("ctx").alias("ctx"), F.array().cast("array<int>").alias("drawn"))
@@ -258,4 +260,4 @@ def sample_completions(model: DataFrame, requests: DataFrame, fmt: TextFormat) -
     positions = F.sequence(F.lit(1), F.greatest("max_tokens", F.lit(1)))
     drawn = F.slice(F.aggregate(positions, start, draw)["drawn"], F.lit(1), F.greatest("max_tokens", F.lit(0)))
     text = F.array_join(F.transform(drawn, lambda t: F.get(words, t)), "")
-    return ready.select(*keys, "sample_id", text.alias("text"))
+    return ready.select(*keys, *carry, "sample_id", text.alias("text"))

@@ -55,11 +55,10 @@ def joined_chunks(fmt: TextFormat, kept: Column | None = None) -> Column:
     The order comes from sorting inside the aggregate; a group is one series,
     bounded by the calendar and, after truncation, by the token budget.
     """
-    step = F.struct("i", "chunk")
+    step = F.struct("i", F.concat("chunk", F.lit(fmt.time_sep)).alias("text"))
     # collect_list leaves out NULL, so rows that are not kept take no memory
     steps = F.array_sort(F.collect_list(step if kept is None else F.when(kept, step)))
-    text = F.array_join(F.transform(steps, lambda s: s["chunk"]), fmt.time_sep)
-    return F.when(F.size(steps) > 0, F.concat(text, F.lit(fmt.time_sep))).otherwise(F.lit(""))
+    return F.array_join(F.transform(steps, lambda s: s["text"]), "")
 
 
 def series_string(chunk_rows: DataFrame, fmt: TextFormat) -> DataFrame:

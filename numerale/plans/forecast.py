@@ -41,9 +41,7 @@ def request_rows(
     require_columns(series, "series_id", "i", "y")
     if best is None and len(grid) != 1:
         raise ValueError("a grid of several points needs the best point per series")
-    rows = attach_grid_scalers(series, grid, fit_on)
-    if best is not None:
-        rows = rows.join(best.select("series_id", "pid"), ["series_id", "pid"])
+    rows = attach_grid_scalers(series, grid, fit_on, best)
     # one grid point per series from here on: series_id alone is the key
     return marked_chunks(rows.drop("pid"), fmt, True, n_steps, context, multiplier)
 
@@ -64,17 +62,18 @@ def forecast_samples(
     absent, the offline next-token model draws them.
     """
     marked = request_rows(series, fmt, grid, best, fit_on, n_steps)
-    parameters = marked.groupBy("series_id").agg(
-        *[F.max(c).alias(c) for c in ("offset", "scale", "prec", "temp")]
-    )
+    parameters = ("offset", "scale", "prec")
+    prepared = prompts(marked, fmt, (*parameters, "temp"))
     if completions is None:
         kept = marked.where(F.col("i") >= F.col("cut")).select("series_id", "i", "chunk")
-        temperature = marked.groupBy("series_id").agg(F.max("temp").alias("temp"))
-        prepared = prompts(marked, fmt).join(temperature, "series_id")
-        requests = build_requests(prepared, fmt, n_steps, F.col("temp"), n_samples)
-        completions = sample_completions(fit_next_token(context_tokens(kept, fmt)), requests, fmt)
-    decoded = decode_completions(completions.join(parameters, "series_id"), fmt)
-    return clip_samples(decoded).select("series_id", "sample_id", "step", unscaled("z").alias("x"))
+        model = fit_next_token(context_tokens(kept, fmt))
+        requests = build_requests(prepared, fmt, n_steps, F.col("temp"), n_samples, carry=parameters)
+        answers = sample_completions(model, requests, fmt, parameters)
+    else:
+        answers = completions.join(prepared.select("series_id", *parameters), "series_id")
+    return clip_samples(decode_completions(answers, fmt)).select(
+        "series_id", "sample_id", "step", unscaled("z").alias("x")
+    )
 
 
 def forecast(series: DataFrame, fmt: TextFormat = TextFormat(), **options) -> DataFrame:

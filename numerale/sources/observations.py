@@ -52,7 +52,9 @@ def as_series(
     One id column keeps its type, so grouping runs on the native key; several
     become a struct, which cannot collide the way joined text can.  NaN is
     turned into NULL here, once, because NaN would win every ``max``.
-    Rows without a time belong to no week and are left out.
+    Rows without a time or an id belong to no step of any series and are left
+    out; said here, the filter is the same in every use of the series, so that
+    Spark can share one scan and shuffle between them.
     """
     if not id_cols:
         raise ValueError("need at least one id column")
@@ -68,6 +70,7 @@ def as_series(
         return F.col(name)
 
     out = ["value"] if len(names) == 1 else names
-    return df.where(F.col(ts_col).isNotNull()).select(
+    bound = df.select(
         series_id.alias("series_id"), F.col(ts_col).alias("ts"), *[value(n).alias(o) for n, o in zip(names, out)]
     )
+    return bound.where(F.col("ts").isNotNull() & F.col("series_id").isNotNull())
