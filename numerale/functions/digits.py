@@ -15,6 +15,9 @@ from numerale.settings import DIGIT_TOLERANCE, MAX_PREC, TextFormat
 
 _EXACT_LONG = 1e18
 
+#: Columns that refer to earlier ones of the same select cost one analyzer pass each, and passes are limited.
+_POSITIONS_PER_SELECT = 10
+
 
 def _quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
@@ -56,27 +59,27 @@ def decimal_digits(z: Column | str, fmt: TextFormat, prec: Column | int | None =
 
 
 def with_greedy_digits(df: DataFrame, col: str, fmt: TextFormat, prec: Column | int | None = None) -> DataFrame:
-    """Divide, truncate and subtract per position in float64: adds ``_d0``, ``_d1``, … and a spaced text ``_spaced``.
+    """Divide, truncate and subtract per position in float64: adds the digits as text, ``_spaced``.
 
-    One select whose columns build on each other, which Spark turns into a
+    Selects whose columns build on each other, which Spark turns into a
     chain of projections compiled together.  The first digit may exceed 9.
     """
     base = float(fmt.base)
     places = fmt.prec if prec is None else prec if isinstance(prec, int) else MAX_PREC
     powers = [base**k for k in range(fmt.int_digits - 1, -1, -1)] + [base**-k for k in range(1, places + 1)]
-    columns, pieces, rest = [_size(col).alias("_r0")], [], F.col("_r0")
-    for k, power in enumerate(powers):
-        digit = F.col(f"_d{k}")
-        columns += [(rest / power).cast("bigint").alias(f"_d{k}"), (rest - digit * power).alias(f"_r{k + 1}")]
-        rest = F.col(f"_r{k + 1}")
-        piece = F.concat(F.lit(fmt.bit_sep), digit.cast("string"))
-        if isinstance(prec, Column) and k >= fmt.int_digits:
-            piece = F.when(prec > k - fmt.int_digits, piece).otherwise(F.lit(""))
-        pieces.append(piece)
+    rows, pieces = df.withColumn("_r0", _size(col)), []
+    for begin in range(0, len(powers), _POSITIONS_PER_SELECT):
+        columns = []
+        for k, power in list(enumerate(powers))[begin : begin + _POSITIONS_PER_SELECT]:
+            digit, rest = F.col(f"_d{k}"), F.col(f"_r{k}")
+            columns += [(rest / power).cast("bigint").alias(f"_d{k}"), (rest - digit * power).alias(f"_r{k + 1}")]
+            piece = F.concat(F.lit(fmt.bit_sep), digit.cast("string"))
+            if isinstance(prec, Column) and k >= fmt.int_digits:
+                piece = F.when(prec > k - fmt.int_digits, piece).otherwise(F.lit(""))
+            pieces.append(piece)
+        rows = rows.select("*", *columns)
     zeros = f"^(?:{_quoted(fmt.bit_sep + '0')})+(?={_quoted(fmt.bit_sep) if fmt.bit_sep else '.'})"
-    columns.append(F.regexp_replace(F.concat(*pieces), zeros, "").alias("_spaced"))
-    kept = [*df.columns, "_spaced"]
-    return df.select("*", *columns).select(*kept)
+    return rows.select(*df.columns, F.regexp_replace(F.concat(*pieces), zeros, "").alias("_spaced"))
 
 
 def spaced_digits(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:
@@ -173,6 +176,9 @@ def decode_chunk(chunk: Column | str, fmt: TextFormat, prec: Column | int | None
     negative, body = _signed_body(column(chunk), fmt)
     body = F.regexp_replace(body, r"^\s+|\s+$", "")
     gap = _quoted(fmt.bit_sep)
+    if fmt.bit_sep.strip():
+        # the separator before the first digit, where it is not white space
+        body = F.regexp_replace(body, f"^{gap}", "")
     bits = F.split(body, gap, -1) if fmt.bit_sep else F.split(body, "")
     # try_cast: the branches are only reached for digits, but ANSI casts may be evaluated early
     weighed = F.aggregate(bits, F.lit(0.0), lambda a, b: a * float(fmt.base) + b.try_cast("double"))

@@ -1,5 +1,5 @@
 from numerale.sources.observations import as_series, parse_time, read_observations, read_predictions, rejected_times
-from numerale.sources.responses import explode_logprobs, read_completions, read_token_logprobs
+from numerale.sources.responses import explode_logprobs, gather_logprobs, read_completions, read_token_logprobs
 from numerale.sources.sinks import write_table
 from numerale.sources.tables import (
     lineitem_by_supplier,
@@ -10,6 +10,6 @@ from numerale.sources.tables import (
 
 __all__ = [
     "as_series", "parse_time", "read_observations", "read_predictions", "rejected_times",
-    "explode_logprobs", "read_completions", "read_token_logprobs", "write_table",
+    "explode_logprobs", "gather_logprobs", "read_completions", "read_token_logprobs", "write_table",
     "lineitem_by_supplier", "load", "orders_by_priority", "orders_by_nation",
 ]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from numerale.functions import key_columns
+
 COMPLETIONS = "series_id STRING, pid INT, sample_id INT, text STRING"
 
 #: One row per scored text; the three arrays run in parallel and the first log-probability is NULL.
@@ -39,3 +41,16 @@ def explode_logprobs(responses: DataFrame) -> DataFrame:
         F.col("t.token_logprobs").alias("logprob"),
         F.col("t.top_logprobs").alias("top"),
     )
+
+
+def gather_logprobs(long: DataFrame) -> DataFrame:
+    """The inverse of ``explode_logprobs``: one row with parallel arrays per series (and grid point)."""
+    keys = key_columns(long)
+    # maps cannot be compared, so they travel as entries through the sort
+    steps = F.array_sort(F.collect_list(F.struct("pos", "tok", "logprob", F.map_entries("top").alias("top"))))
+    return long.groupBy(*keys).agg(steps.alias("t")).select(
+        *keys,
+        F.transform("t", lambda x: x["tok"]).alias("tokens"),
+        F.transform("t", lambda x: x["logprob"]).alias("token_logprobs"),
+        F.transform("t", lambda x: F.map_from_entries(x["top"])).alias("top_logprobs"),
+    )
