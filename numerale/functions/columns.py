@@ -32,6 +32,11 @@ def by_key(df: DataFrame) -> WindowSpec:
     return Window.partitionBy(*key_columns(df))
 
 
+def newest_first(df: DataFrame) -> WindowSpec:
+    """The steps of one series from the last one back."""
+    return by_key(df).orderBy(F.desc("i"))
+
+
 def column(value: Column | str | int | float) -> Column:
     """Strings name columns, numbers are literals, columns pass through."""
     if isinstance(value, Column):

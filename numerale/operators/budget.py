@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from numerale.functions import by_key, key_columns, require_columns, token_array, token_count
+from numerale.functions import by_key, key_columns, newest_first, require_columns, token_array, token_count
 from numerale.operators.textnum import joined_chunks
 from numerale.settings import CONTEXT_TOKENS, STEP_MULTIPLIER, TextFormat
 
@@ -30,19 +30,18 @@ def count_tokens(chunk_rows: DataFrame, fmt: TextFormat) -> DataFrame:
 def suffix_tokens(chunk_rows: DataFrame, within: Column | None = None) -> DataFrame:
     """Add, per step, the tokens (``suffix_tok``) and steps (``suffix_steps``) from there to the end.
 
-    A suffix is the total less what came before, so the rows stay in step
-    order and share their one sort with the next-token counts.
+    Running sums from the last step back; the next-token contexts read the
+    steps in the same direction, so both share one sort.
     """
     require_columns(chunk_rows, "i", "n_tok")
-    order = by_key(chunk_rows).orderBy("i")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def suffix(own: Column) -> Column:
-        own = own if within is None else F.when(within, own).otherwise(0)
-        return F.sum(own).over(whole) - F.sum(own).over(so_far) + own
-
-    return chunk_rows.withColumns({"suffix_tok": suffix(F.col("n_tok")), "suffix_steps": suffix(F.lit(1))})
+    to_end = newest_first(chunk_rows).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.lit(True) if within is None else within
+    return chunk_rows.withColumns(
+        {
+            "suffix_tok": F.sum(F.when(inside, F.col("n_tok")).otherwise(0)).over(to_end),
+            "suffix_steps": F.sum(F.when(inside, 1).otherwise(0)).over(to_end),
+        }
+    )
 
 
 def mark_budget(

@@ -22,11 +22,14 @@ def select_target(df: DataFrame, col: str, keys: Sequence[str] = ("series_id", "
     return require_columns(df, *keys, col).select(*keys, F.col(col).alias("value"))
 
 
-def _exact_mean(col: str, decimals: int | None) -> Column:
+def _mean(col: str, decimals: int | None) -> Column:
     if decimals is None:
         return F.avg(col)
-    # a decimal sum does not depend on the order of addition, so digits cut from it are stable
-    return F.sum(F.col(col).cast(f"decimal(18,{decimals})")).cast("double") / F.nullif(F.count(col), F.lit(0))
+    # sums of whole units do not depend on the order of addition, so digits cut from the mean are
+    # stable; a sum beyond the range of BIGINT is an error under ANSI, never a wrong number
+    unit = float(10**decimals)
+    total = F.sum(F.rint(F.col(col) * unit).cast("bigint")).cast("double") / unit
+    return total / F.nullif(F.count(col), F.lit(0))
 
 
 def resample_mean(
@@ -39,7 +42,7 @@ def resample_mean(
     """
     require_columns(observations, "series_id", "ts", *value_cols)
     names = ["y"] if len(value_cols) == 1 else list(value_cols)
-    means = [_exact_mean(c, decimals).alias(n) for c, n in zip(value_cols, names)]
+    means = [_mean(c, decimals).alias(n) for c, n in zip(value_cols, names)]
     return observations.groupBy("series_id", week_end("ts").alias("wk")).agg(*means)
 
 

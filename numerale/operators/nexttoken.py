@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from numerale.functions import bound_once, by_key, key_columns, require_columns, token_array, token_codes, token_of_code
+from numerale.functions import bound_once, key_columns, newest_first, require_columns, token_array, token_codes, token_of_code
 from numerale.settings import HEADROOM, REQUEST_SEED, TOKEN_BIAS, TextFormat
 
 ORDER = 2
@@ -86,9 +86,9 @@ def code_lines(chunk_rows: DataFrame, fmt: TextFormat) -> DataFrame:
     so two characters are all that has to cross from one step to the next.
     """
     require_columns(chunk_rows, "i", "chunk")
-    order = by_key(chunk_rows).orderBy("i")
     rows = chunk_rows.withColumn("codes", token_codes("chunk", fmt)).drop("chunk")
-    before = F.coalesce(F.substring(F.lag("codes").over(order), -ORDER, ORDER), F.lit(""))
+    # seen from the newest step, the step before is the one that follows
+    before = F.coalesce(F.substring(F.lead("codes").over(newest_first(rows)), -ORDER, ORDER), F.lit(""))
     return rows.withColumn("line", F.concat(before, "codes"))
 
 
@@ -101,8 +101,10 @@ def context_tokens(chunk_rows: DataFrame, fmt: TextFormat) -> DataFrame:
     """One row per token with the two tokens before it (``p2``, ``p1``) and its position ``pos``."""
     carried = [c for c in chunk_rows.columns if c != "chunk"]
     lines = code_lines(chunk_rows, fmt)
-    earlier = by_key(chunk_rows).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("codes")).over(earlier), F.lit(0))
+    order = newest_first(chunk_rows)
+    to_end = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    start = F.sum(F.length("codes")).over(whole) - F.sum(F.length("codes")).over(to_end)
     at = lines.withColumn("_start", start).select(*carried, "_start", "line", "codes", code_position().alias("_at"))
     lead = F.length("line") - F.length("codes")
     j = F.col("_at") - lead - 1

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerale.functions import key_columns, require_columns, token_of_code
+from numerale.functions import key_columns, require_columns
 from numerale.operators.calendar import split_holdout
 from numerale.operators.likelihood import bin_correction
-from numerale.operators.nexttoken import code_lines, code_position, smoothed_logprob
+from numerale.operators.nexttoken import ORDER, code_lines, code_position, smoothed_logprob
 from numerale.operators.scaling import attach_grid_scalers, grid_literal
 from numerale.plans.prepare import marked_chunks
 from numerale.settings import CONTEXT_TOKENS, STEP_MULTIPLIER, TextFormat
@@ -42,10 +42,10 @@ def evaluate_grid(
     """``scores(series_id, pid, alpha, beta, prec, temp, nlld, status)`` under the offline model.
 
     Same numbers as scoring every validation token and summing, but the sum
-    runs over distinct (context, token) pairs: two counts per pair hold how
-    often it occurs in the training text and in the validation text, and that
-    is all the likelihood needs.  After the series has been laid out by
-    ``series_id`` no further shuffle is needed.
+    runs over distinct contexts: how often each token follows a context in the
+    training text and in the validation text is all the likelihood needs.
+    After the series has been laid out by ``series_id`` no further shuffle is
+    needed, and the counting is hash aggregation without a sort.
 
     The temperature is carried along; it does not change log-probabilities.
     """
@@ -56,44 +56,40 @@ def evaluate_grid(
     chunks = marked_chunks(rows, fmt, True, val_steps, context, multiplier, within=train)
     kept = chunks.where((F.col("i") >= F.col("cut")) | ~train)
     lines = code_lines(kept.select("series_id", "pid", "i", "chunk", "scale", "cut", "n_val", train.alias("train")), fmt)
-    # a token and up to two before it as one short text; fewer than three characters only where a text begins
-    first = F.greatest(F.col("_at") - 2, F.lit(1))
-    gram = F.substring("line", first, F.col("_at") - first + 1)
-    grams = (
+    at = F.col("_at")
+    first = F.greatest(at - ORDER, F.lit(1))
+    tok, context = F.substring("line", at, F.lit(1)), F.substring("line", first, at - first)
+    # the same for all tokens of a key: carried, not computed
+    carried = [F.max(c).alias(c) for c in ("scale", "cut", "n_val")]
+    words, codes = [*fmt.codes, "?"], [*fmt.codes.values(), "?"]
+    pairs = (
         lines.select("*", code_position().alias("_at"))
-        .groupBy("series_id", "pid", gram.alias("gram"))
-        .agg(
-            F.count_if("train").alias("c"),
-            F.count_if(~F.col("train")).alias("v"),
-            # the same for all tokens of a key: carried, not computed
-            F.max("scale").alias("scale"),
-            F.max("cut").alias("cut"),
-            F.max("n_val").alias("n_val"),
-        )
-        .withColumn("context", F.substring("gram", F.lit(1), F.length("gram") - 1))
-        .withColumn("tok", token_of_code(F.right("gram", F.lit(1)), fmt))
+        .groupBy("series_id", "pid", context.alias("context"), tok.alias("tok"))
+        .agg(F.count_if("train").alias("c"), F.count_if(~F.col("train")).alias("v"), *carried)
         # tokens without a full context are scored but not learned from
-        .withColumn("c", F.when(F.length("gram") == 3, F.col("c")).otherwise(0))
+        .withColumn("c", F.when(F.length("context") == ORDER, F.col("c")).otherwise(0))
     )
-    same_context = Window.partitionBy("series_id", "pid", "context")
-    ranked = grams.withColumns(
-        {
-            "total": F.sum("c").over(same_context),
-            "rank": F.row_number().over(same_context.orderBy(F.desc("c"), "tok")),
-        }
-    ).withColumn("logprob", smoothed_logprob(F.col("c"), F.col("total"), fmt))
-    odd = (F.col("rank") <= 5) & (F.col("c") > 0) & ~F.col("tok").isin(fmt.allowed_tokens(scoring=True))
-    extra = F.lit(0.0) if not fmt.bit_sep else F.sum(F.when(odd, F.exp("logprob")).otherwise(0.0)).over(same_context)
-    adjusted = ranked.withColumn("extra", extra).withColumn(
-        "adjusted",
-        F.when(F.col("extra") < 1.0, F.col("logprob").cast("float").cast("double") - F.ln(1.0 - F.col("extra"))),
+    counts = (
+        pairs.groupBy("series_id", "pid", "context")
+        .agg(
+            *[F.sum(F.when(F.col("tok") == x, F.col("c")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(codes)],
+            *[F.sum(F.when(F.col("tok") == x, F.col("v")).otherwise(0)).alias(f"v{k}") for k, x in enumerate(codes)],
+            F.sum("c").alias("seen"),
+            F.sum("v").alias("scored"),
+            *carried,
+        )
+        .where((F.col("scored") > 0) | F.col("cut").isNull())
     )
-    scored = adjusted.groupBy("series_id", "pid").agg(
-        F.sum(F.col("v") * F.col("adjusted")).alias("total"),
-        F.count_if((F.col("v") > 0) & F.col("adjusted").isNull()).alias("unusable"),
-        F.max("scale").alias("scale"),
-        F.max("cut").alias("cut"),
-        F.max("n_val").alias("n_val"),
+    rest = 1.0 - _disallowed_mass(fmt, words)
+    surprise = [
+        F.col(f"v{k}") * -smoothed_logprob(F.col(f"c{k}"), F.col("seen"), fmt).cast("float").cast("double")
+        for k in range(len(words))
+    ]
+    loss = F.when(rest > 0, sum(surprise, F.col("scored") * F.ln(rest)))
+    scored = counts.groupBy("series_id", "pid").agg(
+        F.sum(loss).alias("loss"),
+        F.count_if(rest <= 0).alias("unusable"),
+        *carried,
     )
     status = (
         F.when(F.col("scale").isNull(), "no_training_part")
@@ -102,16 +98,35 @@ def evaluate_grid(
         .otherwise("ok")
     )
     point = F.element_at(grid_literal(grid), F.col("pid") + 1)
-    per_step = F.try_divide(-F.col("total"), F.col("n_val").cast("double"))
+    per_step = F.try_divide(F.col("loss"), F.col("n_val").cast("double"))
     value = per_step - bin_correction(fmt, F.col("prec")) + F.when(F.col("scale") > 0, F.ln("scale"))
     return (
         scored.withColumn("_p", point)
-        .select("series_id", "_p.*", "total", "n_val", "scale", status.alias("status"))
+        .select("series_id", "_p.*", "loss", "n_val", "scale", status.alias("status"))
         .withColumn("nlld", F.when(F.col("status") == "ok", value))
         .select("series_id", "pid", "alpha", "beta", "prec", "temp", "nlld", "status")
     )
 
 
+def _disallowed_mass(fmt: TextFormat, words: list[str], top: int = 5) -> Column:
+    """Probability of disallowed tokens among the ``top`` most frequent ones after a context.
+
+    The columns c0, c1, … count ``words`` and ``seen`` is their sum; ties rank by token text.
+    """
+    mass = F.lit(0.0)
+    if not fmt.bit_sep:
+        return mass
+    for k, word in enumerate(words):
+        if word in fmt.allowed_tokens(scoring=True):
+            continue
+        own = F.col(f"c{k}")
+        others = [(F.col(f"c{j}"), w) for j, w in enumerate(words) if j != k]
+        ahead = [F.when(c >= own if w < word else c > own, 1).otherwise(0) for c, w in others]
+        listed = (own > 0) & (sum(ahead, F.lit(0)) < top)
+        mass = mass + F.when(listed, F.exp(smoothed_logprob(own, F.col("seen"), fmt))).otherwise(0.0)
+    return mass
+
+
 def usable_scores(scores: DataFrame) -> DataFrame:
     return scores.where(F.col("nlld").isNotNull() & ~F.isnan("nlld"))
 

@@ -39,8 +39,8 @@ def test_two_shuffles_and_one_scan_per_table(spark, tiny, name):
 
 
 @pytest.mark.parametrize("name", ["scale_gaussian", "mae_by_model", "forecast", "forecast_tuned"])
-def test_branches_share_the_scan(spark, tiny, name):
-    plan = final_plan_of(QUERIES[name](spark, tiny))
+def test_branches_share_the_scan(spark, sf, name):
+    plan = final_plan_of(QUERIES[name](spark, sf))
     assert "ReusedExchange" in plan
     assert plan.count("orders.parquet") == 1
 
