@@ -46,7 +46,7 @@ def _size(z: Column | str) -> Column:
 
 def overflows(z: Column | str, fmt: TextFormat) -> Column:
     """True where the value has more integer digits than the format provides."""
-    return F.abs(column(z)) >= F.lit(float(fmt.max_val))
+    return _size(z) >= F.lit(float(fmt.max_val))
 
 
 def decimal_digits(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:

@@ -54,7 +54,7 @@ def build_requests(
 
 
 def complete_with(
-    requests: DataFrame, answer: Callable[[pd.DataFrame], list[list[str]]], batch_repartition: int | None = None
+    requests: DataFrame, answer: Callable[[pd.DataFrame], list[list[str]]], partitions: int | None = None
 ) -> DataFrame:
     """Let a caller's model answer the requests, batch by batch inside the tasks.
 
@@ -68,11 +68,11 @@ def complete_with(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = rows[keys].assign(text=answer(rows))
-            out = out.explode("text", ignore_index=False)
+            out = out.explode("text").dropna(subset=["text"])
             out["sample_id"] = out.groupby(level=0).cumcount().astype("int32")
             yield out[[*keys, "sample_id", "text"]]
 
-    source = requests if batch_repartition is None else requests.repartition(batch_repartition)
+    source = requests if partitions is None else requests.repartition(partitions)
     return source.mapInPandas(run, schema)
 
 
