@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # the weekly rows that are shuffled are few beside the texts and tokens made of them afterwards:
+    # keep their partitions, so that this work stays spread
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # no Python call site per column expression: building a plan takes half the time
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
