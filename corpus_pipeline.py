@@ -7,14 +7,24 @@ packing.  All stages but the last return the columns of the documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from numerale.llm import decontaminate, line_dedup, packing, simhash
+from numerale.llm import decontaminate, line_dedup, packing, quality, simhash
 from numerale.llm.common import load, stored
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from all labels, scores below the threshold go."""
+    model = quality.learn(docs, load(spark, sf_dir, "labels"))
+    kept = quality.scored(docs, model, into="__score").where(f"__score >= {quality.THRESHOLD}")
+    return kept.drop("__score")
+
+
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs go; n_chars follows the text where it changed."""
-    return line_dedup.remove_repeated_lines(docs).drop("lines_removed")
+    out = line_dedup.remove_repeated_lines(docs)
+    n_chars = F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +43,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality classifier", keep_quality),
     ("line dedup", deduplicate_lines),
     ("SimHash near-dedup", deduplicate_documents),
     ("benchmark decontamination", decontaminate_documents),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerale.llm import decontaminate, line_dedup, packing, simhash
-from numerale.llm.common import load
+from numerale.llm import decontaminate, embedding_dedup, language, line_dedup, packing, quality, simhash
+from numerale.llm.common import crc_mod, load
 
 
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,11 +15,31 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
 
 
+def op2_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(load(spark, sf, "embeddings"), min_cosine=0.95)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = line_dedup.remove_repeated_lines(load(spark, sf, "documents"))
     return out.select("doc_id", "text", "lines_removed")
 
 
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    labels = load(spark, sf, "labels").where(crc_mod("doc_id", 5) != 0)
+    out = quality.scored(docs.select("doc_id", "text"), quality.learn(docs, labels))
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", predicted)
+
+
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    model = language.learn(docs.where(crc_mod("doc_id", 4) != 2))
+    out = language.identified(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(load(spark, sf, "documents"))
 
@@ -30,7 +50,10 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_embeddings": op2_embeddings,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality": op4_quality,
+    "op7_language": op7_language,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
