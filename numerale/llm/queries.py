@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerale.llm import decontaminate, embedding_dedup, language, line_dedup, packing, quality, simhash
+from numerale.llm import context_tree, decontaminate, embedding_dedup, language, line_dedup, packing, quality, simhash
 from numerale.llm.common import crc_mod, load
 
 
@@ -33,6 +33,12 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", predicted)
 
 
+def op5_context_tree(spark: SparkSession, sf: str) -> DataFrame:
+    out = context_tree.scored(load(spark, sf, "documents"), crc_mod("doc_id", 5) != 1)
+    out = out.withColumnRenamed("id", "doc_id").withColumn("held_out", ~F.col("learned"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
     model = language.learn(docs.where(crc_mod("doc_id", 4) != 2))
@@ -53,6 +59,7 @@ QUERIES = {
     "op2_embeddings": op2_embeddings,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
+    "op5_context_tree": op5_context_tree,
     "op7_language": op7_language,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
