@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerale.llm import context_tree, decontaminate, embedding_dedup, language, line_dedup, packing, quality, simhash
+from numerale.llm import context_tree, decontaminate, embedding_dedup, language, line_dedup, packing, quality, simhash, warc
 from numerale.llm.common import crc_mod, load
 
 
@@ -39,6 +39,10 @@ def op5_context_tree(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived(load(spark, sf, "pages"), min_revisit=0).drop("intact")
+
+
 def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
     model = language.learn(docs.where(crc_mod("doc_id", 4) != 2))
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_context_tree": op5_context_tree,
+    "op6_warc": op6_warc,
     "op7_language": op7_language,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
