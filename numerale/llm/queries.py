@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerale.llm import context_tree, decontaminate, embedding_dedup, language, line_dedup, packing, quality, simhash, warc
+from numerale.llm import context_tree, decontaminate, embedding_dedup, language, line_dedup, packing, pii, quality, simhash, warc
 from numerale.llm.common import crc_mod, load
 
+#: The query's key; a user passes one of their own and keeps it.
+PII_KEY = b"numerale catalogue"
+
 
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf, "documents"), shingle=4, max_bits=4)
@@ -50,6 +53,11 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    out = pii.pseudonymized(load(spark, sf, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", "n_replaced")
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(load(spark, sf, "documents"))
 
@@ -66,6 +74,7 @@ QUERIES = {
     "op5_context_tree": op5_context_tree,
     "op6_warc": op6_warc,
     "op7_language": op7_language,
+    "op8_surrogates": op8_surrogates,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
