@@ -13,8 +13,8 @@ Counting every pair of a corpus would be quadratic, so pairs meet first in cells
 with random offsets.  depth follows the number of vectors (a cell holds about
 ``CELL`` unrelated ones), and the number of tables follows from depth, so that a
 pair at the threshold shares a cell with probability ``recall`` at any size.  In a
-cell the vectors are sorted by one projection and only pairs in its window are
-counted on the others.  A pair is counted in the first table only where it shares a
+cell the vectors are sorted by one projection; only pairs within ``REACH * r`` there,
+which hardly any linked pair exceeds, are counted.  A pair is counted in the first table only where it shares a
 cell, so nothing is counted twice and no pair leaves the task: a task returns link
 counts per vector and a spanning forest of the links.
 
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from numerale.llm.common import components, schema_of, small_batches, stored
 
 HALF = 1.96
+REACH = 3.5
 WIDTH = 6.0
 CELL = 64
 BLOCK = 1024
@@ -122,18 +123,18 @@ def joined(find: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
 
 def linked_pairs(
     group: np.ndarray, own: np.ndarray, cross: np.ndarray, table: np.ndarray,
-    x: np.ndarray, p: np.ndarray, cells: np.ndarray, need: int, half: float, min_cosine: float,
+    x: np.ndarray, p: np.ndarray, cells: np.ndarray, need: int, r: float, min_cosine: float,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked row pairs inside groups; where ``cross``, only pairs of different blocks.
 
-    Rows are ordered by (group, first projection), so that the window centred at a
-    row is a range; pairs are handled a bounded number at a time.
+    Rows are ordered by (group, first projection), so that what is in reach of a row
+    is a range; pairs are handled a bounded number at a time.
     """
     at = group * 1e4 + p[:, 0]
     order = np.argsort(at, kind="stable")
     at = at[order]
-    n = np.searchsorted(at, at + half, "right") - np.arange(len(at)) - 1
-    counted = p.shape[1]
+    n = np.searchsorted(at, at + REACH * r, "right") - np.arange(len(at)) - 1
+    counted, half = p.shape[1], HALF * r
     ends = np.cumsum(n)
     k = 0
     while k < len(at):
@@ -144,8 +145,8 @@ def linked_pairs(
         i, j = order[first], order[later]
         fits = ~cross[i] | (own[i] != own[j])
         i, j = i[fits], j[fits]
-        hits = np.ones(len(i), np.int8)
-        for t in range(1, counted):
+        hits = np.zeros(len(i), np.int8)
+        for t in range(counted):
             hits += np.abs(p[i, t] - p[j, t]) <= half
             if t % 4 == 0:  # pairs that can't reach the count any more are dropped
                 keep = hits >= need - (counted - 1 - t)
@@ -197,7 +198,7 @@ def near_duplicates(
     dims, r = size // 4, math.sqrt(2 - 2 * min_cosine)
     each = 1 - (1 - recall) / 2
     depth, tables = plan(n, min_cosine, each)
-    need, half = least_count(counted, each), HALF * r
+    need = least_count(counted, each)
     make = (dims, depth, tables, counted, r, seed)
 
     cell_schema = schema_of("table int, cell long, node long, copies long, v binary")
@@ -235,7 +236,7 @@ def near_duplicates(
             new[1:] = (table[1:] != table[:-1]) | (cell[1:] != cell[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
             x = unit(rows.column("v").to_pylist(), dims)
             links, find, forest = np.zeros(len(nodes), np.int64), np.arange(len(nodes)), []
-            found = linked_pairs(np.cumsum(new), own, first != second, table, x, x @ lines.count, lines.cells(x), need, half, min_cosine)
+            found = linked_pairs(np.cumsum(new), own, first != second, table, x, x @ lines.count, lines.cells(x), need, r, min_cosine)
             for i, j in found:
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])
