@@ -8,19 +8,20 @@ lines.  Cutting loses nothing: the lines joined give the text back.
   after it if it is short.  Of every ``window`` consecutive lines the one with the
   smallest hash is selected (long lines before short ones), so that two texts that
   share a run of ``window`` + 3 lines always share a selected position.
-* Positions: each selected hash is joined to its first place in the corpus (order:
-  id, then hash of the text), and inside one document to the place before.
+* Positions: each selected hash is joined to its first place in the corpus (in the
+  order of ids), and inside one document to the place before.
 * Extension: on each pair of documents and shift that a fingerprint found, all lines
   that agree are marked, to both sides of the match.
 * Deletion: marked lines that follow each other form a run; runs of at least
   ``min_words`` words are deleted.  The first copy always stays.
 
-Hash counts are pre-aggregated; a document pair is joined on line hashes (8 bytes
-a line), never on texts, and a passage that very many documents share gives one
+A document sends each fingerprint once, and hash counts are pre-aggregated; pairs of
+documents are joined with line hashes (8 bytes a line), never with texts, and a passage that very many documents share gives one
 pair per document, with its first holder.
 
 Defined cases: null text stays null; empty texts stay; rows that repeat an id and
-its text are one document (they are changed alike); a null id comes before all
+its text are one document (they are changed alike), and different texts of one id are
+not compared with each other; a null id comes before all
 others; a text all of whose lines are deleted becomes empty.  Other columns,
 whatever their names, are passed on.
 """
@@ -42,7 +43,8 @@ def lines_of(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Per document: key (d, th), line hashes h, words per line nw, and the selected (position, fingerprint) pairs."""
+    """Per document: its id d, hash of the text th, line hashes h, words per line nw, the first place of each
+    selected fingerprint in it (first: f, p), and the shifts between places of one fingerprint (shifts)."""
     rows = docs.where(F.col(text_col) != "").select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"),
         F.xxhash64(text_col).alias("th"),
@@ -55,7 +57,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
         F.transform("u", lambda u: F.xxhash64(u)).alias("h"),
         F.transform("u", lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + 1).alias("nw"),
     )
-    # the sign bit is clear for long lines and set for short ones; the smallest as unsigned is selected
+    # the sign bit is set for long lines and clear for short ones; the smallest is selected
     gram = "xxhash64(h[i], get(h, i + 1), get(h, i + 2), get(h, i + 3))"
     code = f"transform(nw, (n, i) -> if(n < {SHORT}, {gram} & 9223372036854775807L, h[i] | -9223372036854775808L))"
     rows = rows.withColumn("g", F.expr(code))
@@ -64,39 +66,43 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
     rows = rows.withColumn("m", F.expr(f"transform({starts}, i -> least({least}))"))
     # g[i] is selected if it is the minimum of one of the windows that hold it
     held = " or ".join(f"get(m, i - {k}) = x" for k in range(window))
-    rows = rows.withColumn("s", F.expr(f"filter(transform(g, (x, i) -> if({held}, struct(i as p, x as f), null)), x -> x is not null)"))
-    return rows.select("d", "th", "h", "nw", "s")
+    picked = f"array_sort(filter(transform(g, (x, i) -> if({held}, struct(x as f, i as p), null)), x -> x is not null))"
+    rows = rows.select("d", "th", "h", "nw", F.expr(picked).alias("s"))
+    first = F.expr("filter(s, (x, i) -> i = 0 or s[i - 1].f != x.f)")
+    steps = F.expr("transform(s, (x, i) -> if(i > 0 and s[i - 1].f = x.f, x.p - s[i - 1].p, null))")
+    return rows.select("d", "th", "h", "nw", first.alias("first"), F.array_compact(F.array_distinct(steps)).alias("shifts"))
 
 
 def matches(lines: DataFrame) -> DataFrame:
-    """(d, th, sd, sth, shift): line p of the document equals line p - shift of the source, for one p at least."""
-    places = lines.select("d", "th", F.explode("s").alias("x")).select("d", "th", F.col("x.p").alias("p"), F.col("x.f").alias("f"))
-    per_doc = places.groupBy("f", "d", "th").agg(F.min("p").alias("p"), F.count("*").alias("n"))
-    per_doc = stored(per_doc, "lines-places")
-
-    first = F.min(F.struct("d", "th", "p")).alias("first")
-    shared = per_doc.groupBy("f").agg(first, F.count("*").alias("docs")).where("docs > 1")
-    across = per_doc.join(shared, "f").where("d != first.d or th != first.th")
-    across = across.select("d", "th", F.col("first.d").alias("sd"), F.col("first.th").alias("sth"), (F.col("p") - F.col("first.p")).alias("shift"))
-
-    repeated = per_doc.where("n > 1").select("d", "th").distinct()
-    inner = lines.join(repeated, ["d", "th"], "left_semi").select("d", "th", F.explode("s").alias("x"))
-    inner = inner.select("d", "th", F.col("x.p").alias("p"), F.col("x.f").alias("f"))
-    before = F.lag("p").over(Window.partitionBy("d", "th", "f").orderBy("p"))
-    inner = inner.withColumn("shift", F.col("p") - before).where("shift is not null")
-    inner = inner.select("d", "th", F.col("d").alias("sd"), F.col("th").alias("sth"), "shift")
-    return across.union(inner).distinct()
+    """(d, sd, shifts): line p of the document may equal line p - shift of the source, an earlier document or itself."""
+    places = lines.select("d", F.explode("first").alias("x")).select("d", "x.f", "x.p")
+    shared = places.groupBy("f").agg(F.min(F.struct("d", "p")).alias("o"), F.max("d").alias("last")).where("o.d != last")
+    across = places.join(shared.select("f", "o"), "f").where("d != o.d")
+    across = across.select("d", F.col("o.d").alias("sd"), (F.col("p") - F.col("o.p")).alias("shift"))
+    return across.groupBy("d", "sd").agg(F.collect_set("shift").alias("shifts"))
 
 
 def marked_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """(d, th, p, nw) of every line that agrees with its source at a shift that a fingerprint found."""
-    own = lines.select("d", "th", "h", "nw")
-    source = lines.select(F.col("d").alias("sd"), F.col("th").alias("sth"), F.col("h").alias("sh"))
-    both = found.join(own.dropDuplicates(["d", "th"]), ["d", "th"]).join(source.dropDuplicates(["sd", "sth"]), ["sd", "sth"])
-    from_, to = "greatest(shift, 0)", "least(size(h), size(sh) + shift) - 1"
-    equal = F.expr(f"filter(sequence({from_}, {to}), i -> h[i] = sh[i - shift])")
-    both = both.where(f"{from_} <= {to}").select("d", "th", F.explode(F.transform(equal, lambda i: F.struct(i.alias("p"), F.get("nw", i).alias("nw")))).alias("x"))
-    return both.select("d", "th", "x.*").distinct()
+    """(d, th, p, nw) of every line that agrees with its source at a shift that a fingerprint found.
+
+    The rows stay where the last join put them, by d, up to the runs.
+    """
+    one = lines.select("d", "th", "h", "nw", "shifts")
+    if not lines.groupBy("d", "th").count().where("count > 1").isEmpty():
+        one = one.dropDuplicates(["d", "th"])  # rows repeat an id and its text
+    source = one.select(F.col("d").alias("sd"), F.col("h").alias("sh"))
+    pairs = found.withColumnRenamed("shifts", "at").join(source, "sd").select("d", "at", "sh")
+    both = one.join(pairs, "d", "left").where("sh is not null or size(shifts) > 0")
+
+    def agreeing(shifts: str, other: str) -> str:
+        from_, to = "greatest(k, 0)", f"least(size(h), size({other}) + k) - 1"
+        each = f"filter(sequence({from_}, {to}), i -> h[i] = {other}[i - k])"
+        return f"flatten(transform({shifts}, k -> if({from_} <= {to}, {each}, array())))"
+
+    across = f"if(sh is null, array(), {agreeing('at', 'sh')})"
+    places = F.expr(f"array_distinct(concat({across}, {agreeing('shifts', 'h')}))")
+    each = both.select("d", "th", F.explode(F.transform(places, lambda i: F.struct(i.alias("p"), F.get("nw", i).alias("nw")))).alias("x"))
+    return each.select("d", "th", "x.*").distinct()
 
 
 def repeated_runs(marked: DataFrame, min_words: int) -> DataFrame:
