@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from numerale.llm.common import schema_of, small_batches, stored
 
 DEPTH = 4
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 PART = 2 << 20
 END = b"\xff"
 
@@ -239,25 +239,25 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         for a, b in parts_of(texts):
             codes, distinct, starts = grams(texts[a:b], depth)
             scores.append(np.add.reduceat(lp[np.searchsorted(known, distinct)][codes], starts))
-        split = [t.split() for t in texts]
         total = Counter()
-        for own, w in zip(learned, split):
+        for own, t in zip(learned, texts):
             if own:
-                total.update(w)
+                total.update(t.split())
         many = slice_.filter(slice_.column("word").is_valid())
         total.update(dict.fromkeys(many.column("word").to_pylist(), 0))
         for w, n in zip(many.column("word").to_pylist(), many.column("n").to_pylist()):
             total[w] = n
         logs = {n: math.log10(n + 0.5) - below for n in {0, ends, *total.values()}}
-        n_known, base = [], []
-        for w in split:
-            n = [total.get(x, 0) for x in w]
+        n_tokens, n_known, base = [], [], []
+        for t in texts:
+            n = [total.get(w, 0) for w in t.split()]
             n.append(ends)
+            n_tokens.append(len(n))
             n_known.append(len(n) - n.count(0))
             base.append(math.fsum(map(logs.__getitem__, n)))
         return pa.table(
             [
-                table.column("id"), table.column("learned"), pa.array([len(w) + 1 for w in split]), pa.array(n_known),
+                table.column("id"), table.column("learned"), pa.array(n_tokens), pa.array(n_known),
                 pa.array(base), pa.array(np.concatenate(scores)), pa.array([len(t) for t in texts]),
             ],
             schema=out,
