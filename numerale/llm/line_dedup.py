@@ -17,7 +17,8 @@ lines.  Cutting loses nothing: the lines joined give the text back.
 
 A document sends each fingerprint once, and hash counts are pre-aggregated; pairs of
 documents are joined with line hashes (8 bytes a line), never with texts, and a passage that very many documents share gives one
-pair per document, with its first holder.
+pair per document, with its first holder.  Documents that surely take no part in a join
+are told by a bitmap of fixed size and stay where they are.
 
 Defined cases: null text stays null; empty texts stay; rows that repeat an id and
 its text are one document (they are changed alike), and different texts of one id are
@@ -36,6 +37,26 @@ from numerale.llm.common import stored
 LINE_END = r"(?<=[.,;:!?])(?= )|(?<=\n)"
 SHORT = 5  # words; a line below this is fingerprinted with the lines after it
 NO_ID = -(1 << 63)
+SLOTS = 1 << 22
+
+
+def with_flag(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` with the column __flag: false only if the key is surely not among the ``wanted`` keys.
+
+    The wanted keys set bits of a map of ``SLOTS`` bits, which is broadcast: half a
+    megabyte, however many keys there are.  What is not flagged need not be shuffled to a
+    join with them; with far more keys than slots everything is flagged and nothing is lost.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    at = wanted.select(slot(F.col(wanted_key)).alias("x"))
+    at = at.select(F.bitmap_bucket_number("x").alias("__bucket"), F.bitmap_bit_position("x").alias("x"))
+    maps = at.groupBy("__bucket").agg(F.bitmap_construct_agg("x").alias("__map"))
+    own = rows.withColumn("__slot", slot(key)).withColumn("__bucket", F.bitmap_bucket_number("__slot"))
+    joined = own.join(F.broadcast(maps), "__bucket", "left")
+    place = F.bitmap_bit_position("__slot")
+    byte = F.conv(F.hex(F.substring("__map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    flag = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return joined.withColumn("__flag", F.coalesce(flag, F.lit(False))).drop("__slot", "__bucket", "__map")
 
 
 def lines_of(text: Column) -> Column:
@@ -90,9 +111,11 @@ def marked_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
     one = lines.select("d", "th", "h", "nw", "shifts")
     if not lines.groupBy("d", "th").count().where("count > 1").isEmpty():
         one = one.dropDuplicates(["d", "th"])  # rows repeat an id and its text
-    source = one.select(F.col("d").alias("sd"), F.col("h").alias("sh"))
+    found = stored(found, "lines-pairs")
+    source = with_flag(one, F.col("d"), found, "sd").where("__flag").select(F.col("d").alias("sd"), F.col("h").alias("sh"))
+    mine = with_flag(one, F.col("d"), found, "d").where("__flag or size(shifts) > 0").drop("__flag")
     pairs = found.withColumnRenamed("shifts", "at").join(source, "sd").select("d", "at", "sh")
-    both = one.join(pairs, "d", "left").where("sh is not null or size(shifts) > 0")
+    both = mine.join(pairs, "d", "left").where("sh is not null or size(shifts) > 0")
 
     def agreeing(shifts: str, other: str) -> str:
         from_, to = "greatest(k, 0)", f"least(size(h), size({other}) + k) - 1"
@@ -121,12 +144,16 @@ def remove_repeated_lines(
     runs = repeated_runs(marked_lines(lines, matches(lines)), min_words)
     runs = runs.select(F.col("d").alias("__d"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
     runs = stored(runs, "lines-runs")
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
-    out = docs.join(runs, (key == runs["__d"]) & (F.xxhash64(docs[text_col]) == runs["__th"]), "left")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    flagged = with_flag(docs, key, runs, "__d")
+    # texts that stay as they are do not move
+    same = flagged.where("not __flag").select(*docs.columns, F.lit(0).alias("lines_removed"))
+    some = flagged.where("__flag").select(*docs.columns, key.alias("__key"), F.xxhash64(text_col).alias("__hash"))
+    out = some.join(runs.hint("merge"), (F.col("__key") == F.col("__d")) & (F.col("__hash") == F.col("__th")), "left")
     keeps = F.filter(
         lines_of(F.col(text_col)), lambda u, i: ~F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"]))
     )
     text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(keeps, ""))
     removed = F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0))
-    columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return out.select(*columns, removed.alias("lines_removed"))
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return same.unionByName(out.select(*columns, removed.alias("lines_removed")))
