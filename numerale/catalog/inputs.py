@@ -15,7 +15,7 @@ from numerale.operators.calendar import split_holdout, weekly_series
 from numerale.operators.scaling import attach_scaler
 from numerale.operators.textnum import encode, joined_chunks
 from numerale.plans.prepare import marked_chunks
-from numerale.settings import TextFormat
+from numerale.settings import CONTEXT_TOKENS, TextFormat
 from numerale.sources import lineitem_by_supplier, orders_by_nation, orders_by_priority
 
 HORIZON = 30
@@ -64,7 +64,7 @@ def analog_completions(series: DataFrame, fmt: TextFormat = FMT) -> DataFrame:
     return rows.groupBy("series_id", "sample_id").agg(joined_chunks(fmt).alias("text"))
 
 
-def rule_responses(series: DataFrame, fmt: TextFormat = FMT2, context: int = 1200) -> DataFrame:
+def rule_responses(series: DataFrame, fmt: TextFormat = FMT2, context: int = CONTEXT_TOKENS) -> DataFrame:
     """Prompt plus held-out steps as one scored text per series, with the training and validation lengths."""
     train = F.col("split") == "train"
     rows = fitted(series, "advanced", 0.5, 0.15).withColumn("n_val", F.least(F.col("n"), F.lit(HORIZON)))

@@ -5,6 +5,7 @@ windows and joins over long tables where Spark uses arrays and vice versa.
 from __future__ import annotations
 
 SMALL_CONTEXT = 900
+CONTEXT = 4097
 
 WEEK = "CAST(date_trunc('week', {0}) AS DATE) + 6"
 
@@ -187,16 +188,19 @@ benchmark_long AS (
 ATTACHED = """points AS (SELECT series_id, step, quantile_cont(x, 0.5) AS yhat FROM samples GROUP BY 1, 2),
 lengths AS (SELECT series_id, max(step) + 1 AS h FROM points GROUP BY 1),
 attached AS (
-  SELECT b.series_id, b.step, b.model, b.yhat FROM benchmark_long b JOIN lengths USING (series_id) WHERE b.step < h
-  UNION ALL SELECT series_id, step, 'analog_median', yhat FROM points)"""
+  SELECT b.series_id, b.step, b.model, b.yhat FROM benchmark_long b
+  WHERE coalesce(b.step < (SELECT max(h) FROM lengths l WHERE l.series_id = b.series_id), true)
+  UNION ALL SELECT series_id, step, 'analog_median', yhat FROM points
+  UNION ALL SELECT DISTINCT series_id, step, 'analog_median', CAST(NULL AS DOUBLE) FROM benchmark_long
+  WHERE series_id NOT IN (SELECT series_id FROM lengths))"""
 
-# scored texts by rule: training steps within a budget of 1200 tokens, then the held-out steps
+# scored texts by rule: training steps within the token budget, then the held-out steps
 RULED = ",\n".join(
     [
         _advanced(0.5, 0.15),
         _decimal(2),
         COUNTED,
-        _budget(30, 1200, within="split = 'train'"),
+        _budget(30, CONTEXT, within="split = 'train'"),
         """chosen AS (SELECT * FROM cutted WHERE i >= cut OR split = 'val'),
 ruled AS (
   SELECT series_id, i, split, n, scale, tok, row_number() OVER (PARTITION BY series_id ORDER BY i, j) - 1 AS pos
@@ -250,7 +254,7 @@ SCORES = ",\n".join(
   FROM marked m JOIN scal s USING (series_id))""",
         _decimal("prec"),
         COUNTED,
-        _budget(30, SMALL_CONTEXT, keys="series_id, pid", within="split = 'train'"),
+        _budget(30, CONTEXT, keys="series_id, pid", within="split = 'train'"),
         """chosen AS (SELECT * FROM cutted WHERE i >= cut OR split = 'val'),
 tokens AS (
   SELECT series_id, pid, i, split, unnest(regexp_extract_all(chunk || ' ,', ' [^ ]+')) AS tok,
@@ -309,7 +313,7 @@ def oracle() -> dict[str, str]:
     c1p2 = f"{z1},\n{_decimal(2)}"
     cut3 = f"{c3},\n{COUNTED},\n{_budget(20, SMALL_CONTEXT)}"
     prep3 = f"{c3},\n{COUNTED},\n{_budget(12, SMALL_CONTEXT)},\n{REPORT}"
-    prep1 = f"{c1},\n{COUNTED},\n{_budget(12, SMALL_CONTEXT)},\n{REPORT}"
+    request3, request1 = (f"{c},\n{COUNTED},\n{_budget(12, CONTEXT)},\n{REPORT}" for c in (c3, c1))
     a1, a2, a3 = (f"{c},\n{ANALOG}" for c in (c1, c2, c3))
     sql: dict[str, str] = {}
 
@@ -326,6 +330,12 @@ FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2"""
     sql["select_target"] = (
         f"SELECT series_id, wk, round(l_quantity, 6) AS value FROM ({_line_means(['l_quantity'])})"
     )
+    sql["rejected_observations"] = """
+SELECT count(*) AS observations, count(*) FILTER (WHERE l_orderkey % 7 = 0 OR l_shipdate IS NULL) AS without_time,
+       count(*) FILTER (WHERE l_orderkey % 5 = 0 OR l_suppkey IS NULL) AS without_id,
+       count(*) FILTER (WHERE l_orderkey % 11 = 0 OR l_orderkey % 13 = 0) AS no_number,
+       count(*) FILTER (WHERE l_orderkey % 11 > 0 AND l_orderkey % 13 > 0 AND (l_orderkey % 3 = 0 OR l_extendedprice IS NULL)) AS missing_values
+FROM lineitem"""
     sql["week_ends"] = f"SELECT {WEEK.format('o_orderdate')} AS wk, count(*) AS orders FROM orders GROUP BY 1"
     sql["weekly_mean"] = f"WITH {W2} SELECT series_id, wk, round(y, 6) AS y FROM weekly"
     sql["weekly_spine"] = f"{S3} SELECT series_id, wk, i, n, round(y, 6) AS y FROM series"
@@ -370,6 +380,9 @@ SELECT series_id, CASE WHEN stddev_pop(y) > 0 THEN round(-ln(stddev_pop(y)), 6)
     sql["series_string"] = f"{c2} SELECT series_id, string_agg(chunk || ' ,', '' ORDER BY i) AS text FROM chunked GROUP BY 1"
     sql["series_string_greedy"] = f"""{z1},
 {_greedy()} SELECT series_id, string_agg(chunk || ' ,', '' ORDER BY i) AS text FROM chunked GROUP BY 1"""
+    sql["chunks_of_any_size"] = f"""{S3}
+SELECT series_id, count(*) AS steps, count(*) AS chunks, count(*) FILTER (WHERE y IS NULL OR i % 7 = 0) AS missing,
+       count(*) AS in_text FROM series GROUP BY 1"""
     sql["terminated"] = f"{c2} SELECT series_id, i, chunk || ' ,' AS text FROM chunked"
 
     sql["token_rows"] = f"{c2},\n{TOKENS} SELECT series_id, i, j, tok FROM tokens"
@@ -384,11 +397,11 @@ SELECT series_id, {REPORT_COLUMNS} FROM reported"""
     whole = "cutted AS (SELECT *, 0 AS cut FROM counted)"
     sql["prepare_whole"] = f"{c1},\n{COUNTED},\n{whole},\n{REPORT} SELECT series_id, prompt, {REPORT_COLUMNS} FROM reported"
 
-    sql["requests"] = f"""{prep3}
+    sql["requests"] = f"""{request3}
 SELECT series_id, prompt, CAST(floor(avg_tokens * 12 * CAST(1.05 AS DOUBLE)) AS BIGINT) AS max_tokens,
        CAST(0.7 AS DOUBLE) AS temperature, CAST(5 AS BIGINT) AS n_samples, CAST(1234 AS BIGINT) AS seed,
        CAST(12 AS BIGINT) AS n_bias FROM reported WHERE status = 'ok'"""
-    sql["token_bias"] = f"""{prep1}
+    sql["token_bias"] = f"""{request1}
 SELECT series_id, tok, CAST(30 AS BIGINT) AS bias FROM reported,
   (SELECT ' ' || CAST(range AS VARCHAR) AS tok FROM range(10) UNION ALL SELECT ' ,' UNION ALL SELECT ' -')
 WHERE status = 'ok'"""
@@ -435,8 +448,11 @@ FROM samples LEFT JOIN truth USING (series_id, step) GROUP BY 1"""
     sql["median_forecast"] = f"""{a1}
 SELECT series_id, step, round(quantile_cont(x, 0.5), 4) AS yhat FROM samples GROUP BY 1, 2"""
     sql["attach_model"] = f"{a1},\n{WIDE},\n{ATTACHED} SELECT series_id, step, model, round(yhat, 4) AS yhat FROM attached"
-    sql["mae_by_model"] = f"""{a1},\n{WIDE},\n{ATTACHED}, {TRUTH}
-SELECT model, round(avg(abs(yhat - y)), 4) AS mae, count(yhat - y) AS compared, count(*) - count(yhat - y) AS unmatched
+    sql["attach_model_gaps"] = f"{a3},\n{WIDE},\n{ATTACHED} SELECT series_id, step, model, round(yhat, 4) AS yhat FROM attached"
+    for name, a in (("mae_by_model", a1), ("mae_by_model_gaps", a3)):
+        sql[name] = f"""{a},\n{WIDE},\n{ATTACHED}, {TRUTH}
+SELECT model, round(avg(abs(yhat - y)), 4) AS mae, count(yhat - y) AS compared, count(*) - count(yhat - y) AS unmatched,
+       count(DISTINCT series_id) - count(DISTINCT CASE WHEN yhat IS NOT NULL THEN series_id END) AS series_without_forecast
 FROM attached LEFT JOIN truth USING (series_id, step) GROUP BY 1"""
     sql["unpivot_benchmark"] = f"""{S2}, {MARKED},\n{WIDE}
 SELECT series_id, step, model, round(yhat, 4) AS yhat FROM benchmark_long WHERE yhat IS NOT NULL
@@ -449,7 +465,7 @@ SELECT series_id, pos, tok, round(logprob, 6) AS logprob, CAST(CASE WHEN pos % 3
     sql["val_tokens"] = f"""{r1}
 SELECT series_id, count(*) AS n_tokens, string_agg(tok, '' ORDER BY pos) AS text
 FROM ruled JOIN starts USING (series_id) WHERE pos >= val_start GROUP BY 1"""
-    sql["extra_mass"] = f"{r2} SELECT series_id, pos, round(extra, 6) AS extra FROM scored WHERE pos > 0"
+    sql["extra_mass"] = f"{r2} SELECT series_id, pos, round(extra, 6) AS extra FROM scored"
     sql["nll_per_step"] = f"{r1} SELECT series_id, round(nll, 6) AS nll, status FROM nlls"
     sql["nlld"] = f"""{r2}
 SELECT series_id, round(nll - 2 * ln(CAST(10 AS DOUBLE)) + ln(scale), 6) AS nlld, status FROM nlls"""

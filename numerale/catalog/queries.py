@@ -26,10 +26,20 @@ from numerale.functions import ensure_terminated, week_end
 from numerale.operators import budget, calendar, checks, likelihood, metrics, nexttoken, scaling, textnum
 from numerale.plans import forecast as forecasting
 from numerale.plans import oneshot, prepare as preparing, tuning
-from numerale.sources import as_series, explode_logprobs, load, orders_by_nation, orders_by_priority, parse_time
+from numerale.settings import CONTEXT_TOKENS
+from numerale.sources import (
+    as_series,
+    explode_logprobs,
+    load,
+    orders_by_nation,
+    orders_by_priority,
+    parse_time,
+    rejected_observations as count_rejected,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Only for the queries whose point is the cut; all others use the method's own context.
 SMALL_CONTEXT = 900
 
 
@@ -71,6 +81,17 @@ def bind_series(spark, sf):
     ).select("series_id.l_returnflag", "series_id.l_linestatus", "observations", F.col("total").cast("double").alias("total"))
 
 
+@query
+def rejected_observations(spark, sf):
+    # a seventh of the rows without time, a fifth without id, values that are no numbers
+    k = F.col("l_orderkey")
+    value = F.when(k % 11 == 0, F.lit(float("inf"))).when(k % 13 == 0, F.lit(float("nan"))).when(k % 3 > 0, F.col("l_extendedprice"))
+    rows = load(spark, sf, "lineitem").select(
+        F.when(k % 5 > 0, F.col("l_suppkey")).alias("id"), F.when(k % 7 > 0, F.col("l_shipdate")).alias("ts"), value.alias("value")
+    )
+    return count_rejected(rows, ["id"], "ts", "value")
+
+
 LINE_VALUES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -224,6 +245,19 @@ def chunks_greedy_overflow(spark, sf):
     return rows.select("series_id", long("i").alias("i"), "chunk", "overflow")
 
 
+@query
+def chunks_of_any_size(spark, sf):
+    """As many chunks as steps, from values of up to 1e41 and infinite ones."""
+    z = F.when(F.col("i") % 7 == 0, F.lit(float("-inf"))).otherwise(F.col("y") * F.pow(F.lit(10.0), F.col("i") % 40))
+    rows = textnum.chunks(s3(spark, sf).withColumn("z", z), FMT)
+    text = textnum.series_string(rows, FMT)
+    pieces = F.split(F.col("text"), F.lit(FMT.time_sep), -1)
+    counts = rows.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("steps"), F.count("chunk").alias("chunks"), F.count_if(F.col("chunk") == FMT.missing_str).alias("missing")
+    )
+    return counts.join(text, "series_id").select("series_id", "steps", "chunks", "missing", long(F.size(pieces) - 1).alias("in_text"))
+
+
 @query
 def series_string(spark, sf):
     return textnum.series_string(textnum.chunks(_z(spark, sf), FMT), FMT)
@@ -304,7 +338,7 @@ def prepare_whole(spark, sf):
 # --- requests and the offline model -------------------------------------------------------------
 
 
-def _requests(series, fmt=FMT, context=SMALL_CONTEXT):
+def _requests(series, fmt=FMT, context=CONTEXT_TOKENS):
     prepared = preparing.prepare(fitted(series), fmt, True, 12, context)
     return nexttoken.build_requests(prepared, fmt, 12, 0.7, 5)
 
@@ -468,6 +502,19 @@ def mae_by_model(spark, sf):
     return metrics.compare_models(_attached(series), truth_of(series)).withColumn("mae", F.round("mae", 4))
 
 
+@query
+def attach_model_gaps(spark, sf):
+    # series with missing weeks: many have no forecast at all and must not be lost
+    rows = _attached(s3(spark, sf))
+    return rows.select("series_id", long("step").alias("step"), "model", F.round("yhat", 4).alias("yhat"))
+
+
+@query
+def mae_by_model_gaps(spark, sf):
+    series = s3(spark, sf)
+    return metrics.compare_models(_attached(series), truth_of(series)).withColumn("mae", F.round("mae", 4))
+
+
 @query
 def unpivot_benchmark(spark, sf):
     rows = metrics.unpivot_models(_wide_benchmark(s2(spark, sf)))
@@ -503,7 +550,7 @@ def val_tokens(spark, sf):
 def extra_mass(spark, sf):
     rows = explode_logprobs(rule_responses(s2(spark, sf)))
     extra = likelihood.extra_mass(F.col("top"), FMT2)
-    return rows.where("pos > 0").select("series_id", long("pos").alias("pos"), r6(extra).alias("extra"))
+    return rows.select("series_id", long("pos").alias("pos"), r6(extra).alias("extra"))
 
 
 @query
@@ -526,7 +573,7 @@ def _points():
 
 
 def _scores(spark, sf):
-    return tuning.evaluate_grid(s1(spark, sf), _points(), FMT, context=SMALL_CONTEXT)
+    return tuning.evaluate_grid(s1(spark, sf), _points(), FMT)
 
 
 def _rounded(scores):
@@ -551,7 +598,7 @@ def grid_scores(spark, sf):
 @query
 def grid_scores_gaps(spark, sf):
     # series with missing weeks: the missing marker is a token a score must discount
-    return _rounded(tuning.evaluate_grid(s3(spark, sf), _points(), FMT, context=SMALL_CONTEXT))
+    return _rounded(tuning.evaluate_grid(s3(spark, sf), _points(), FMT))
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from numerale.functions.columns import bound_once, column
-from numerale.settings import DIGIT_TOLERANCE, MAX_PREC, TextFormat
+from numerale.settings import DIGIT_TOLERANCE, TextFormat
 
 _EXACT_LONG = 1e18
 
@@ -35,13 +35,19 @@ def _unit(fmt: TextFormat, prec: Column | int | None) -> Column:
 
 
 def is_missing(z: Column) -> Column:
-    return z.isNull() | F.isnan(z)
+    """No number to write: NULL, NaN, or infinite."""
+    return z.isNull() | F.isnan(z) | (F.abs(z) == float("inf"))
 
 
 def _size(z: Column | str) -> Column:
     """|z|, NULL where it is missing."""
     z = column(z)
-    return F.when(~F.isnan(z), F.abs(z))
+    return F.when(~is_missing(z), F.abs(z))
+
+
+def _whole(x: Column) -> Column:
+    """A whole non-negative double as text, of any size."""
+    return F.when(x >= _EXACT_LONG, F.format_string("%.0f", x)).otherwise(F.floor(x).cast("string"))
 
 
 def overflows(z: Column | str, fmt: TextFormat) -> Column:
@@ -52,10 +58,11 @@ def overflows(z: Column | str, fmt: TextFormat) -> Column:
 def decimal_digits(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:
     """The cut decimal digits of ``|z|`` as one string without leading zeros."""
     units = _size(z) * _unit(fmt, prec) + F.lit(DIGIT_TOLERANCE)
-    # beyond 2^53 a double has no fraction left, so the wide branch is exact too
-    return F.when(units < _EXACT_LONG, F.floor(units).cast("string")).otherwise(
-        units.try_cast("decimal(38,0)").cast("string")
-    )
+    # beyond 2^53 a double has no fraction left, so the wide branch needs no cut; units that overflow to
+    # infinity have their places put after the digits instead
+    places = F.repeat(F.lit("0"), _prec(fmt, prec))
+    wide = F.when(units == float("inf"), F.concat(_whole(_size(z)), places)).otherwise(_whole(units))
+    return wide
 
 
 def with_greedy_digits(df: DataFrame, col: str, fmt: TextFormat, prec: Column | int | None = None) -> DataFrame:
@@ -63,23 +70,31 @@ def with_greedy_digits(df: DataFrame, col: str, fmt: TextFormat, prec: Column |
 
     Selects whose columns build on each other, which Spark turns into a
     chain of projections compiled together.  The first digit may exceed 9.
+    With ``prec`` as a column the format's ``max_prec`` says how many places
+    are prepared; a row that asks for more is an error, never cut short.
     """
     base = float(fmt.base)
-    places = fmt.prec if prec is None else prec if isinstance(prec, int) else MAX_PREC
+    places = fmt.prec if prec is None else prec if isinstance(prec, int) else fmt.max_prec
     powers = [base**k for k in range(fmt.int_digits - 1, -1, -1)] + [base**-k for k in range(1, places + 1)]
     rows, pieces = df.withColumn("_r0", _size(col)), []
     for begin in range(0, len(powers), _POSITIONS_PER_SELECT):
         columns = []
         for k, power in list(enumerate(powers))[begin : begin + _POSITIONS_PER_SELECT]:
             digit, rest = F.col(f"_d{k}"), F.col(f"_r{k}")
-            columns += [(rest / power).cast("bigint").alias(f"_d{k}"), (rest - digit * power).alias(f"_r{k + 1}")]
-            piece = F.concat(F.lit(fmt.bit_sep), digit.cast("string"))
+            # whole part by subtraction: the first digit takes whatever exceeds the positions, however much
+            ratio = rest / power
+            columns += [(ratio - ratio % 1.0).alias(f"_d{k}"), (rest - digit * power).alias(f"_r{k + 1}")]
+            piece = F.concat(F.lit(fmt.bit_sep), _whole(digit) if k == 0 else digit.cast("bigint").cast("string"))
             if isinstance(prec, Column) and k >= fmt.int_digits:
                 piece = F.when(prec > k - fmt.int_digits, piece).otherwise(F.lit(""))
             pieces.append(piece)
         rows = rows.select("*", *columns)
     zeros = f"^(?:{_quoted(fmt.bit_sep + '0')})+(?={_quoted(fmt.bit_sep) if fmt.bit_sep else '.'})"
-    return rows.select(*df.columns, F.regexp_replace(F.concat(*pieces), zeros, "").alias("_spaced"))
+    spaced = F.regexp_replace(F.concat(*pieces), zeros, "")
+    if isinstance(prec, Column):
+        beyond = F.raise_error(F.lit(f"prec exceeds max_prec={places} of the text format")).cast("string")
+        spaced = F.when(prec > places, beyond).otherwise(spaced)
+    return rows.select(*df.columns, spaced.alias("_spaced"))
 
 
 def spaced_digits(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:

@@ -61,13 +61,16 @@ def point_forecast(samples: DataFrame, col: str = "x") -> DataFrame:
 def attach_model(predictions: DataFrame, forecast: DataFrame, name: str) -> DataFrame:
     """Add a forecast to ``predictions(series_id, step, model, yhat)`` as one more model.
 
-    The benchmark is cut to the steps the forecast has, series by series.
+    The benchmark is cut to the steps the forecast has, series by series.  A
+    series without any forecast keeps its whole benchmark and gets a row without
+    a value for each of its steps, so that no comparison loses it.
     """
     keys = key_columns(forecast)
     length = forecast.groupBy(*keys).agg((F.max("step") + 1).alias("_h"))
-    cut = predictions.join(length, keys).where(F.col("step") < F.col("_h")).drop("_h")
+    known = predictions.join(length, keys, "left").where(F.col("_h").isNull() | (F.col("step") < F.col("_h")))
     added = forecast.select(*keys, "step", F.lit(name).alias("model"), "yhat")
-    return cut.select(*keys, "step", "model", "yhat").unionByName(added)
+    nothing = known.where("_h is null").select(*keys, "step", F.lit(name).alias("model"), F.lit(None).cast("double").alias("yhat"))
+    return known.select(*keys, "step", "model", "yhat").unionByName(added).unionByName(nothing.distinct())
 
 
 def unpivot_models(wide: DataFrame, models: Sequence[str] | None = None, truth: str = "test") -> DataFrame:
@@ -78,12 +81,19 @@ def unpivot_models(wide: DataFrame, models: Sequence[str] | None = None, truth:
 
 
 def compare_models(predictions: DataFrame, truth: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Error of every model against the truth, with the steps that had no counterpart."""
+    """Error of every model against the truth, with the steps that had no counterpart.
+
+    ``series_without_forecast`` counts series for which a model has no value at all.
+    """
     on = [c for c in ("series_id", "pid", "step") if c in truth.columns and c in predictions.columns]
     joined = predictions.join(truth.select(*on, "y"), on, "left")
     error: Column = F.abs(F.col("yhat") - F.col("y"))
-    return joined.groupBy(*by).agg(
-        F.avg(error).alias("mae"),
-        F.count(error).alias("compared"),
-        F.count_if(error.isNull()).alias("unmatched"),
+    sums = [F.sum(error).alias("_e"), F.count(error).alias("_n"), F.count_if(error.isNull()).alias("_u"), F.count("yhat").alias("_f")]
+    series = [k for k in ("series_id",) if k in predictions.columns and k not in by]
+    each = joined.groupBy(*by, *series).agg(*sums)
+    return each.groupBy(*by).agg(
+        F.try_divide(F.sum("_e"), F.sum("_n")).alias("mae"),
+        F.sum("_n").alias("compared"),
+        F.sum("_u").alias("unmatched"),
+        F.count_if(F.col("_f") == 0).alias("series_without_forecast"),
     )

@@ -18,6 +18,9 @@ from numerale.settings import HEADROOM, REQUEST_SEED, TOKEN_BIAS, TextFormat
 
 ORDER = 2
 
+#: Tokens drawn before they are put aside.
+DRAW_BLOCK = 64
+
 
 def token_bias(fmt: TextFormat) -> Column:
     """Map of every allowed token to the same positive bias."""
@@ -58,7 +61,9 @@ def complete_with(
 ) -> DataFrame:
     """Let a caller's model answer the requests, batch by batch inside the tasks.
 
-    ``answer`` gets request rows and returns one list of texts per row.  Write
+    ``answer`` gets request rows and returns one list of texts per row.  A sample
+    without text (None) stays as an empty text, and a request without any answer
+    gets one empty sample: both count as 0 steps and are seen downstream.  Write
     the result to a table before using it: a lost executor makes Spark ask again.
     """
     keys = key_columns(requests)
@@ -67,8 +72,9 @@ def complete_with(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = rows[keys].assign(text=answer(rows))
-            out = out.explode("text").dropna(subset=["text"])
+            out = rows[keys].assign(text=[list(texts) or [None] for texts in answer(rows)])
+            out = out.explode("text")
+            out["text"] = out["text"].map(lambda t: t if isinstance(t, str) else "")
             out["sample_id"] = out.groupby(level=0).cumcount().astype("int32")
             yield out[[*keys, "sample_id", "text"]]
 
@@ -203,13 +209,17 @@ def sampling_tables(model: DataFrame, fmt: TextFormat) -> DataFrame:
 def _cumulative(counts: Column, temperature: Column) -> Column:
     """Cumulative weights per context; weight = (count / highest count) ^ (1 / temperature)."""
 
-    def weight(c: Column, top: Column) -> Column:
-        cold = F.when(c == top, F.lit(1.0)).otherwise(F.lit(0.0))
+    def weight(c: Column, first: Column, top: Column) -> Column:
+        cold = F.when(first, F.lit(1.0)).otherwise(F.lit(0.0))
         exponent = F.lit(1.0) / F.nullif(temperature, F.lit(0.0))
         return F.when(temperature > 0, F.pow(c.cast("double") / top, exponent)).otherwise(cold)
 
     def one(entry: Column) -> Column:
-        weights = bound_once(F.array_max(entry), lambda top: F.transform(entry, lambda c: weight(c, top)))
+        # without temperature the first of tied tokens is taken
+        weights = bound_once(
+            F.array_max(entry),
+            lambda top: F.transform(entry, lambda c, k: weight(c, F.array_position(entry, top) == k + 1, top)),
+        )
         return F.aggregate(
             weights,
             F.array().cast("array<double>"),
@@ -240,7 +250,9 @@ def sample_completions(
         .select(*keys, *carry, "max_tokens", "n_samples", "seed", "cum", "ctx")
         .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.col("n_samples") - 1)))
     )
-    start = F.struct(F.col("ctx").alias("ctx"), F.array().cast("array<int>").alias("drawn"))
+    # drawn in blocks: what one draw copies is bounded by the block, not by the text
+    empty = F.array().cast("array<int>")
+    blocks = F.struct(F.col("ctx").alias("ctx"), F.array().cast("array<array<int>>").alias("done"))
 
     def draw(state: Column, k: Column) -> Column:
         options = F.coalesce(F.get("cum", state["ctx"]), F.get("cum", F.lit(size * size)))
@@ -259,7 +271,16 @@ def sample_completions(
 
         return bound_once(bound_once(options, pick), step)
 
-    positions = F.sequence(F.lit(1), F.greatest("max_tokens", F.lit(1)))
-    drawn = F.slice(F.aggregate(positions, start, draw)["drawn"], F.lit(1), F.greatest("max_tokens", F.lit(0)))
+    def draw_block(state: Column, b: Column) -> Column:
+        positions = F.sequence(b * DRAW_BLOCK + 1, (b + 1) * DRAW_BLOCK)
+        begin = F.struct(state["ctx"].alias("ctx"), empty.alias("drawn"))
+        return bound_once(
+            F.aggregate(positions, begin, draw),
+            lambda block: F.struct(block["ctx"].alias("ctx"), F.array_append(state["done"], block["drawn"]).alias("done")),
+        )
+
+    n_blocks = F.ceil(F.greatest("max_tokens", F.lit(1)) / DRAW_BLOCK).cast("int")
+    drawn = F.flatten(F.aggregate(F.sequence(F.lit(0), n_blocks - 1), blocks, draw_block)["done"])
+    drawn = F.slice(drawn, F.lit(1), F.greatest("max_tokens", F.lit(0)))
     text = F.array_join(F.transform(drawn, lambda t: F.get(words, t)), "")
     return ready.select(*keys, *carry, "sample_id", text.alias("text"))

@@ -18,10 +18,6 @@ SCALE_FLOOR = 0.01
 #: and a difference in the last bit between two machines never moves a digit.
 DIGIT_TOLERANCE = 5e-7
 
-#: Widest fraction a greedy digit expansion is prepared for.
-MAX_PREC = 15
-
-
 @dataclass(frozen=True)
 class TextFormat:
     """Settings of the number <-> text mapping.
@@ -44,14 +40,16 @@ class TextFormat:
 
     digit_mode: str = "decimal"
     missing_tokens: int = 1
+    #: Places prepared in greedy mode where ``prec`` comes from a column; a grid's plans take the grid's largest.
+    max_prec: int = 15
 
     def __post_init__(self) -> None:
         if self.digit_mode not in ("decimal", "greedy"):
             raise ValueError(f"unknown digit_mode: {self.digit_mode!r}")
         if self.digit_mode == "decimal" and self.base != 10:
             raise ValueError("digit_mode='decimal' needs base 10; use 'greedy'")
-        if self.base < 2 or not 0 <= self.prec <= MAX_PREC:
-            raise ValueError(f"need base >= 2 and 0 <= prec <= {MAX_PREC}")
+        if self.base < 2 or self.prec < 0:
+            raise ValueError("need base >= 2 and prec >= 0")
         if not self.time_sep or not self.minus_sign:
             raise ValueError("time_sep and minus_sign must not be empty")
 

@@ -1,4 +1,12 @@
-from numerale.sources.observations import as_series, parse_time, read_observations, read_predictions, rejected_times
+from numerale.sources.observations import (
+    as_series,
+    parse_time,
+    read_observations,
+    read_predictions,
+    rejected_observations,
+    rejected_times,
+    rejected_values,
+)
 from numerale.sources.responses import explode_logprobs, gather_logprobs, read_completions, read_token_logprobs
 from numerale.sources.sinks import write_table
 from numerale.sources.tables import (
@@ -9,7 +17,8 @@ from numerale.sources.tables import (
 )
 
 __all__ = [
-    "as_series", "parse_time", "read_observations", "read_predictions", "rejected_times",
+    "as_series", "parse_time", "read_observations", "read_predictions",
+    "rejected_observations", "rejected_times", "rejected_values",
     "explode_logprobs", "gather_logprobs", "read_completions", "read_token_logprobs", "write_table",
     "lineitem_by_supplier", "load", "orders_by_priority", "orders_by_nation",
 ]

