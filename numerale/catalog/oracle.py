@@ -473,6 +473,14 @@ SELECT series_id, round(nll - 2 * ln(CAST(10 AS DOUBLE)) + ln(scale), 6) AS nlld
     sql["param_grid"] = f"""{S2}, {MARKED},\n{POINTS}
 SELECT series_id, CAST(pid AS BIGINT) AS pid, alpha, beta, CAST(prec AS BIGINT) AS prec, temp,
        round("offset", 6) AS "offset", round(scale, 6) AS scale, steps FROM scal"""
+    sql["scoring_requests"] = f"""{S3},\n{SCORES},
+asked AS (
+  SELECT series_id, pid, string_agg(chunk || ' ,', '' ORDER BY i) AS prompt, count(*) FILTER (WHERE split = 'train') AS n_train
+  FROM chosen GROUP BY 1, 2)
+SELECT s.series_id, CAST(s.pid AS BIGINT) AS pid, coalesce(a.prompt, '') AS prompt, coalesce(a.n_train, 0) AS n_train,
+       CAST(lens.n_val AS BIGINT) AS n_val, round(s.scale, 6) AS scale, s.temp AS temperature,
+       CASE WHEN s.scale IS NULL THEN 'no_training_part' WHEN f.cut IS NULL THEN 'does_not_fit' ELSE 'ok' END AS status
+FROM scal s JOIN lens USING (series_id) LEFT JOIN asked a USING (series_id, pid) LEFT JOIN fit f USING (series_id, pid)"""
     sql["grid_scores"] = f"{S1},\n{SCORES} SELECT {SCORE_COLUMNS}, status FROM scores"
     sql["grid_scores_gaps"] = f"{S3},\n{SCORES} SELECT {SCORE_COLUMNS}, status FROM scores"
     sql["best_params"] = f"""{S1},\n{SCORES}

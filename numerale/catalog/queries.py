@@ -590,6 +590,14 @@ def param_grid(spark, sf):
     ).withColumns({"pid": long("pid"), "prec": long("prec")})
 
 
+@query
+def scoring_requests(spark, sf):
+    rows = tuning.scoring_requests(s3(spark, sf), _points(), FMT)
+    return rows.select(
+        "series_id", long("pid").alias("pid"), "prompt", "n_train", "n_val", r6("scale").alias("scale"), "temperature", "status"
+    )
+
+
 @query
 def grid_scores(spark, sf):
     return _rounded(_scores(spark, sf))

@@ -14,6 +14,7 @@ from numerale.operators.budget import prompts
 from numerale.operators.scaling import attach_grid_scalers, unscaled
 from numerale.operators.textnum import decode_completions
 from numerale.plans.prepare import marked_chunks
+from numerale.plans.tuning import for_grid
 from numerale.settings import CONTEXT_TOKENS, STEP_MULTIPLIER, TextFormat
 
 # Parameters, horizon and samples of the final forecast.
@@ -43,7 +44,7 @@ def request_rows(
         raise ValueError("a grid of several points needs the best point per series")
     rows = attach_grid_scalers(series, grid, fit_on, best)
     # one grid point per series from here on: series_id alone is the key
-    return marked_chunks(rows.drop("pid"), fmt, True, n_steps, context, multiplier)
+    return marked_chunks(rows.drop("pid"), for_grid(fmt, grid), True, n_steps, context, multiplier)
 
 
 def forecast_samples(

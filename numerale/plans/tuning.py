@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from numerale.functions import key_columns, require_columns
 from numerale.operators.calendar import split_holdout
-from numerale.operators.likelihood import bin_correction
+from numerale.operators.likelihood import bin_correction, score
 from numerale.operators.nexttoken import ORDER, code_lines, code_position, smoothed_logprob
 from numerale.operators.scaling import attach_grid_scalers, grid_literal
 from numerale.plans.prepare import marked_chunks
-from numerale.settings import CONTEXT_TOKENS, STEP_MULTIPLIER, TextFormat
+from numerale.operators.textnum import joined_chunks
+from numerale.settings import CONTEXT_TOKENS, REQUEST_SEED, STEP_MULTIPLIER, TextFormat
 
 # The grid searched and the length of the validation part.
 GRID = {"alpha": [0.2, 0.5, 0.8], "beta": [0.0, 0.15], "prec": [2], "temp": [1.0]}
@@ -31,6 +33,78 @@ def grid_frame(spark: SparkSession, grid: Sequence[dict]) -> DataFrame:
     return spark.range(1).select(F.inline(grid_literal(grid)))
 
 
+def for_grid(fmt: TextFormat, grid: Sequence[dict]) -> TextFormat:
+    """The format with as many places prepared as the grid asks for."""
+    return replace(fmt, max_prec=max(p["prec"] for p in grid))
+
+
+def scoring_rows(
+    series: DataFrame, grid: Sequence[dict], fmt: TextFormat, val_steps: int, context: int, multiplier: float
+) -> DataFrame:
+    """Chunks of every grid point: the training steps the budget leaves, then the validation steps."""
+    require_columns(series, "series_id", "i", "n", "y")
+    train = F.col("split") == "train"
+    marked = split_holdout(series, val_steps).withColumn("n_val", F.least(F.col("n"), F.lit(val_steps)))
+    rows = attach_grid_scalers(marked, grid, fit_on=train)
+    chunks = marked_chunks(rows, for_grid(fmt, grid), True, val_steps, context, multiplier, within=train)
+    return chunks.withColumn("train", train)
+
+
+def scoring_requests(
+    series: DataFrame,
+    grid: Sequence[dict],
+    fmt: TextFormat = TextFormat(),
+    val_steps: int = VAL_STEPS,
+    context: int = CONTEXT_TOKENS,
+    multiplier: float = STEP_MULTIPLIER,
+    alternatives: int = 5,
+    seed: int = REQUEST_SEED,
+) -> DataFrame:
+    """What a model needs to score every grid point of every series, one row each.
+
+    ``prompt`` is the training text followed by the validation text, to be scored
+    as it stands (no new tokens, ``alternatives`` likeliest tokens per position);
+    ``n_train`` and ``n_val`` say where the scored part begins and how long it is.
+    Series that cannot be asked for keep their row, with a status.
+    """
+    rows = scoring_rows(series, grid, fmt, val_steps, context, multiplier)
+    kept = (F.col("i") >= F.col("cut")) | ~F.col("train")
+    out = rows.groupBy("series_id", "pid").agg(
+        joined_chunks(fmt, kept).alias("prompt"),
+        F.count_if(kept & F.col("train")).alias("n_train"),
+        F.max("n_val").cast("bigint").alias("n_val"),
+        F.max("scale").alias("scale"),
+        F.max("cut").alias("_cut"),
+        F.max("temp").alias("temperature"),
+    )
+    status = F.when(F.col("scale").isNull(), "no_training_part").when(F.col("_cut").isNull(), "does_not_fit").otherwise("ok")
+    return out.select(
+        "series_id", "pid", "prompt", "n_train", "n_val", "scale", "temperature", F.lit(0).alias("max_tokens"),
+        F.lit(alternatives).alias("alternatives"), F.lit(seed).cast("bigint").alias("seed"), status.alias("status"),
+    )
+
+
+def evaluate_responses(
+    requests: DataFrame, responses: DataFrame, grid: Sequence[dict], fmt: TextFormat = TextFormat()
+) -> DataFrame:
+    """The scores of ``evaluate_grid`` from a model's landed answers to ``scoring_requests``.
+
+    ``responses(series_id, pid, tokens, token_logprobs, top_logprobs)`` is joined
+    once; a request without an answer keeps its row, with the status ``no_answer``.
+    """
+    point = F.element_at(grid_literal(grid), F.col("pid") + 1)
+    asked = requests.select("series_id", "pid", "n_train", "n_val", "scale", F.col("status").alias("_asked"), point["prec"].alias("prec"))
+    arrays = ["tokens", "token_logprobs", "top_logprobs"]
+    landed = asked.join(responses.select("series_id", "pid", *arrays), ["series_id", "pid"], "left")
+    landed = landed.withColumn("_answered", F.col("tokens").isNotNull())
+    scored = score(landed.drop("scale"), asked.select("series_id", "pid", "scale"), "n_train", "n_val", fmt)
+    status = (
+        F.when(F.col("_asked") != "ok", F.col("_asked")).when(~F.col("_answered"), "no_answer").otherwise(F.col("status"))
+    )
+    out = scored.select("series_id", point.alias("_p"), status.alias("status"), "nlld").select("series_id", "_p.*", "nlld", "status")
+    return out.withColumn("nlld", F.when(F.col("status") == "ok", F.col("nlld")))
+
+
 def evaluate_grid(
     series: DataFrame,
     grid: Sequence[dict],
@@ -47,15 +121,21 @@ def evaluate_grid(
     After the series has been laid out by ``series_id`` no further shuffle is
     needed, and the counting is hash aggregation without a sort.
 
-    The temperature is carried along; it does not change log-probabilities.
+    The temperature does not change log-probabilities: points that differ in it
+    only are scored once.
     """
-    require_columns(series, "series_id", "i", "n", "y")
-    train = F.col("split") == "train"
-    marked = split_holdout(series, val_steps).withColumn("n_val", F.least(F.col("n"), F.lit(val_steps)))
-    rows = attach_grid_scalers(marked, grid, fit_on=train)
-    chunks = marked_chunks(rows, fmt, True, val_steps, context, multiplier, within=train)
-    kept = chunks.where((F.col("i") >= F.col("cut")) | ~train)
-    lines = code_lines(kept.select("series_id", "pid", "i", "chunk", "scale", "cut", "n_val", train.alias("train")), fmt)
+    alike: dict[tuple, list[dict]] = {}
+    for p in grid:
+        alike.setdefault((p["alpha"], p["beta"], p["prec"]), []).append(p)
+    if len(alike) < len(grid):
+        distinct = [{**points[0], "pid": k} for k, points in enumerate(alike.values())]
+        scores = evaluate_grid(series, distinct, fmt, val_steps, context, multiplier)
+        own = F.array(*[F.array(*[F.struct(F.lit(p["pid"]).alias("pid"), F.lit(float(p["temp"])).alias("temp")) for p in points]) for points in alike.values()])
+        fanned = scores.select("*", F.explode(F.element_at(own, F.col("pid") + 1)).alias("_t"))
+        return fanned.select("series_id", "_t.pid", "alpha", "beta", "prec", "_t.temp", "nlld", "status")
+    chunks = scoring_rows(series, grid, fmt, val_steps, context, multiplier)
+    kept = chunks.where((F.col("i") >= F.col("cut")) | ~F.col("train"))
+    lines = code_lines(kept.select("series_id", "pid", "i", "chunk", "scale", "cut", "n_val", "train"), fmt)
     at = F.col("_at")
     first = F.greatest(at - ORDER, F.lit(1))
     tok, context = F.substring("line", at, F.lit(1)), F.substring("line", first, at - first)
