@@ -80,5 +80,19 @@ QUERIES = {
 }
 
 
+#: Written archives are files; what they give back is known from the pages alone.
+WARC_SQL = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha1(t) AS x FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x, payload_bytes) AS first FROM h)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
 def oracle() -> dict[str, str]:
-    return {}
+    """The other operators hash, learn or tokenize: SQL can't express them, or only as all pairs; see tests/llm."""
+    return {"op6_warc": WARC_SQL}
