@@ -393,6 +393,15 @@ SELECT series_id, i, CAST(suffix_tok AS BIGINT) AS suffix_tok, CAST(suffix_steps
     sql["truncate_report"] = f"{cut3},\n{REPORT} SELECT series_id, {REPORT_COLUMNS} FROM reported"
     sql["truncate_impossible"] = f"""{c2},\n{COUNTED},\n{_budget(12, 30)},\n{REPORT}
 SELECT series_id, {REPORT_COLUMNS} FROM reported"""
+    sql["prepare_joined_digits"] = f"""{c2.replace("regexp_replace(digits, '(.)', ' \\1', 'g')", "digits")},
+counted AS (SELECT *, CASE WHEN z IS NULL THEN 2 ELSE length(digits) + CASE WHEN z < 0 THEN 2 ELSE 1 END END AS n_tok FROM chunked),
+{_budget(12, SMALL_CONTEXT)},
+{REPORT} SELECT series_id, prompt, {REPORT_COLUMNS} FROM reported"""
+    sql["digit_array"] = f"""{S3},
+zed AS (SELECT *, y * 1000 AS z FROM series),
+{_greedy()}
+SELECT series_id, i, coalesce(replace(ltrim(spaced), ' ', '|'), '') AS digits,
+       CASE WHEN z IS NULL THEN -1 ELSE len(string_split(ltrim(spaced), ' ')) END AS n FROM chunked"""
     sql["prepare"] = f"{prep3} SELECT series_id, prompt, {REPORT_COLUMNS} FROM reported"
     whole = "cutted AS (SELECT *, 0 AS cut FROM counted)"
     sql["prepare_whole"] = f"{c1},\n{COUNTED},\n{whole},\n{REPORT} SELECT series_id, prompt, {REPORT_COLUMNS} FROM reported"

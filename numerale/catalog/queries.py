@@ -26,7 +26,7 @@ from numerale.functions import ensure_terminated, week_end
 from numerale.operators import budget, calendar, checks, likelihood, metrics, nexttoken, scaling, textnum
 from numerale.plans import forecast as forecasting
 from numerale.plans import oneshot, prepare as preparing, tuning
-from numerale.settings import CONTEXT_TOKENS
+from numerale.settings import CONTEXT_TOKENS, TextFormat
 from numerale.sources import (
     as_series,
     explode_logprobs,
@@ -330,6 +330,21 @@ def prepare(spark, sf):
     return _report_columns(preparing.prepare(rows, FMT, True, 12, SMALL_CONTEXT), "prompt")
 
 
+@query
+def prepare_joined_digits(spark, sf):
+    # digits without separators: tokens can't be told from spaces
+    joined = TextFormat(bit_sep="")
+    return _report_columns(preparing.prepare(fitted(s2(spark, sf)), joined, True, 12, SMALL_CONTEXT), "prompt")
+
+
+@query
+def digit_array(spark, sf):
+    """One entry per position, so that a first digit above 9 stays one entry."""
+    rows = s3(spark, sf).withColumn("z", F.col("y") * 1000)
+    rows = textnum.digit_arrays(rows, GREEDY)
+    return rows.select("series_id", long("i").alias("i"), F.concat_ws("|", "digit_array").alias("digits"), long(F.coalesce(F.size("digit_array"), F.lit(-1))).alias("n"))
+
+
 @query
 def prepare_whole(spark, sf):
     return _report_columns(preparing.prepare(fitted(s1(spark, sf)), FMT, truncate=False), "prompt")

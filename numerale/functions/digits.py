@@ -166,7 +166,7 @@ def token_count(text: Column | str, fmt: TextFormat) -> Column:
     """
     led = [fmt.bit_sep, fmt.time_sep, fmt.minus_sign, fmt.missing_str] + ([fmt.plus_sign] if fmt.plus_sign else [])
     if any(not re.fullmatch(r" [^ ]*", t) for t in led) or fmt.bit_sep != " ":
-        raise ValueError("tokens can be counted from spaces only when every piece is led by one space; pass n_tok")
+        raise ValueError("tokens can be counted from spaces only when every piece is led by one space")
     text = column(text)
     spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
     if fmt.missing_tokens == 1:

@@ -22,9 +22,19 @@ def tokens(chunk_rows: DataFrame, fmt: TextFormat) -> DataFrame:
     return chunk_rows.select(*carried, F.posexplode(token_array("chunk", fmt)).alias("j", "tok"))
 
 
-def count_tokens(chunk_rows: DataFrame, fmt: TextFormat) -> DataFrame:
-    """Add ``n_tok``: the tokens of the chunk and the separator after it."""
-    return chunk_rows.withColumn("n_tok", (token_count("chunk", fmt) + 1).cast("int"))
+def count_tokens(chunk_rows: DataFrame, fmt: TextFormat, n_tok: Column | None = None) -> DataFrame:
+    """Add ``n_tok``: the tokens of the chunk and the separator after it.
+
+    ``n_tok`` is an expression over ``chunk`` for a model that counts in its own
+    way.  Without it, pieces led by one space are counted from the spaces, and in
+    any other format the sign, every digit, the marker and the separator count one each.
+    """
+    if n_tok is None:
+        try:
+            n_tok = token_count("chunk", fmt) + 1
+        except ValueError:
+            n_tok = F.size(token_array("chunk", fmt)) + F.when(F.col("chunk") == fmt.missing_str, fmt.missing_tokens - 1).otherwise(0)
+    return chunk_rows.withColumn("n_tok", n_tok.cast("int"))
 
 
 def suffix_tokens(chunk_rows: DataFrame, within: Column | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,16 @@ def digits(df: DataFrame, fmt: TextFormat, col: str = "z") -> DataFrame:
     return df.withColumns({"digits": decimal_digits(col, fmt, prec), "overflow": overflow})
 
 
+def digit_arrays(df: DataFrame, fmt: TextFormat, col: str = "z") -> DataFrame:
+    """Add the digits of a scaled value as an array, one entry per position; NULL where the value is missing."""
+    spread = replace(fmt, bit_sep=" ")
+    if fmt.digit_mode == "greedy":
+        rows = with_greedy_digits(df, col, spread, prec_of(df))
+    else:
+        rows = df.withColumn("_spaced", spaced_digits(col, spread, prec_of(df)))
+    return rows.withColumn("digit_array", F.split(F.ltrim("_spaced"), " ")).drop("_spaced")
+
+
 def encode(df: DataFrame, fmt: TextFormat) -> DataFrame:
     """Scale ``y`` with the row's own offset and scale, and write it as a chunk."""
     require_columns(df, "y", "offset", "scale")

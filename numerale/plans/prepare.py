@@ -22,9 +22,10 @@ def marked_chunks(
     context: int = CONTEXT_TOKENS,
     multiplier: float = STEP_MULTIPLIER,
     within: Column | None = None,
+    n_tok: Column | None = None,
 ) -> DataFrame:
-    """Steps with offset and scale to chunks with token counts and the cut."""
-    rows = count_tokens(encode(series, fmt), fmt)
+    """Steps with offset and scale to chunks with token counts (see ``count_tokens``) and the cut."""
+    rows = count_tokens(encode(series, fmt), fmt, n_tok)
     if truncate:
         return mark_budget(rows, n_steps, context, multiplier, within)
     return rows.withColumn("cut", F.lit(0))
@@ -37,6 +38,7 @@ def prepare(
     n_steps: int = PREPARE_STEPS,
     context: int = CONTEXT_TOKENS,
     multiplier: float = STEP_MULTIPLIER,
+    n_tok: Column | None = None,
 ) -> DataFrame:
     """One prompt per series with its token report.
 
@@ -44,4 +46,4 @@ def prepare(
     scaler table).  Without truncation the whole series is kept.
     """
     require_columns(series, "y", "offset", "scale", "i")
-    return prompts(marked_chunks(series, fmt, truncate, n_steps, context, multiplier), fmt)
+    return prompts(marked_chunks(series, fmt, truncate, n_steps, context, multiplier, n_tok=n_tok), fmt)
