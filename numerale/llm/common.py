@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# functions of this package travel with the job: executors need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules["numerale.llm"])
+
 #: Rows of one Arrow batch: a batch of texts stays small beside an executor's memory.
 BATCH_ROWS = 512
 
