@@ -55,13 +55,16 @@ def truth_of(series: DataFrame) -> DataFrame:
     return series.where(F.col("i") >= held).select("series_id", (F.col("i") - held).alias("step"), "y")
 
 
-def analog_completions(series: DataFrame, fmt: TextFormat = FMT) -> DataFrame:
-    """Sample s: the weeks of the horizon s + 1 years earlier, s steps shorter than the first."""
+def analog_completions(series: DataFrame, fmt: TextFormat = FMT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Sample s: the weeks of the horizon s + 1 years earlier, s steps shorter than the first.
+
+    ``carry`` names columns that are constant within a series.
+    """
     sample = F.explode(F.sequence(F.lit(0), F.lit(ANALOGS - 1)))
     rows = encode(fitted(series), fmt).withColumn("sample_id", sample)
     step = F.col("i") - (F.col("n") - HORIZON - SEASON * (F.col("sample_id") + 1))
     rows = rows.where((step >= 0) & (step <= HORIZON - F.col("sample_id")))
-    return rows.groupBy("series_id", "sample_id").agg(joined_chunks(fmt).alias("text"))
+    return rows.groupBy("series_id", "sample_id").agg(joined_chunks(fmt).alias("text"), *[F.max(c).alias(c) for c in carry])
 
 
 def rule_responses(series: DataFrame, fmt: TextFormat = FMT2, context: int = CONTEXT_TOKENS) -> DataFrame:

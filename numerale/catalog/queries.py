@@ -452,7 +452,10 @@ def _decoded(series):
 
 
 def _samples(series):
-    return metrics.rescale(metrics.clip_samples(_decoded(series)), scalers_of(fitted(series)))
+    """Samples on the original scale; the scaler travels with them, so the series is planned once."""
+    answers = analog_completions(series, carry=("offset", "scale"))
+    clipped = metrics.clip_samples(textnum.decode_completions(answers, FMT))
+    return clipped.select("series_id", "sample_id", "step", scaling.unscaled("z").alias("x"))
 
 
 def _wide_benchmark(series):
@@ -482,7 +485,9 @@ def common_horizon(spark, sf):
 
 @query
 def clip_samples(spark, sf):
-    rows = _samples(s1(spark, sf))
+    # the scaler as a table of its own, joined
+    series = s1(spark, sf)
+    rows = metrics.rescale(metrics.clip_samples(_decoded(series)), scalers_of(fitted(series)))
     return rows.select(
         "series_id", long("sample_id").alias("sample_id"), long("step").alias("step"), F.round("x", 4).alias("x")
     )
