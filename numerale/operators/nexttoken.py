@@ -150,6 +150,9 @@ def score_tokens(model: DataFrame, contexts: DataFrame, fmt: TextFormat, top: in
 
     Output as a scored text would be landed, in long form: ``(…, pos, tok,
     logprob FLOAT, top MAP)``.  The first token has no log-probability.
+
+    The contexts of a series, at most |vocabulary|^2, meet its tokens as one map,
+    so the join is on the series alone and no token leaves its place.
     """
     keys = key_columns(model)
     seen = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("neg"), "tok")))
@@ -166,9 +169,12 @@ def score_tokens(model: DataFrame, contexts: DataFrame, fmt: TextFormat, top: in
                 )
             ),
         )
-        .select(*keys, "p2", "p1", "total", "counts", "top")
+        .select(*keys, F.concat("p2", F.lit("\0"), "p1").alias("_context"), F.struct("total", "counts", "top").alias("_seen"))
     )
-    rows = contexts.join(by_context, [*keys, "p2", "p1"], "left")
+    by_series = by_context.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_context", "_seen"))).alias("_model"))
+    context = F.concat("p2", F.lit("\0"), "p1")
+    rows = contexts.join(by_series, keys, "left").withColumn("_seen", F.try_element_at("_model", context)).drop("_model")
+    rows = rows.select("*", "_seen.total", "_seen.counts", "_seen.top")
     count = F.coalesce(F.try_element_at("counts", F.col("tok")), F.lit(0))
     logprob = smoothed_logprob(count, F.coalesce("total", F.lit(0)), fmt).cast("float")
     nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))

@@ -48,3 +48,16 @@ def test_scan_reads_three_columns(spark, tiny):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert {f.split(":")[0] for f in schema.split(",")} == {"l_suppkey", "l_shipdate", "l_extendedprice"}
     assert "PushedFilters: [IsNotNull(l_shipdate), IsNotNull(l_suppkey)]" in plan
+
+
+def test_scored_tokens_do_not_move(spark, tiny):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = final_plan_of(QUERIES["score_tokens"](spark, tiny))
+    finally:
+        spark.conf.set(key, before)
+    kinds = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert all("p1" not in k and "p2" not in k for k in kinds)
+    assert {re.sub(r"#\d+L?", "", k).rsplit(",", 1)[0] for k in kinds} <= {"series_id", "series_id, wk", "series_id, _groupingexpression"}
