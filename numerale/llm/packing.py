@@ -144,11 +144,10 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[tuple[int, .
     return [p for room in rooms for p in by_room[room]]
 
 
-def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, last rank, first sequence, offset, step) of each place in a pattern.
+def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, last rank, first sequence, offset) of each place in a pattern.
 
-    A length that a pattern holds k times takes every k-th rank of its range:
-    sequence = first sequence + (rank - first rank) // k; the place within it follows.
+    A place takes a range of ranks of its length, one for each sequence of the pattern.
     """
     next_rank: dict[int, int] = {}
     rows, sequence = [], 0
@@ -156,7 +155,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
         offset = 0
         for length in pattern:
             rank = next_rank.get(length, 0)
-            rows.append((length, rank, rank + n - 1, sequence, offset, 1))
+            rows.append((length, rank, rank + n - 1, sequence, offset))
             next_rank[length] = rank + n
             offset += length
         sequence += n
