@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from numerale.llm.common import schema_of, small_batches, stored
 
-DEPTH = 4
+DEPTH = 6  # bytes, about a word and the border before it; strings of 7 bytes fit a long with the decision's bits
 BLOCK = 32 << 20
 PART = 2 << 20
 END = b"\xff"

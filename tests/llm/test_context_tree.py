@@ -1,6 +1,7 @@
 """Probabilities against a tree kept in a dictionary, counts against plain counting."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -124,3 +125,19 @@ def test_defined_cases(odd, none):
     assert scored(none, F.lit(True)).count() == 0
     unseen = scored(odd.where("doc_id = 7"), F.lit(False)).collect()
     assert unseen[0].score == pytest.approx(16 * math.log10(0.5)) and unseen[0].train_tokens == 0
+
+
+def test_contexts_beat_word_counts_on_held_out_rows(spark):
+    # words differ in their first two letters only: a context shorter than a word tells nothing of the word before
+    rng = random.Random(3)
+    words = [a + b + "ing" for a in "bcdfghkl" for b in "aeiouy"]
+    follow = {w: rng.sample(words, 2) for w in words}
+    rows = []
+    for k in range(400):
+        text = [rng.choice(words)]
+        while len(text) < 60:
+            text.append(rng.choice(follow[text[-1]]))
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = scored(docs, F.col("doc_id") < 360).where("not learned").collect()
+    assert len(held) == 40 and all(r.score > 0.7 * r.base_score for r in held)
