@@ -6,12 +6,17 @@ lines.  Cutting loses nothing: the lines joined give the text back.
 
 * Fingerprints: line i has the hash of itself, or of itself and the three lines
   after it if it is short.  Of every ``window`` consecutive lines the one with the
-  smallest hash is selected (long lines before short ones), so that two texts that
-  share a run of ``window`` + 3 lines always share a selected position.
+  smallest hash is selected (long lines before short ones), and every line that has
+  ``min_words`` words with a neighbour, so that two texts that share a run of
+  ``min_words`` words always share a selected position (with the default values).
 * Positions: each selected hash is joined to its first place in the corpus (in the
   order of ids), and inside one document to the place before.
 * Extension: on each pair of documents and shift that a fingerprint found, all lines
   that agree are marked, to both sides of the match.
+* The rest: documents with a fingerprint of three or more places, which are not all
+  compared by that, hash their windows of ``min_words`` words; a window whose hash
+  stands earlier is marked, whoever holds it first.  So every run of at least
+  ``min_words`` words of whole lines that stands earlier is found.
 * Deletion: marked lines that follow each other form a run; runs of at least
   ``min_words`` words are deleted.  The first copy always stays.
 
@@ -20,6 +25,9 @@ documents are joined with line hashes (8 bytes a line), never with texts, and a
 pair per document, with its first holder.  Documents that surely take no part in a join
 are told by a bitmap of fixed size and stay where they are.
 
+Only whole lines are compared: what repeats inside a line, such as a passage without
+line ends or clause marks in other surroundings, stays.
+
 Defined cases: null text stays null; empty texts stay; rows that repeat an id and
 its text are one document (they are changed alike), and different texts of one id are
 not compared with each other; a null id comes before all
@@ -63,9 +71,10 @@ def lines_of(text: Column) -> Column:
     return F.split(text, LINE_END, -1)
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+def line_table(docs: DataFrame, id_col: str, text_col: str, window: int, min_words: int) -> DataFrame:
     """Per document: its id d, hash of the text th, line hashes h, words per line nw, the first place of each
-    selected fingerprint in it (first: f, p), and the shifts between places of one fingerprint (shifts)."""
+    selected fingerprint in it (first: f, p, n, its places up to three), and the shifts between places of one
+    fingerprint (shifts)."""
     rows = docs.where(F.col(text_col) != "").select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"),
         F.xxhash64(text_col).alias("th"),
@@ -87,24 +96,70 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
     rows = rows.withColumn("m", F.expr(f"transform({starts}, i -> least({least}))"))
     # g[i] is selected if it is the minimum of one of the windows that hold it
     held = " or ".join(f"get(m, i - {k}) = x" for k in range(window))
+    # runs of one or two lines hold no whole window
+    held += f" or nw[i] + greatest(0, get(nw, i - 1), get(nw, i + 1)) >= {min_words}"
     picked = f"array_sort(filter(transform(g, (x, i) -> if({held}, struct(x as f, i as p), null)), x -> x is not null))"
     rows = rows.select("d", "th", "h", "nw", F.expr(picked).alias("s"))
-    first = F.expr("filter(s, (x, i) -> i = 0 or s[i - 1].f != x.f)")
+    again = " + ".join(f"if(get(s, i + {k}).f <=> x.f, 1, 0)" for k in (1, 2))
+    first = F.expr(f"transform(s, (x, i) -> if(i = 0 or s[i - 1].f != x.f, struct(x.f as f, x.p as p, 1 + {again} as n), null))")
     steps = F.expr("transform(s, (x, i) -> if(i > 0 and s[i - 1].f = x.f, x.p - s[i - 1].p, null))")
-    return rows.select("d", "th", "h", "nw", first.alias("first"), F.array_compact(F.array_distinct(steps)).alias("shifts"))
+    return rows.select("d", "th", "h", "nw", F.array_compact(first).alias("first"), F.array_compact(F.array_distinct(steps)).alias("shifts"))
 
 
 def matches(lines: DataFrame) -> DataFrame:
-    """(d, sd, shifts): line p of the document may equal line p - shift of the source, an earlier document or itself."""
-    places = lines.select("d", F.explode("first").alias("x")).select("d", "x.f", "x.p")
-    shared = places.groupBy("f").agg(F.min(F.struct("d", "p")).alias("o"), F.max("d").alias("last")).where("o.d != last")
-    across = places.join(shared.select("f", "o"), "f").where("d != o.d")
-    across = across.select("d", F.col("o.d").alias("sd"), (F.col("p") - F.col("o.p")).alias("shift"))
-    return across.groupBy("d", "sd").agg(F.collect_set("shift").alias("shifts"))
+    """(d, sd, shifts, many): line p of the document may equal line p - shift of the source, an earlier document or itself.
+
+    ``many``: the document holds a fingerprint of three or more places, not all of which are compared here.
+    """
+    places = lines.select("d", F.explode("first").alias("x")).select("d", "x.*")
+    shared = places.groupBy("f").agg(F.min(F.struct("d", "p")).alias("o"), F.max("d").alias("last"), (F.sum("n") > 2).alias("many"))
+    shared = shared.where("o.d != last or many")
+    across = places.join(shared.select("f", "o", "many"), "f").where("d != o.d or many")
+    across = across.select("d", F.col("o.d").alias("sd"), (F.col("p") - F.col("o.p")).alias("shift"), "many")
+    return across.groupBy("d", "sd").agg(F.collect_set("shift").alias("shifts"), F.max("many").alias("many"))
 
 
-def marked_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """(d, th, p, nw) of every line that agrees with its source at a shift that a fingerprint found.
+def repeated_windows(one: DataFrame, min_words: int) -> DataFrame:
+    """(d, th, p, nw) of every line in a window that occurs before, in an earlier document or the document itself.
+
+    The windows are the shortest ones of ``min_words`` words from each line on, and those up to each line: what two
+    documents share of a run is made of windows both have, so the first holder of each window's hash decides.
+    """
+
+    def reach(i: str, step: int, salt: int) -> str:
+        more = f"(s, j) -> if(s.w >= {min_words}, s, struct(s.w + nw[j] as w, xxhash64(s.k, h[j]) as k, j as e))"
+        near, far = min(8, min_words), min_words  # a line has a word at least
+
+        def over(a: int, b: int, start: str) -> str:
+            end = f"least({i} + {b - 1}, size(h) - 1)" if step > 0 else f"greatest({i} - {b - 1}, 0)"
+            begin = f"{i} + {a}" if step > 0 else f"{i} - {a}"
+            some = f"{begin} <= {end}" if step > 0 else f"{begin} >= {end}"
+            return f"if({some}, aggregate(sequence({begin}, {end}, {step}), {start}, {more}), {start})"
+
+        first = over(0, near, f"struct(0 as w, {salt}L as k, {i} as e)")
+        if far == near:
+            return first
+        return f"transform(array({first}), t -> if(t.w >= {min_words}, t, {over(near, far, 't')}))[0]"
+
+    lines = "sequence(0, size(h) - 1)"
+    ahead = f"transform({lines}, i -> transform(array({reach('i', 1, 1)}), t -> if(t.w >= {min_words}, struct(t.k as k, i as a, t.e as b), null))[0])"
+    # a shortest window from its first line on is not taken again from its last
+    fits = f"t.w >= {min_words} and t.w - nw[i] >= {min_words}"
+    back = f"transform({lines}, i -> transform(array({reach('i', -1, 2)}), t -> if({fits}, struct(t.k as k, t.e as a, i as b), null))[0])"
+    rows = one.select("d", "th", "nw", F.expr(f"array_sort(array_compact(concat({ahead}, {back})))").alias("w"))
+    rows = stored(rows, "lines-windows")
+    each = rows.select("d", "th", F.expr("transform(w, (x, i) -> struct(x.k as k, x.a as a, x.b as b, i > 0 and get(w, i - 1).k <=> x.k as again))").alias("w"))
+    each = each.select("d", "th", F.explode("w").alias("x")).select("d", "th", "x.*")
+    holders = each.where("not again").groupBy("k").agg(F.min("d").alias("o"), F.max("d").alias("last")).where("o != last")
+    later = each.join(holders.select("k", "o"), "k").where("d > o").select("d", "th", "a", "b")
+    spans = later.unionByName(each.where("again").select("d", "th", "a", "b")).distinct()
+    spans = spans.select("d", "th", F.explode(F.sequence("a", "b")).alias("p")).distinct()
+    words = one.select("d", "th", F.posexplode("nw").alias("p", "nw"))
+    return spans.join(words, ["d", "th", "p"])
+
+
+def marked_lines(lines: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """(d, th, p, nw) of every line that agrees with its source at a shift that a fingerprint found, or is in a repeated window.
 
     The rows stay where the last join put them, by d, up to the runs.
     """
@@ -112,6 +167,8 @@ def marked_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
     if not lines.groupBy("d", "th").count().where("count > 1").isEmpty():
         one = one.dropDuplicates(["d", "th"])  # rows repeat an id and its text
     found = stored(found, "lines-pairs")
+    many = with_flag(one, F.col("d"), found.where("many"), "d").where("__flag").select("d", "th", "h", "nw")
+    found = found.where("d != sd").drop("many")
     source = with_flag(one, F.col("d"), found, "sd").where("__flag").select(F.col("d").alias("sd"), F.col("h").alias("sh"))
     mine = with_flag(one, F.col("d"), found, "d").where("__flag or size(shifts) > 0").drop("__flag")
     pairs = found.withColumnRenamed("shifts", "at").join(source, "sd").select("d", "at", "sh")
@@ -125,7 +182,7 @@ def marked_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
     across = f"if(sh is null, array(), {agreeing('at', 'sh')})"
     places = F.expr(f"array_distinct(concat({across}, {agreeing('shifts', 'h')}))")
     each = both.select("d", "th", F.explode(F.transform(places, lambda i: F.struct(i.alias("p"), F.get("nw", i).alias("nw")))).alias("x"))
-    return each.select("d", "th", "x.*").distinct()
+    return each.select("d", "th", "x.*").unionByName(repeated_windows(many, min_words)).distinct()
 
 
 def repeated_runs(marked: DataFrame, min_words: int) -> DataFrame:
@@ -140,8 +197,8 @@ def remove_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, min_words: int = 25
 ) -> DataFrame:
     """``docs`` with later copies of repeated runs deleted, and the column lines_removed."""
-    lines = stored(line_table(docs, id_col, text_col, window), "lines")
-    runs = repeated_runs(marked_lines(lines, matches(lines)), min_words)
+    lines = stored(line_table(docs, id_col, text_col, window, min_words), "lines")
+    runs = repeated_runs(marked_lines(lines, matches(lines), min_words), min_words)
     runs = runs.select(F.col("d").alias("__d"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
     runs = stored(runs, "lines-runs")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))

@@ -47,6 +47,20 @@ def test_copies_and_repeats_inside_a_text(spark):
     assert 0 < len(got[4]) < 40
 
 
+def test_repeats_go_whoever_holds_their_lines_first(spark):
+    rng = random.Random(9)
+    run = [sentence(rng, 9) for _ in range(4)]
+    rows = [(k, f"{sentence(rng, 9)} {run[k]} {sentence(rng, 9)}") for k in range(4)]  # each line stands earlier, the run does not
+    rows += [(7, " ".join([sentence(rng, 9), *run, sentence(rng, 9)])), (9, " ".join([sentence(rng, 9), *run, sentence(rng, 9)]))]
+    own = [sentence(rng, 9) for _ in range(4)]
+    parts = [own[0], sentence(rng, 9), own[1], sentence(rng, 9), own[2], sentence(rng, 9), own[3], sentence(rng, 9)]
+    rows.append((12, " ".join([*parts, *own, sentence(rng, 9), *own, sentence(rng, 9)])))  # the same inside one text
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(got[k] == t for k, t in rows[:5])
+    assert not any(line in got[9] for line in run) and got[9].count(".") == 2
+    assert [got[12].count(line) for line in own] == [2] * 4
+
+
 def test_short_repeats_stay(spark):
     rows = [(k, f"Licensed as ever, for all. Text number {k} {'xyz'[k]} goes on here.") for k in range(3)]
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == dict(rows)
