@@ -28,13 +28,13 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_first(docs, shingle=4, max_bits=4)
+    """One row of each group of near-duplicates stays."""
+    return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate.remove_contaminated(docs, load(spark, sf_dir, "benchmark"))
+    """Rows that hold a benchmark item go, whatever their ids."""
+    return decontaminate.keep_clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

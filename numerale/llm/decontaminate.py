@@ -31,11 +31,12 @@ very long texts are taken whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numerale.llm.common import schema_of, small_batches, texts_of
@@ -137,6 +138,11 @@ class Index:
             at = at + bits[step][out]
         return key, live
 
+    def known(self, text: bytes) -> list[int]:
+        """The word ids of a document's text."""
+        get = self.ids.get
+        return [get(w, 0) for w in words_of(text)]
+
     def search(self, texts: list[list[int]]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text, item) -> (distance, start, end) of texts given as word ids."""
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -184,11 +190,9 @@ class Index:
         return found
 
 
-def contaminated(
-    docs: DataFrame,
+def indexes(
+    spark: SparkSession,
     items: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
     max_edits: float = 0.2,
@@ -197,27 +201,39 @@ def contaminated(
     sampled: int = SAMPLED,
     stride: int = STRIDE,
     seed: int = 1,
-) -> DataFrame:
-    """One row per document and item it holds: distance, similarity and the words where the best match lies."""
-    spark = docs.sparkSession
+) -> list[Callable[[], Index]]:
+    """For each block of items, what makes its index in a task."""
     small_batches(spark)
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    out = schema_of(FOUND)
     repeats = repeats_for(recall, max_edits, steps)
-    texts = docs.select(F.col(id_col).cast("long"), text_col)
-    result = None
+    made = []
     for block in range(blocks):
         mine = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         pairs = [(r.i, r.t.encode()) for r in mine.collect()]  # bounded: one block of items
+        made.append(partial(Index, pairs, repeats, max_edits, steps, sampled, stride, seed))
+    return made
+
+
+def contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **options,
+) -> DataFrame:
+    """One row per document and item it holds: distance, similarity and the words where the best match lies."""
+    out = schema_of(FOUND)
+    texts = docs.select(F.col(id_col).cast("long"), text_col)
+    result = None
+    for make in indexes(docs.sparkSession, items, **options):
 
-        def run(batches: Iterator[pa.RecordBatch], pairs=pairs) -> Iterator[pa.RecordBatch]:
-            index = Index(pairs, repeats, max_edits, steps, sampled, stride, seed)
-            get = index.ids.get
+        def run(batches: Iterator[pa.RecordBatch], make=make) -> Iterator[pa.RecordBatch]:
+            index = make()
             for batch in batches:
                 doc_ids = batch.column(0).to_pylist()
-                texts = [[get(w, 0) for w in words_of(t)] for t in texts_of(batch.column(1))]
+                texts = [index.known(t) for t in texts_of(batch.column(1))]
                 best: dict[tuple, tuple] = {}
                 for (t, k), (distance, a, b) in index.search(texts).items():
                     item, words = index.items[k]
@@ -233,6 +249,28 @@ def contaminated(
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold an item (by id; a null id is one id)."""
+    """``docs`` without the documents that hold an item (by id; a null id is one id: where ids can be null or repeated,
+    ``keep_clean`` decides on rows)."""
     found = contaminated(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__id"]), "left_anti")
+
+
+def clean(make: Callable[[], Index], text: Column) -> Column:
+    """True where a text holds no item of a block."""
+
+    @F.arrow_udf("boolean")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = make()
+        for batch in batches:
+            texts = [index.known(t) for t in texts_of(batch)]
+            held = {t for t, _ in index.search(texts)}
+            yield pa.array([t not in held for t in range(len(texts))], pa.bool_())
+
+    return of(text)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose text holds an item, whatever their ids: each row is decided on by itself."""
+    for make in indexes(docs.sparkSession, items, **options):
+        docs = docs.where(clean(make, F.col(text_col)))
+    return docs

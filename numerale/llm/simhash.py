@@ -155,8 +155,21 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component stays: that with the smallest id (all rows of that id; rows without id stay
-    only where their whole component has none)."""
+    """One document of each component stays: that with the smallest id. Decided by id, a null id being one id: all
+    rows of an id stay with it; where ids can be null or repeated, ``keep_one`` decides on rows."""
     found = near_duplicates(docs, id_col, text_col, **options)
     kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, **options) -> DataFrame:
+    """Exactly one row of each component stays: one with the smallest id (rows without id come last), and of rows
+    that repeat it the first as they are stored."""
+    small_batches(docs.sparkSession)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__fp", fingerprint(F.col(text_col), shingle))
+    rows = stored(rows, "simhash-rows")  # the key of a row is fixed by this table
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    nodes = stored(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(place).alias("first")), "simhash-nodes")
+    labels = near_links(nodes.select("fp"), **options).join(nodes, "fp")
+    kept = labels.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -56,6 +56,20 @@ def test_near_copies_go(spark, planted, sf):
     assert {11_000, 11_001}.isdisjoint(left) and set(rows) - {11_000, 11_001} == left
 
 
+def test_rows_are_decided_on_one_by_one(spark, sf, planted):
+    _, rows, _, item = planted
+    clean = [rows[10_000 + k] for k in range(4)]
+    docs = [(None, rows[12_000]), (None, clean[0]), (7, rows[12_001]), (7, clean[1]), (8, clean[2]), (None, clean[3])]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    left = STAGES["benchmark decontamination"](spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(0, clean[0]), (7, clean[1]), (8, clean[2]), (0, clean[3])])
+    # copies: without id beside an id, without ids only, of one id, and one id with two texts
+    docs = [(None, clean[0]), (3, clean[0]), (None, clean[1]), (None, clean[1]), (5, clean[2]), (5, clean[2]), (5, clean[3])]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    left = STAGES["SimHash near-dedup"](spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(3, clean[0]), (0, clean[1]), (5, clean[2]), (5, clean[3])])
+
+
 def test_run(spark, tiny):
     rows = corpus_pipeline.run(spark, tiny).collect()
     assert rows and rows[0].asDict().keys() >= {"doc_id", "sequence_id", "offset", "length"}
