@@ -7,10 +7,10 @@ linear support vector machine for every two languages votes, ties going to the
 larger sum of margins.  As frequencies enter linearly, a text of any length is scored
 by summing weights over its trigrams, in bounded parts.
 
-Learning: about ``PER_LANGUAGE`` documents of each language (fewer each with very many
-languages: at most ``SAMPLE`` in all, by expectation), chosen by a hash of the id in
-one pass over counts, are described on the executors; the machines, of fixed size,
-are fitted on the driver.
+Learning: at most ``PER_LANGUAGE`` documents of each language (fewer each with very many
+languages: at most ``SAMPLE`` in all, but one of each language), those with the smallest
+hashes of id and text, rows that repeat both being one, are described on the executors;
+the machines, of fixed size, are fitted on the driver.
 
 Defined cases: ``und`` with score 0 if the text is null, empty or has no letter, or
 if nothing could be learned; a language of no known family is a family of its own;
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numerale.llm.common import schema_of, small_batches, texts_of
+from numerale.llm.common import schema_of, small_batches, stored, texts_of
 
 BUCKETS = 1 << 12
 PER_LANGUAGE = 500
@@ -159,14 +159,22 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on a sample of ``docs`` (rows that may be learned from)."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
-    wanted = min(per_language, sample // max(1, len(counts)))
-    span = 1 << 30
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, min(span, wanted * span // n)).otherwise(share)
-    # a hash of the id: copies of one text do not fill the sample
-    chosen = rows.where(F.pmod(F.xxhash64(id_col), F.lit(span)) < share).select(id_col, lang_col, text_col)
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64(F.col("id").cast("string"), "text"))
+    # rows that repeat id and text count once
+    marks = stored(rows.select("lang", "mark").distinct(), "language-marks")
+    counts = stored(marks.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")  # one row per language
+    wanted = max(1, min(per_language, sample // max(1, counts.count())))
+    # about twice as many as wanted reach the driver; of each language the smallest are taken
+    drawn = F.pmod("mark", F.lit(1 << 30)) * F.col("n") <= F.lit((2 * wanted + 64) * (1 << 30))
+    some = marks.join(F.broadcast(counts), "lang").where(drawn).select("lang", "mark").toArrow()
+    best: dict[str, list[int]] = {}
+    for lang, mark in sorted(zip(some["lang"].to_pylist(), some["mark"].to_pylist()), key=lambda x: (x[0], x[1] % (1 << 30), x[1])):
+        if len(best.setdefault(lang, [])) < wanted:
+            best[lang].append(mark)
+    taken = docs.sparkSession.createDataFrame([(lang, m) for lang, own in best.items() for m in own], "lang string, mark long")
+    chosen = rows.join(F.broadcast(taken), ["lang", "mark"]).groupBy("lang", "mark")
+    chosen = chosen.agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "lang", "text")
     out = schema_of("id string, lang string, x binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -151,12 +151,13 @@ def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 15,
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents."""
+    """Fit on at most ``sample`` labelled documents, one of each id."""
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
     chosen = chosen.agg(F.max(F.col(label_col).cast("int")).alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))  # at most `sample` rows
-    rows = rows.select("__id", "__label", text_col)
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
+    # one row of each id, that with the smallest hash: at most `sample` rows, whatever ids repeat
+    rows = rows.groupBy("__id", "__label").agg(F.min_by(F.col(text_col), F.xxhash64(text_col)).alias("__text"))
     out = schema_of("id string, label int, n int, x binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +170,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
     found = rows.mapInArrow(run, "id string, label int, n int, x binary").toArrow()
-    # rows that repeat an id could exceed the sample; the order makes the fit repeatable
-    bags = sorted(zip(found["id"].to_pylist(), found["label"].to_pylist(), found["n"].to_pylist(), found["x"].to_pylist()))[:sample]
+    # the order makes the fit repeatable
+    bags = sorted(zip(found["id"].to_pylist(), found["label"].to_pylist(), found["n"].to_pylist(), found["x"].to_pylist()))
     x = np.frombuffer(b"".join(b[3] for b in bags), np.float32).reshape(-1, FEATURES)
     return fit(x, np.array([b[2] for b in bags], int), np.array([b[1] for b in bags], np.float32))
 

@@ -40,6 +40,19 @@ def test_more_languages_and_unknown_families():
     assert all(model.predict(make(lang, 150))[0] == lang for lang in alphabets for _ in range(10))
 
 
+def test_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda x, labels: seen.append((x, labels)))
+    rows = [(None, f"no id {k} of many", "en") for k in range(300)] + [(5, f"one id {k} of many", "de") for k in range(300)]
+    rows += [(None, "the same row", "fr")] * 300 + [(k, f"other {k}", "fr") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learn(docs, per_language=20)
+    learn(docs, sample=2)  # more languages than the sample
+    assert [seen[0][1].count(v) for v in ("en", "de", "fr")] == [20, 20, 20]
+    assert len(seen[0][0]) == 60
+    assert sorted(seen[1][1]) == ["de", "en", "fr"]
+
+
 def test_defined_cases(spark, odd, none, learned):
     model, _ = learned
     out = identified(odd.drop("score"), model)

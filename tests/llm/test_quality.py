@@ -55,6 +55,17 @@ def test_one_bad_passage_is_found():
     assert ((p > 0.5) == labels[500:]).mean() > 0.9
 
 
+def test_repeated_ids_do_not_fill_the_sample(spark, monkeypatch):
+    from numerale.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, sizes, labels: seen.append(labels.tolist()))
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(k, "other") for k in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k > 1)) for k in range(1, 12)], "doc_id long, quality int")
+    learn(docs, labels, sample=20)
+    assert sorted(seen[0]) == [0] + [1] * 10
+
+
 def test_defined_cases(spark, odd, none, model_and_data):
     model, _, labels = model_and_data
     out = scored(odd.drop("score"), model)
