@@ -13,14 +13,16 @@ the pattern whose range of ranks holds r.  Ranks are dealt per (task, length) an
 shifted by the counts of the tasks before, so that a very frequent length is not
 gathered in one place.
 
-Defined cases: a null text is an empty one (only its end id); special tokens in a
-text are ordinary text; rows that repeat an id are packed once each; an empty table
+Defined cases: a null text is an empty one (only its end id); an added token of the
+vocabulary's file in a text, such as ``<|endoftext|>``, is one id; rows that repeat an id are packed once each; an empty table
 gives no piece.  Columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -45,7 +47,8 @@ class Tokens:
     A space before a non-space always starts a new pre-token, so a text is cut
     there and every part is encoded once and remembered (up to a bound, then the
     memory starts anew).  Texts with other white space beside such a space are
-    encoded whole.
+    encoded whole.  Before all that a text is split at the added tokens of the
+    vocabulary's file, each of which is one id.
     """
 
     def __init__(self, vocabulary: str):
@@ -61,6 +64,11 @@ class Tokens:
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         self.known: dict[str, bytes] = {}
+        with open(public_tokenizers.path(vocabulary.replace(".tiktoken", ".json")), "rb") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        longest = sorted(map(re.escape, added), key=len, reverse=True)
+        self.borders = re.compile(f"({'|'.join(longest)})") if added else None
 
     def encode(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
@@ -72,6 +80,12 @@ class Tokens:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if self.borders is None or not any(t in text for t in self.added):
+            return self.between(text)
+        return b"".join(self.added.get(t) or self.between(t) for t in self.borders.split(text) if t)
+
+    def between(self, text: str) -> bytes:
+        """The ids of a text that holds no added token."""
         parts = text.split(" ")
         if len(parts) == 1:
             return self.encode(text)

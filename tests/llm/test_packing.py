@@ -31,6 +31,17 @@ def test_same_ids(reference, tokens, text):
     assert np.frombuffer(tokens(text), "<u4").tolist() == reference(text)
 
 
+def test_added_tokens(spark, tokens):
+    as_contract = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = lambda text: as_contract.encode(text, add_special_tokens=False).ids
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"{mark}{mark} x", f"one two{mark}", f"  {mark}\n c  d", "<|endoftext| >", f"<{mark}>", f"{mark} " * 3000]
+    for text in texts:
+        assert np.frombuffer(tokens(text), "<u4").tolist() == plain(text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(pack(docs).collect(), list(enumerate(texts)), plain)
+
+
 def check(rows, texts, reference):
     expected = defaultdict(list)
     for i, t in texts:
