@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerale.llm import context_tree, decontaminate, embedding_dedup, language, line_dedup, packing, pii, quality, simhash, warc
+from numerale.llm import context_tree, decontaminate, embedding_dedup, language, line_dedup, manifest, packing, pii, quality, simhash, warc
 from numerale.llm.common import crc_mod, load
 
 #: The query's key; a user passes one of their own and keeps it.
@@ -66,6 +66,14 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
 
 
+def op13_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = {"n_chars": F.col("n_chars") + F.when(struck, 1).otherwise(0)}
+    found = manifest.manifest(docs, "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], tampered)
+    return manifest.verified(found).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_embeddings": op2_embeddings,
@@ -77,6 +85,7 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op13_manifest": op13_manifest,
 }
 
 
@@ -93,6 +102,49 @@ SELECT page_id, payload_bytes,
 FROM f"""
 
 
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _nodes(name: str, leaves: str) -> str:
+    """All nodes of the binary trees over ``leaves`` (g, pos, n, h), level by level."""
+    return f"""{name} AS (
+  SELECT g, 0 AS lvl, pos, n, h FROM {leaves}
+  UNION ALL
+  SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, lvl, pos // 2, n)"""
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce('v' || lang, '') AS g,
+         sha256({" || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+         sha256({" || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars + hit", "text"))}) AS seen
+  FROM (SELECT *, CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+          lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS hit
+        FROM documents)),
+placed AS (
+  SELECT *, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM docs),
+{_nodes("low", "placed")},
+subroots AS (
+  SELECT g AS own, '' AS g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+{_nodes("high", "subroots")},
+ways AS (
+  SELECT p.doc_id, p.g, p.pos, a.lvl, CASE WHEN (p.pos >> a.lvl) % 2 = 1 THEN b.h ELSE '' END AS l, CASE WHEN (p.pos >> a.lvl) % 2 = 0 THEN coalesce(b.h, '') ELSE '' END AS r
+  FROM placed p JOIN low a ON a.g = p.g AND a.pos = p.pos >> a.lvl AND a.n > 1
+  LEFT JOIN low b ON b.g = a.g AND b.lvl = a.lvl AND b.pos = xor(a.pos, 1)
+  UNION ALL
+  SELECT p.doc_id, p.g, p.pos, 1000 + a.lvl, CASE WHEN (s.pos >> a.lvl) % 2 = 1 THEN b.h ELSE '' END, CASE WHEN (s.pos >> a.lvl) % 2 = 0 THEN coalesce(b.h, '') ELSE '' END
+  FROM placed p JOIN subroots s ON s.own = p.g JOIN high a ON a.pos = s.pos >> a.lvl AND a.n > 1
+  LEFT JOIN high b ON b.lvl = a.lvl AND b.pos = xor(a.pos, 1)),
+proofs AS (
+  SELECT g, pos, list(struct_pack(l := l, r := r) ORDER BY lvl) AS way, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof FROM ways GROUP BY g, pos),
+found AS (
+  SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, coalesce(w.proof, sha256('')) AS proof_sha256,
+         list_reduce(list_prepend(struct_pack(l := p.seen, r := ''), coalesce(w.way, [])), lambda a, x: struct_pack(l := sha256(x.l || a.l || x.r), r := '')).l AS folded_root
+  FROM placed p JOIN subroots s ON s.own = p.g CROSS JOIN (SELECT h FROM high WHERE n = 1) t LEFT JOIN proofs w ON w.g = p.g AND w.pos = p.pos)
+SELECT *, folded_root = root AS verified FROM found"""
+
+
 def oracle() -> dict[str, str]:
     """The other operators hash, learn or tokenize: SQL can't express them, or only as all pairs; see tests/llm."""
-    return {"op6_warc": WARC_SQL}
+    return {"op6_warc": WARC_SQL, "op13_manifest": MANIFEST_SQL}
