@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerale.llm import context_tree, decontaminate, embedding_dedup, language, line_dedup, manifest, packing, pii, quality, simhash, warc
+from numerale.llm import context_tree, decontaminate, embedding_dedup, language, line_dedup, manifest, packing, pii, quality, simhash, vector_search, warc
 from numerale.llm.common import crc_mod, load
 
 #: The query's key; a user passes one of their own and keeps it.
@@ -66,6 +66,11 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
 
 
+def op12_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    found = vector_search.top_k(load(spark, sf, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op13_manifest(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
     struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op12_exact_top_k": op12_exact_top_k,
     "op13_manifest": op13_manifest,
 }
 
@@ -102,6 +108,17 @@ SELECT page_id, payload_bytes,
 FROM f"""
 
 
+TOP_K_SQL = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM fine q JOIN fine c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10"""
+
+
 def _field(value: str) -> str:
     return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
 
@@ -147,4 +164,4 @@ SELECT *, folded_root = root AS verified FROM found"""
 
 def oracle() -> dict[str, str]:
     """The other operators hash, learn or tokenize: SQL can't express them, or only as all pairs; see tests/llm."""
-    return {"op6_warc": WARC_SQL, "op13_manifest": MANIFEST_SQL}
+    return {"op6_warc": WARC_SQL, "op12_exact_top_k": TOP_K_SQL, "op13_manifest": MANIFEST_SQL}
