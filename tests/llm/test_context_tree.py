@@ -141,3 +141,31 @@ def test_contexts_beat_word_counts_on_held_out_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     held = scored(docs, F.col("doc_id") < 360).where("not learned").collect()
     assert len(held) == 40 and all(r.score > 0.7 * r.base_score for r in held)
+
+
+def test_a_hot_row_is_spread_over_blocks(spark, monkeypatch):
+    from numerale.llm import context_tree
+
+    monkeypatch.setattr(context_tree, "BLOCK", 200)
+    monkeypatch.setattr(context_tree, "PART_BYTES", 500)
+    rows = [(None, "abra cadabra hot row")] * 60 + TEXTS
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    blocks = context_tree.blocks_of(docs.selectExpr("doc_id id", "true learned", "cast(coalesce(text, '') as binary) text", "monotonically_increasing_id() row"))
+    assert blocks.agg(F.max("learned")).first()[0] <= 16 and blocks.agg(F.sum("learned")).first()[0] == len(rows)
+    got = scored(docs, F.lit(True), depth=DEPTH).collect()
+    low = [(t or "").encode().lower() for _, t in rows]
+    tree = Tree(low)
+    want = sorted(tree.score(t) for t in low)
+    assert sorted(r.score for r in got) == pytest.approx(want, rel=1e-6)
+    assert {r.train_tokens for r in got} == {sum(len(t.split()) + 1 for t in low)}
+
+
+def test_bytes_come_back():
+    import numpy as np
+
+    from numerale.llm.context_tree import joined, packed, split, unpacked
+
+    for values in ([], [5], [1, 2, 1 << 60, -3]):
+        assert unpacked(packed(np.array(values, np.int64)), np.int64).tolist() == values
+    for words in ([], [b"a"], [b"a", b"b\xff"]):
+        assert split(joined(words)) == words
