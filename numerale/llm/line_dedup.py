@@ -2,215 +2,261 @@
 
 A text is cut into lines: at line ends, and inside a physical line after the
 punctuation that ends a clause, since shared passages often sit inside longer
-lines.  Cutting loses nothing: the lines joined give the text back.
-
-* Fingerprints: line i has the hash of itself, or of itself and the three lines
-  after it if it is short.  Of every ``window`` consecutive lines the one with the
-  smallest hash is selected (long lines before short ones), and every line that has
-  ``min_words`` words with a neighbour, so that two texts that share a run of
-  ``min_words`` words always share a selected position (with the default values).
-* Positions: each selected hash is joined to its first place in the corpus (in the
-  order of ids), and inside one document to the place before.
-* Extension: on each pair of documents and shift that a fingerprint found, all lines
-  that agree are marked, to both sides of the match.
-* The rest: documents with a fingerprint of three or more places, which are not all
-  compared by that, hash their windows of ``min_words`` words; a window whose hash
-  stands earlier is marked, whoever holds it first.  So every run of at least
-  ``min_words`` words of whole lines that stands earlier is found.
-* Deletion: marked lines that follow each other form a run; runs of at least
-  ``min_words`` words are deleted.  The first copy always stays.
-
-A document sends each fingerprint once, and hash counts are pre-aggregated; pairs of
-documents are joined with line hashes (8 bytes a line), never with texts, and a passage that very many documents share gives one
-pair per document, with its first holder.  Documents that surely take no part in a join
-are told by a bitmap of fixed size and stay where they are.
+lines.  Cutting loses nothing: the lines joined give the text back.  A run is a stretch of
+consecutive lines with at least ``min_words`` words; a run that stands earlier - in a row
+that comes before (by id, then as read), or before in its own text - is deleted.
+
+* Grams: from each line the fewest lines that have half of ``min_words`` words, as one hash.
+* Fingerprints (winnowing): of the grams inside each shortest stretch of ``min_words`` words the
+  one with the smallest hash is selected, so that two texts that share a run always
+  share a selected gram at the same place of it.
+* Positions: each fingerprint of a row is joined to its first place in the corpus, and inside the
+  text to its place before.
+* Extension: on each pair of rows and shift that a fingerprint found, matches are extended both ways
+  line by line; each stretch of agreeing lines with ``min_words`` words is a run.  What
+  agrees with different sources or at different shifts is never joined to one run.
+* The rest: a fingerprint with three or more places may share a run with another place than
+  the first.  Only where the runs found so far do not cover its surroundings, the shortest
+  stretches of ``min_words`` words around all its places are hashed, and each that stands
+  earlier, whoever holds it first, is a run too.  So every run that stands earlier goes.
+
+Fingerprints are sent once per row and pre-aggregated; a passage that very many documents share gives
+one pair per document, with its first holder.  Hashes with very many places (at most ``HOT_KEYS``)
+meet their holder by broadcast, the others by a shuffle; rows that surely take no part in a join are
+told by a bitmap (sized by the number of keys, at most 16 MB) and stay where they are.  Pairs
+are joined with line hashes (8 bytes a line), never with texts.
 
 Only whole lines are compared: what repeats inside a line, such as a passage without
 line ends or clause marks in other surroundings, stays.
 
-Defined cases: null text stays null; empty texts stay; rows that repeat an id and
-its text are one document (they are changed alike), and different texts of one id are
-not compared with each other; a null id comes before all
-others; a text all of whose lines are deleted becomes empty.  Other columns,
-whatever their names, are passed on.
+Defined cases: null text stays null; empty texts stay; rows without id or with one id are
+documents each, equal rows too (the first as read keeps its text); a null id comes before all
+others; a text all of whose lines are deleted becomes empty.  Other columns, whatever their
+names, are passed on; if there is a column of the result's name, the result's gets an
+underscore more.  Rows are numbered as they are read: ``docs`` must come in the same order
+when it is read again, as files do (a row that does not is left as it is).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from numerale.llm.common import stored
 
 LINE_END = r"(?<=[.,;:!?])(?= )|(?<=\n)"
-SHORT = 5  # words; a line below this is fingerprinted with the lines after it
-NO_ID = -(1 << 63)
-SLOTS = 1 << 22
+MARK = "\x01"
+#: Bits of a bitmap, at least and at most, and per key.
+SLOTS, MOST_SLOTS, SLOTS_PER_KEY = 1 << 16, 1 << 27, 8
+#: Keys that have more than this share of all places are joined by broadcast: so many at most.
+HOT_KEYS = 10_000
+NEAR = 6  # lines that most stretches need
 
 
-def with_flag(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """``rows`` with the column __flag: false only if the key is surely not among the ``wanted`` keys.
+def flags(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with the column flag: false only if the key is surely not in ``wanted``, a stored table with this key.
 
-    The wanted keys set bits of a map of ``SLOTS`` bits, which is broadcast: half a
-    megabyte, however many keys there are.  What is not flagged need not be shuffled to a
-    join with them; with far more keys than slots everything is flagged and nothing is lost.
+    The wanted keys set bits of a map, which is broadcast.  What is not flagged need not be shuffled to a join with
+    them; with far more keys than slots everything is flagged and nothing is lost.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    at = wanted.select(slot(F.col(wanted_key)).alias("x"))
-    at = at.select(F.bitmap_bucket_number("x").alias("__bucket"), F.bitmap_bit_position("x").alias("x"))
-    maps = at.groupBy("__bucket").agg(F.bitmap_construct_agg("x").alias("__map"))
-    own = rows.withColumn("__slot", slot(key)).withColumn("__bucket", F.bitmap_bucket_number("__slot"))
-    joined = own.join(F.broadcast(maps), "__bucket", "left")
-    place = F.bitmap_bit_position("__slot")
-    byte = F.conv(F.hex(F.substring("__map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    slots = min(MOST_SLOTS, max(SLOTS, 1 << (SLOTS_PER_KEY * wanted.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(key), F.lit(slots))
+    at = wanted.select(slot.alias("x"))
+    at = at.select(F.bitmap_bucket_number("x").alias("bucket"), F.bitmap_bit_position("x").alias("x"))
+    maps = at.groupBy("bucket").agg(F.bitmap_construct_agg("x").alias("map"))
+    own = rows.withColumn("slot", slot).withColumn("bucket", F.bitmap_bucket_number("slot"))
+    joined = own.join(F.broadcast(maps), "bucket", "left")
+    place = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring("map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     flag = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return joined.withColumn("__flag", F.coalesce(flag, F.lit(False))).drop("__slot", "__bucket", "__map")
+    return joined.withColumn("flag", F.coalesce(flag, F.lit(False))).drop("slot", "bucket", "map")
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(text, LINE_END, -1)
+    """The lines of a text: a cut after each line end, and before a blank after a clause mark."""
+    marked = F.replace(text, F.lit("\n"), F.lit("\n" + MARK))
+    for c in ".,;:!?":
+        marked = F.replace(marked, F.lit(c + " "), F.lit(c + MARK + " "))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END, -1)).otherwise(F.split(marked, MARK, -1))
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, window: int, min_words: int) -> DataFrame:
-    """Per document: its id d, hash of the text th, line hashes h, words per line nw, the first place of each
-    selected fingerprint in it (first: f, p, n, its places up to three), and the shifts between places of one
-    fingerprint (shifts)."""
-    rows = docs.where(F.col(text_col) != "").select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"),
-        F.xxhash64(text_col).alias("th"),
-        lines_of(F.col(text_col)).alias("u"),
-    )
-    bare = F.transform("u", lambda u: F.btrim(u, F.lit(" \t\r\n")))
-    rows = rows.select("d", "th", bare.alias("u")).select(
-        "d",
-        "th",
-        F.transform("u", lambda u: F.xxhash64(u)).alias("h"),
-        F.transform("u", lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + 1).alias("nw"),
-    )
-    # the sign bit is set for long lines and clear for short ones; the smallest is selected
-    gram = "xxhash64(h[i], get(h, i + 1), get(h, i + 2), get(h, i + 3))"
-    code = f"transform(nw, (n, i) -> if(n < {SHORT}, {gram} & 9223372036854775807L, h[i] | -9223372036854775808L))"
-    rows = rows.withColumn("g", F.expr(code))
-    least = ", ".join(f"get(g, i + {k})" for k in range(window))
-    starts = f"sequence(0, greatest(size(g) - {window}, 0))"
-    rows = rows.withColumn("m", F.expr(f"transform({starts}, i -> least({least}))"))
-    # g[i] is selected if it is the minimum of one of the windows that hold it
-    held = " or ".join(f"get(m, i - {k}) = x" for k in range(window))
-    # runs of one or two lines hold no whole window
-    held += f" or nw[i] + greatest(0, get(nw, i - 1), get(nw, i + 1)) >= {min_words}"
-    picked = f"array_sort(filter(transform(g, (x, i) -> if({held}, struct(x as f, i as p), null)), x -> x is not null))"
-    rows = rows.select("d", "th", "h", "nw", F.expr(picked).alias("s"))
-    again = " + ".join(f"if(get(s, i + {k}).f <=> x.f, 1, 0)" for k in (1, 2))
-    first = F.expr(f"transform(s, (x, i) -> if(i = 0 or s[i - 1].f != x.f, struct(x.f as f, x.p as p, 1 + {again} as n), null))")
-    steps = F.expr("transform(s, (x, i) -> if(i > 0 and s[i - 1].f = x.f, x.p - s[i - 1].p, null))")
-    return rows.select("d", "th", "h", "nw", F.array_compact(first).alias("first"), F.array_compact(F.array_distinct(steps)).alias("shifts"))
-
-
-def matches(lines: DataFrame) -> DataFrame:
-    """(d, sd, shifts, many): line p of the document may equal line p - shift of the source, an earlier document or itself.
-
-    ``many``: the document holds a fingerprint of three or more places, not all of which are compared here.
-    """
-    places = lines.select("d", F.explode("first").alias("x")).select("d", "x.*")
-    shared = places.groupBy("f").agg(F.min(F.struct("d", "p")).alias("o"), F.max("d").alias("last"), (F.sum("n") > 2).alias("many"))
-    shared = shared.where("o.d != last or many")
-    across = places.join(shared.select("f", "o", "many"), "f").where("d != o.d or many")
-    across = across.select("d", F.col("o.d").alias("sd"), (F.col("p") - F.col("o.p")).alias("shift"), "many")
-    return across.groupBy("d", "sd").agg(F.collect_set("shift").alias("shifts"), F.max("many").alias("many"))
+def reach(words: str, i: str, counts: str = "nw") -> str:
+    """SQL: how many lines from line i on have ``words`` words together (by the array ``counts``); 0 if the text ends before."""
 
+    sums = [" + ".join(f"get({counts}, {i} + {k})" for k in range(n + 1)) for n in range(NEAR)]
+    near = " ".join(f"WHEN {total} >= {words} THEN {n + 1}" for n, total in enumerate(sums))
+    # few texts need more: the state is words + lines * 2**32
+    step = f"(s, x) -> if(s % 4294967296 >= {words}, s, s + x + 4294967296)"
+    far = f"aggregate(slice({counts}, {i} + 1, {words}), 0L, {step}, s -> if(s % 4294967296 >= {words}, int(s div 4294967296), 0))"
+    return f"(CASE {near} ELSE {far} END)"
 
-def repeated_windows(one: DataFrame, min_words: int) -> DataFrame:
-    """(d, th, p, nw) of every line in a window that occurs before, in an earlier document or the document itself.
 
-    The windows are the shortest ones of ``min_words`` words from each line on, and those up to each line: what two
-    documents share of a run is made of windows both have, so the first holder of each window's hash decides.
-    """
+def line_table(rows: DataFrame, min_words: int) -> DataFrame:
+    """Per text: id, row, line hashes h, words per line nw, and the places of its fingerprints s (f, p) in the order of f and p.
 
-    def reach(i: str, step: int, salt: int) -> str:
-        more = f"(s, j) -> if(s.w >= {min_words}, s, struct(s.w + nw[j] as w, xxhash64(s.k, h[j]) as k, j as e))"
-        near, far = min(8, min_words), min_words  # a line has a word at least
-
-        def over(a: int, b: int, start: str) -> str:
-            end = f"least({i} + {b - 1}, size(h) - 1)" if step > 0 else f"greatest({i} - {b - 1}, 0)"
-            begin = f"{i} + {a}" if step > 0 else f"{i} - {a}"
-            some = f"{begin} <= {end}" if step > 0 else f"{begin} >= {end}"
-            return f"if({some}, aggregate(sequence({begin}, {end}, {step}), {start}, {more}), {start})"
-
-        first = over(0, near, f"struct(0 as w, {salt}L as k, {i} as e)")
-        if far == near:
-            return first
-        return f"transform(array({first}), t -> if(t.w >= {min_words}, t, {over(near, far, 't')}))[0]"
-
-    lines = "sequence(0, size(h) - 1)"
-    ahead = f"transform({lines}, i -> transform(array({reach('i', 1, 1)}), t -> if(t.w >= {min_words}, struct(t.k as k, i as a, t.e as b), null))[0])"
-    # a shortest window from its first line on is not taken again from its last
-    fits = f"t.w >= {min_words} and t.w - nw[i] >= {min_words}"
-    back = f"transform({lines}, i -> transform(array({reach('i', -1, 2)}), t -> if({fits}, struct(t.k as k, t.e as a, i as b), null))[0])"
-    rows = one.select("d", "th", "nw", F.expr(f"array_sort(array_compact(concat({ahead}, {back})))").alias("w"))
-    rows = stored(rows, "lines-windows")
-    each = rows.select("d", "th", F.expr("transform(w, (x, i) -> struct(x.k as k, x.a as a, x.b as b, i > 0 and get(w, i - 1).k <=> x.k as again))").alias("w"))
-    each = each.select("d", "th", F.explode("w").alias("x")).select("d", "th", "x.*")
-    holders = each.where("not again").groupBy("k").agg(F.min("d").alias("o"), F.max("d").alias("last")).where("o != last")
-    later = each.join(holders.select("k", "o"), "k").where("d > o").select("d", "th", "a", "b")
-    spans = later.unionByName(each.where("again").select("d", "th", "a", "b")).distinct()
-    spans = spans.select("d", "th", F.explode(F.sequence("a", "b")).alias("p")).distinct()
-    words = one.select("d", "th", F.posexplode("nw").alias("p", "nw"))
-    return spans.join(words, ["d", "th", "p"])
-
-
-def marked_lines(lines: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
-    """(d, th, p, nw) of every line that agrees with its source at a shift that a fingerprint found, or is in a repeated window.
-
-    The rows stay where the last join put them, by d, up to the runs.
+    ``rows``: id, row, text.
+    """
+    gram = (min_words + 1) // 2
+    rows = rows.where(F.col("text") != "").select("id", "row", F.xxhash64("text").alias("th"), lines_of(F.col("text")).alias("u"))
+    bare = F.transform("u", lambda u: F.btrim(u, F.lit(" \t\r\n")))
+    rows = rows.select("id", "row", "th", bare.alias("u")).select(
+        "id",
+        "row",
+        "th",
+        F.transform("u", lambda u: F.xxhash64(u)).alias("h"),
+        # no more than a run needs: a line counts at most min_words words
+        F.transform("u", lambda u: F.least(F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + 1, F.lit(min_words))).alias("nw"),
+    )
+    every = "sequence(0, size(nw) - 1)"
+    rows = rows.withColumns(
+        {"m": F.expr(f"transform({every}, i -> {reach(str(gram), 'i')})"), "w": F.expr(f"transform({every}, i -> {reach(str(min_words), 'i')})")}
+    )
+    rows = rows.withColumn("g", F.expr("transform(m, (n, i) -> if(n > 0, xxhash64(slice(h, i + 1, n)), null))"))
+    # the grams inside the stretch from line i on; of equal ones the last
+    inside = "filter(sequence(i, i + n - 1), k -> m[k] > 0 and k + m[k] <= i + n)"
+    least = f"array_min(transform({inside}, k -> struct(g[k] as f, -k as p)))"
+    rows = rows.withColumn("s", F.expr(f"filter(transform(w, (n, i) -> if(n > 0 and size(m) = size(g), {least}, null)), x -> x is not null)"))
+    # from line to line the selected place never goes back
+    once = "filter(s, (x, i) -> i = 0 or s[i - 1].p != x.p)"
+    places = F.expr(f"array_sort(transform({once}, x -> struct(x.f as f, -x.p as p)))")
+    return rows.select("id", "row", "th", "h", "nw", places.alias("s"))
+
+
+def first_holders(places: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(places that have an earlier holder, with it and n; the keys of at least two places, stored).
+
+    ``places``: key, at (a struct that orders them), n (how many it stands for).  Keys with very many places meet
+    their holder by broadcast: their number is bounded, however large the corpus is.
     """
-    one = lines.select("d", "th", "h", "nw", "shifts")
-    if not lines.groupBy("d", "th").count().where("count > 1").isEmpty():
-        one = one.dropDuplicates(["d", "th"])  # rows repeat an id and its text
-    found = stored(found, "lines-pairs")
-    many = with_flag(one, F.col("d"), found.where("many"), "d").where("__flag").select("d", "th", "h", "nw")
-    found = found.where("d != sd").drop("many")
-    source = with_flag(one, F.col("d"), found, "sd").where("__flag").select(F.col("d").alias("sd"), F.col("h").alias("sh"))
-    mine = with_flag(one, F.col("d"), found, "d").where("__flag or size(shifts) > 0").drop("__flag")
-    pairs = found.withColumnRenamed("shifts", "at").join(source, "sd").select("d", "at", "sh")
-    both = mine.join(pairs, "d", "left").where("sh is not null or size(shifts) > 0")
-
-    def agreeing(shifts: str, other: str) -> str:
-        from_, to = "greatest(k, 0)", f"least(size(h), size({other}) + k) - 1"
-        each = f"filter(sequence({from_}, {to}), i -> h[i] = {other}[i - k])"
-        return f"flatten(transform({shifts}, k -> if({from_} <= {to}, {each}, array())))"
-
-    across = f"if(sh is null, array(), {agreeing('at', 'sh')})"
-    places = F.expr(f"array_distinct(concat({across}, {agreeing('shifts', 'h')}))")
-    each = both.select("d", "th", F.explode(F.transform(places, lambda i: F.struct(i.alias("p"), F.get("nw", i).alias("nw")))).alias("x"))
-    return each.select("d", "th", "x.*").unionByName(repeated_windows(many, min_words)).distinct()
-
-
-def repeated_runs(marked: DataFrame, min_words: int) -> DataFrame:
-    """(d, th, runs): the first and last lines of each run that is deleted."""
-    ordered = F.row_number().over(Window.partitionBy("d", "th").orderBy("p"))
-    runs = marked.withColumn("run", F.col("p") - ordered).groupBy("d", "th", "run")
-    runs = runs.agg(F.min("p").alias("a"), F.max("p").alias("b"), F.sum("nw").alias("words")).where(F.col("words") >= min_words)
-    return runs.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    held = places.groupBy(key).agg(F.min("at").alias("o"), F.sum("n").alias("all"), F.count("*").alias("rows"))
+    held = stored(held.where("rows > 1 or all > 1"), "lines-holders")
+    total = held.agg(F.sum("rows")).first()[0] or 0
+    many = max(1000, total // HOT_KEYS)
+    hot = held.where(F.col("rows") > many).select(key, F.col("o").alias("hot_o"), F.col("all").alias("hot_all"))
+    cold = held.where(F.col("rows") <= many).select(key, "o", "all")
+    met = places.join(F.broadcast(hot), key, "left")
+    at_hot = met.where("hot_o is not null").select(key, "at", F.col("hot_o").alias("o"), F.col("hot_all").alias("all"))
+    rest = flags(met.where("hot_o is null").select(key, "at"), key, held).where("flag").select(key, "at")
+    return at_hot.unionByName(rest.join(cold, key)), held
+
+
+def enough(a: str, b: str, min_words: int) -> str:
+    """SQL: whether the lines a to b have ``min_words`` words together; a line has one at least."""
+    lines = f"(({b}) - ({a}) + 1)"
+    return f"({lines} >= {min_words} or aggregate(slice(nw, ({a}) + 1, greatest({lines}, 0)), 0, (t, x) -> t + x) >= {min_words})"
+
+
+def agreeing(shifts: str, other: str, min_words: int) -> str:
+    """SQL: the runs (a, b) of lines that agree with the lines of ``other`` ``k`` before, for each shift k."""
+    from_, to = "greatest(k, 0)", f"(least(size(h), size({other}) + k) - 1)"
+    breaks = f"concat(array({from_} - 1), filter(sequence({from_}, {to}), i -> h[i] != {other}[i - k]), array({to} + 1))"
+    runs = "transform(slice(z, 2, size(z) - 1), (e, j) -> struct(z[j] + 1 as a, e - 1 as b))"
+    runs = f"filter({runs}, r -> r.b >= r.a and {enough('r.a', 'r.b', min_words)})"
+    one = f"flatten(transform(array({breaks}), z -> {runs}))"
+    return f"flatten(transform({shifts}, k -> if({from_} <= {to}, {one}, array())))"
+
+
+def paired_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """(row, th, runs, open): the runs that agree with the first holder of a fingerprint or inside the text, and the
+    places of fingerprints with three or more places that they do not cover."""
+    first = F.expr("filter(transform(s, (x, i) -> if(i = 0 or s[i - 1].f != x.f, struct(x.f as f, x.p as p, if(get(s, i + 1).f <=> x.f, if(get(s, i + 2).f <=> x.f, 3, 2), 1) as n), null)), x -> x is not null)")
+    places = lines.select("id", "row", F.explode_outer(first).alias("x")).where("x.f is not null")
+    places = places.select(F.col("x.f").alias("f"), F.struct("id", "row", F.col("x.p").alias("p"), F.col("x.n").alias("n")).alias("at"), F.col("x.n").alias("n"))
+    met, _ = first_holders(places, "f")
+    many = F.col("all") > 2
+    met = met.where((F.col("at.row") != F.col("o.row")) | many)
+    met = met.select(
+        F.col("at.row").alias("row"), F.col("o.row").alias("source"), (F.col("at.p") - F.col("o.p")).alias("shift"),
+        F.when(many, F.col("at.p")).alias("p"), (many & (F.col("at.n") > 1)).alias("again"),
+    )
+    pairs = met.groupBy("row", "source").agg(F.collect_set("shift").alias("at"), F.collect_list("p").alias("ps"), F.max("again").alias("again"))
+    pairs = stored(pairs, "lines-pairs")
+    sources = pairs.select(F.col("source").alias("row"), F.col("row").alias("later")).where("row != later")
+    source = flags(lines.select("row", "h"), "row", sources).where("flag").select(F.col("row").alias("source"), F.col("h").alias("sh"))
+    other = pairs.where("row != source").join(source, "source")
+    # a row that holds a fingerprint first is compared with itself only
+    own = pairs.where("row = source").select("source", "row", "at", "ps", "again", F.lit(None).cast("array<bigint>").alias("sh"))
+    found = other.select("source", "row", "at", "ps", "again", "sh").unionByName(own)
+    steps = F.expr("array_distinct(filter(transform(s, (x, i) -> if(i > 0 and s[i - 1].f = x.f, x.p - s[i - 1].p, null)), x -> x is not null))")
+    mine = flags(lines.select("row", "th", "h", "nw", "s", steps.alias("steps")), "row", pairs).where("flag or size(steps) > 0").drop("flag")
+    both = mine.join(found, "row", "left")
+    runs = F.when(F.col("sh").isNotNull(), F.expr(agreeing("at", "sh", min_words))).alias("runs")
+    each = both.select("row", "th", "h", "nw", "s", "steps", runs, "ps", "again")
+    each = each.groupBy("row").agg(
+        F.first("th").alias("th"), F.first("h").alias("h"), F.first("nw").alias("nw"), F.first("s").alias("s"), F.first("steps").alias("steps"),
+        F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("ps")).alias("ps"), F.max("again").alias("again"),
+    )
+    each = each.withColumn("runs", F.concat("runs", F.expr(agreeing("steps", "h", min_words))))
+    each = each.withColumn("ps", F.expr("if(again, transform(s, x -> x.p), ps)"))
+    before, after = enough("r.a", "p - 1", min_words), enough("p + 1", "r.b", min_words)
+    covered = f"exists(runs, r -> r.a <= p and r.b >= p and (r.a = 0 or {before}) and (r.b = size(h) - 1 or {after}))"
+    each = each.withColumn("open", F.expr(f"filter(ps, p -> not {covered})"))
+    gram = f"transform(open, p -> xxhash64(slice(h, p + 1, {reach(str((min_words + 1) // 2), 'p')})))"
+    return stored(each.select("row", "th", "runs", F.expr(gram).alias("open")), "lines-runs")
+
+
+def other_runs(lines: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """(row, th, runs): around all places of the fingerprints left open, the shortest stretches that stand earlier."""
+    wanted = stored(found.select(F.explode("open").alias("f")).distinct(), "lines-open")
+    places = lines.select("row", F.explode("s").alias("x")).select("row", F.col("x.f").alias("f"), F.col("x.p").alias("p"))
+    places = flags(places, "f", wanted).where("flag").join(wanted, "f").groupBy("row").agg(F.collect_list("p").alias("ps"))
+    places = stored(places, "lines-places")
+    rows = flags(lines.select("id", "row", "th", "h", "nw"), "row", places).where("flag").join(places, "row")
+    # the lines of the shortest stretches from each line on (w) and up to each line (v)
+    every = "sequence(0, size(nw) - 1)"
+    rows = rows.withColumn("wn", F.reverse("nw"))
+    up_to = reach(str(min_words), "(size(wn) - 1 - i)", "wn")
+    rows = rows.withColumns({"w": F.expr(f"transform({every}, i -> {reach(str(min_words), 'i')})"), "v": F.expr(f"transform({every}, i -> {up_to})")})
+    # those that hold the place
+    ahead = f"transform(filter(sequence(greatest(p - {min_words - 1}, 0), p), i -> w[i] > p - i), i -> i * 4294967296L + i + w[i] - 1)"
+    back = f"transform(filter(sequence(p, least(p + {min_words - 1}, size(v) - 1)), i -> v[i] > i - p), i -> (i - v[i] + 1) * 4294967296L + i)"
+    each = f"array_distinct(flatten(transform(ps, p -> concat({ahead}, {back}))))"
+    windows = rows.select("id", "row", "th", "h", F.expr(each).alias("ab"))
+    hashed = "transform(ab, x -> struct(xxhash64(slice(h, int(x div 4294967296) + 1, int(x % 4294967296 - x div 4294967296) + 1)) as k, int(x div 4294967296) as a, int(x % 4294967296) as b))"
+    # explode_outer: a filter on what is exploded would be pushed down, and all of this computed again for it
+    windows = windows.select("id", "row", "th", F.explode_outer(F.expr(hashed)).alias("x")).where("x.k is not null")
+    at = F.struct("id", "row", F.col("x.a").alias("a"), F.col("x.b").alias("b"), "th")
+    windows = stored(windows.select(F.col("x.k").alias("k"), at.alias("at"), F.lit(1).alias("n")), "lines-windows")
+    met, _ = first_holders(windows, "k")
+    met = met.where("at.row != o.row or at.a != o.a")
+    return met.groupBy(F.col("at.row").alias("row")).agg(F.first("at.th").alias("th"), F.collect_list(F.struct("at.a", "at.b")).alias("runs"))
+
+
+def repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
+    """(row, th, runs), stored: the first and last lines of the runs of each row that stand earlier."""
+    lines = stored(line_table(rows, min_words), "lines")
+    found = paired_runs(lines, min_words)
+    both = found.where("size(runs) > 0").select("row", "th", "runs").unionByName(other_runs(lines, found, min_words))
+    both = both.groupBy("row").agg(F.first("th").alias("th"), F.flatten(F.collect_list("runs")).alias("runs"))
+    gone = F.expr("array_distinct(flatten(transform(runs, r -> sequence(r.a, r.b))))")
+    return stored(both.select("row", "th", gone.alias("gone")), "lines-gone")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores after it as make it a new one."""
+    while name.lower() in (t.lower() for t in taken):
+        name += "_"
+    return name
 
 
 def remove_repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, min_words: int = 25
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, into: str = "lines_removed"
 ) -> DataFrame:
     """``docs`` with later copies of repeated runs deleted, and the column lines_removed."""
-    lines = stored(line_table(docs, id_col, text_col, window, min_words), "lines")
-    runs = repeated_runs(marked_lines(lines, matches(lines), min_words), min_words)
-    runs = runs.select(F.col("d").alias("__d"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
-    runs = stored(runs, "lines-runs")
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    flagged = with_flag(docs, key, runs, "__d")
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    columns = [F.col(quoted(c)).alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    text = F.col("doc")[text_col]
+    gone = repeated_runs(rows.select(F.col("doc")[id_col].alias("id"), "row", text.alias("text")), min_words)
+    flagged = flags(rows, "row", gone)
     # texts that stay as they are do not move
-    same = flagged.where("not __flag").select(*docs.columns, F.lit(0).alias("lines_removed"))
-    some = flagged.where("__flag").select(*docs.columns, key.alias("__key"), F.xxhash64(text_col).alias("__hash"))
-    out = some.join(runs.hint("merge"), (F.col("__key") == F.col("__d")) & (F.col("__hash") == F.col("__th")), "left")
-    keeps = F.filter(
-        lines_of(F.col(text_col)), lambda u, i: ~F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"]))
+    same = flagged.where("not flag").select("doc", text.alias("text"), F.lit(0).alias("removed"))
+    some = flagged.where("flag").select("doc", "row", F.xxhash64(text).alias("own")).join(gone.hint("merge"), "row", "left")
+    some = some.select("doc", F.when(F.col("own") == F.col("th"), F.col("gone")).alias("gone"), lines_of(text).alias("u"))
+    left = F.expr("array_join(transform(array_except(sequence(0, size(u) - 1), gone), i -> u[i]), '')")
+    changed = some.select(
+        "doc", F.when(F.col("gone").isNull(), text).otherwise(left).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed")
     )
-    text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(keeps, ""))
-    removed = F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return same.unionByName(out.select(*columns, removed.alias("lines_removed")))
+    out = [F.col("text") if c == text_col else F.col("doc")[c] for c in docs.columns]
+    out = [x.alias(c) for x, c in zip(out, docs.columns)]
+    return same.unionByName(changed).select(*out, F.col("removed").alias(free_name(into, docs.columns)))
