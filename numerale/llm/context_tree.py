@@ -39,7 +39,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -48,7 +47,7 @@ from pyspark.sql import functions as F
 from numerale.llm.common import schema_of, small_batches, stored
 
 DEPTH = 6  # bytes, about a word and the border before it; strings of 7 bytes fit a long
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 PART = 2 << 20
 PART_BYTES = 16 << 20
 PARTS = 1 << 14
@@ -74,8 +73,8 @@ def parts_of(texts: list[bytes], size: int = PART) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, distinct strings, first position per text): a string for every byte of every text and its end."""
+def keys_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, first position per text): a string for every byte of every text and its end."""
     data = np.frombuffer(END * depth + b"".join(t + END for t in texts), np.uint8)
     n = len(data) - depth
     sizes = np.array([len(t) + 1 for t in texts])
@@ -88,7 +87,13 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
         for k in range(min(depth - 1, length)):
             low = (1 << (8 * (k + 1))) - 1
             key[s + k] = (key[s + k] & low) | (((1 << (8 * (depth + 1))) - 1) & ~low)
-    codes, distinct = pd.factorize(key)
+    return key, starts
+
+
+def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, distinct strings in order, first position per text)."""
+    key, starts = keys_of(texts, depth)
+    distinct, codes = np.unique(key, return_inverse=True)
     return codes, distinct, starts
 
 
@@ -242,31 +247,46 @@ def top_of(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.n
     return so_far + rest * stay1 * one1, rest * (1 - stay1), p
 
 
+def dealt(distinct: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by part (and string, as given) and where each part begins."""
+    part = part_of(distinct, parts)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def counted(texts: list[bytes], learned: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings of a block, in order, and how often the learned texts hold each."""
+    found, number = [], []
+    for a, b in parts_of(texts):
+        key, _ = keys_of(texts[a:b], depth)
+        own = np.repeat(learned[a:b], [len(t) + 1 for t in texts[a:b]])
+        for some, weight in ((key[own], 1), (key[~own], 0)):
+            some.sort()
+            first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]])) if len(some) else np.zeros(0, np.int64)
+            found.append(some[first])
+            number.append(weight * np.diff(first, append=len(some)))
+    found, number = np.concatenate(found), np.concatenate(number)
+    order = np.argsort(found, kind="stable")
+    found, number = found[order], number[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    return found[first], np.add.reduceat(number, first)
+
+
 class Strings:
-    """The distinct strings of a block, in order of part and string, and the codes of its texts."""
-
-    def __init__(self, texts: list[bytes], depth: int, parts: int):
-        self.texts = [(a, b, *grams(texts[a:b], depth)) for a, b in parts_of(texts)]
-        distinct = np.unique(np.concatenate([x[3] for x in self.texts]))
-        order = np.argsort(part_of(distinct, parts), kind="stable")
-        self.distinct, self.order = distinct, order
-        self.grams = distinct[order]
-        self.cuts = np.searchsorted(part_of(self.grams, parts), np.arange(parts + 1))
-
-    def counts(self, learned: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(self.distinct))
-        for a, b, codes, distinct, _ in self.texts:
-            weight = np.repeat(learned[a:b].astype(np.float64), sizes[a:b])
-            total[np.searchsorted(self.distinct, distinct)] += np.bincount(codes, weight, len(distinct))
-        return total[self.order].astype(np.int64)
+    """The distinct strings of a block, in order, and the codes of its texts."""
+
+    def __init__(self, texts: list[bytes], depth: int):
+        self.texts = []
+        for a, b in parts_of(texts):
+            codes, distinct, starts = grams(texts[a:b], depth)
+            self.texts.append((codes.astype(np.int32), distinct, starts))
+        self.distinct = np.unique(np.concatenate([x[1] for x in self.texts]))
 
     def sums(self, scores: np.ndarray) -> np.ndarray:
-        """Along each text, the sum of its strings' scores (given in the order of ``grams``)."""
-        by_string = np.empty(len(scores))
-        by_string[self.order] = scores
+        """Along each text, the sum of its strings' scores (given in the order of ``distinct``)."""
         out = []
-        for _, _, codes, distinct, starts in self.texts:
-            out.append(np.add.reduceat(by_string[np.searchsorted(self.distinct, distinct)][codes], starts))
+        for codes, distinct, starts in self.texts:
+            out.append(np.add.reduceat(scores[np.searchsorted(self.distinct, distinct)][codes], starts))
         return np.concatenate(out)
 
 
@@ -352,14 +372,15 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, texts, learned = texts_and_marks(data.as_py())
-                strings = Strings(texts, depth, parts)
-                n = strings.counts(learned, np.array([len(t) + 1 for t in texts]))
+                strings, n = counted(texts, learned, depth)
+                order, cuts = dealt(strings, parts)
+                strings, n = strings[order], n[order]
                 words: Counter = Counter()
                 for t, own in zip(texts, learned):
                     words.update(t.split() if own else dict.fromkeys(t.split(), 0))
                 for part, mine in enumerate(words_by_part(words, parts)):
-                    a, b = strings.cuts[part], strings.cuts[part + 1]
-                    steps = np.diff(strings.grams[a:b], prepend=0)
+                    a, b = cuts[part], cuts[part + 1]
+                    steps = np.diff(strings[a:b], prepend=0)
                     found = np.array([words[w] for w in mine], np.int64)
                     yield record(schema, [part], [block], [packed(steps)], [packed(n[a:b])], [joined(mine)], [packed(found)])
 
@@ -416,9 +437,11 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     def score(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         table, texts, learned = texts_and_marks(block.column("rows")[0].as_py())
         answers = answers.sort_by("part")
-        strings = Strings(texts, depth, parts)
-        lp = np.concatenate([unpacked(x, np.float32) for x in answers.column("scores").to_pylist()])
-        scores = strings.sums(lp.astype(np.float64))
+        strings = Strings(texts, depth)
+        lp = np.empty(len(strings.distinct))
+        lp[dealt(strings.distinct, parts)[0]] = np.concatenate([unpacked(x, np.float32) for x in answers.column("scores").to_pylist()])
+        scores = strings.sums(lp)
+        del strings, lp
         total = {w: 0 for t in texts for w in t.split()}
         for mine, n in zip(words_by_part(total, parts), answers.column("word_counts").to_pylist()):
             total.update(zip(mine, unpacked(n, np.int64).tolist()))
