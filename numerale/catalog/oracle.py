@@ -297,6 +297,102 @@ scores AS (SELECT * EXCLUDE (value), CASE WHEN status = 'ok' THEN value END AS n
 SCORE_COLUMNS = "series_id, CAST(pid AS BIGINT) AS pid, alpha, beta, CAST(prec AS BIGINT) AS prec, temp, round(nlld, 6) AS nlld"
 
 
+def _draws(rows: str, asked: str) -> str:
+    """Samples drawn from the counts of ``rows`` (series_id, i, chunk) for ``asked`` (series_id, prompt, max_tokens,
+    temperature, n_samples): texts (series_id, sample_id, text), one draw of every sample per round."""
+    words = ", ".join(f"' {d}'" for d in range(10)) + ", ' ,', ' -', ' Nan'"
+    return f"""voc AS (SELECT unnest([{words}]) AS tok, unnest(range(13)) AS k),
+d_tokens AS (
+  SELECT series_id, i, unnest(regexp_extract_all(chunk || ' ,', ' [^ ]+')) AS tok,
+         unnest(range(len(regexp_extract_all(chunk || ' ,', ' [^ ]+')))) AS j FROM {rows}),
+d_ctx AS (
+  SELECT series_id, tok, lag(tok, 2) OVER w AS p2, lag(tok, 1) OVER w AS p1 FROM d_tokens WINDOW w AS (PARTITION BY series_id ORDER BY i, j)),
+d_pairs AS (
+  SELECT series_id, a.k * 13 + b.k AS ctx, t.k, count(*) AS c
+  FROM d_ctx JOIN voc a ON a.tok = p2 JOIN voc b ON b.tok = p1 JOIN voc t ON t.tok = d_ctx.tok WHERE t.k < 12 GROUP BY ALL),
+d_counts AS (SELECT * FROM d_pairs UNION ALL SELECT series_id, 169, k, sum(c) FROM d_pairs GROUP BY ALL),
+d_weights AS (
+  SELECT q.series_id, q.ctx, v.k, power(coalesce(c, 0) / CAST(max(c) OVER (PARTITION BY q.series_id, q.ctx) AS DOUBLE), 1 / temperature) AS w
+  FROM (SELECT DISTINCT series_id, ctx FROM d_counts) q JOIN {asked} r ON r.series_id = q.series_id CROSS JOIN voc v
+  LEFT JOIN d_counts c ON c.series_id = q.series_id AND c.ctx = q.ctx AND c.k = v.k),
+d_tables AS (
+  SELECT series_id, ctx, list(cum ORDER BY k) AS cum
+  FROM (SELECT *, sum(w) OVER (PARTITION BY series_id, ctx ORDER BY k) AS cum FROM d_weights) GROUP BY 1, 2),
+d_start AS (
+  SELECT series_id, max_tokens, unnest(range(n_samples)) AS sample_id, regexp_extract_all(prompt, ' [^ ]+') AS toks FROM {asked}),
+d_draws AS (
+  SELECT series_id, sample_id, 0 AS drawn, max_tokens, '' AS text, a.k * 13 + b.k AS ctx,
+         CAST('0x' || substr(md5(CAST(series_id AS VARCHAR) || '|' || CAST(sample_id AS VARCHAR) || '|1234'), 1, 8) AS BIGINT) % 2147483646 + 1 AS rng
+  FROM d_start JOIN voc a ON a.tok = toks[-2] JOIN voc b ON b.tok = toks[-1]
+  UNION ALL
+  SELECT d.series_id, sample_id, drawn + 1, max_tokens, text || tok, (d.ctx % 13) * 13 + k, rng
+  FROM (
+    SELECT d.* REPLACE (d.rng * 48271 % 2147483647 AS rng), coalesce(a.cum, b.cum) AS cum
+    FROM d_draws d LEFT JOIN d_tables a ON a.series_id = d.series_id AND a.ctx = d.ctx
+    JOIN d_tables b ON b.series_id = d.series_id AND b.ctx = 169 WHERE drawn < max_tokens) d
+  JOIN voc ON k = len(list_filter(cum, lambda w: w <= rng / CAST(2147483647 AS DOUBLE) * cum[13]))),
+texts AS (SELECT series_id, sample_id, text FROM d_draws WHERE drawn = max_tokens)"""
+
+
+#: The history before the test part in the place of the series.
+def _past(series: str) -> str:
+    head, tail = series.split("series AS (", 1)
+    return f"{head}whole AS ({tail},\nseries AS (SELECT series_id, wk, i, n - 30 AS n, y FROM whole WHERE i < n - 30)".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _forecast(scalers: str) -> str:
+    """Point forecasts of the series under ``scalers`` (series_id, offset, scale): f_points (series_id, step, yhat, status)."""
+    return f"""f_zed AS (
+  SELECT m.series_id, m.i, s."offset", s.scale, CASE WHEN s.scale <> 0 THEN (m.y - s."offset") / s.scale END AS z
+  FROM marked m LEFT JOIN {scalers} s USING (series_id)),
+{_decimal(2, "f_zed", "f_chunked")},
+f_counted AS (SELECT *, len(regexp_extract_all(chunk || ' ,', ' [^ ]+')) AS n_tok FROM f_chunked),
+f_suffixed AS (
+  SELECT *, sum(n_tok) OVER w AS suffix_tok, count(*) OVER w AS suffix_steps FROM f_counted
+  WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f_fit AS (
+  SELECT series_id, min(i) AS cut FROM f_suffixed
+  WHERE suffix_tok + 30 * (CAST(suffix_tok AS DOUBLE) / (suffix_steps + 1)) * CAST(1.2 AS DOUBLE) < {CONTEXT} GROUP BY 1),
+f_kept AS (SELECT * FROM f_suffixed JOIN f_fit USING (series_id) WHERE i >= cut),
+f_asked AS (
+  SELECT series_id, string_agg(chunk || ' ,', '' ORDER BY i) AS prompt,
+         CAST(floor(CAST(sum(n_tok) AS DOUBLE) / (count(*) + 1) * 30 * CAST(1.05 AS DOUBLE)) AS BIGINT) AS max_tokens,
+         CAST(1 AS DOUBLE) AS temperature, 10 AS n_samples, max("offset") AS "offset", max(scale) AS scale
+  FROM f_kept GROUP BY 1 HAVING max(scale) IS NOT NULL),
+{_draws("f_kept", "f_asked")},
+f_pieces AS (
+  SELECT series_id, sample_id, list_filter(string_split(text, ' ,'), lambda p: len(p) > 0) AS pieces FROM texts),
+f_steps AS (
+  SELECT series_id, sample_id, unnest(pieces[:-2]) AS chunk, unnest(range(len(pieces) - 1)) AS step, len(pieces) - 1 AS n_chunks FROM f_pieces),
+f_read AS (
+  SELECT *, trim(CASE WHEN chunk LIKE ' -%' THEN substr(chunk, 3) ELSE chunk END) AS body FROM f_steps),
+f_values AS (
+  SELECT *, CASE WHEN regexp_full_match(body, '[0-9]( [0-9])*') THEN
+    CASE WHEN chunk LIKE ' -%' THEN -1 ELSE 1 END * (CAST(replace(body, ' ', '') AS DOUBLE) / 100 + CAST(0.5 AS DOUBLE) / 100) END AS z FROM f_read),
+f_usable AS (
+  SELECT series_id, sample_id, coalesce(min(step) FILTER (WHERE z IS NULL), max(n_chunks)) AS usable FROM f_values GROUP BY 1, 2),
+f_horizon AS (
+  SELECT series_id, min(coalesce(usable, 0)) AS h FROM texts LEFT JOIN f_usable USING (series_id, sample_id) GROUP BY 1),
+f_values_cut AS (
+  SELECT series_id, step, quantile_cont(z * scale + "offset", 0.5) AS yhat
+  FROM f_values JOIN f_horizon USING (series_id) JOIN f_asked USING (series_id) WHERE step < h GROUP BY 1, 2),
+f_status AS (
+  SELECT a.series_id, CASE WHEN max(s.series_id) IS NULL THEN 'no_usable_score' WHEN max(s.scale) IS NULL THEN 'no_training_part'
+                           WHEN max(f.cut) IS NULL THEN 'does_not_fit'
+                           WHEN max(h) > 0 THEN 'ok' ELSE 'no_common_step' END AS status
+  FROM (SELECT DISTINCT series_id FROM marked) a LEFT JOIN {scalers} s USING (series_id) LEFT JOIN f_fit f USING (series_id)
+  LEFT JOIN f_horizon h USING (series_id) GROUP BY 1),
+f_points AS (SELECT series_id, step, yhat, status FROM f_status LEFT JOIN f_values_cut USING (series_id))"""
+
+
+#: Parameters of the final forecast.
+FINAL = f"""f_scal AS (
+  SELECT series_id, lo - CAST(0.15 AS DOUBLE) * (hi - lo) AS "offset",
+         CASE WHEN q - (lo - CAST(0.15 AS DOUBLE) * (hi - lo)) = 0 THEN 1 ELSE q - (lo - CAST(0.15 AS DOUBLE) * (hi - lo)) END AS scale
+  FROM (SELECT series_id, min(y) FILTER (WHERE split = 'train') AS lo, max(y) FILTER (WHERE split = 'train') AS hi,
+               quantile_cont(y, 0.2) FILTER (WHERE split = 'train') AS q FROM marked GROUP BY 1))"""
+
+
 def _line_means(columns: list[str]) -> str:
     means = ", ".join(
         f"CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) / nullif(count({c}), 0) AS {c}" for c in columns
@@ -409,7 +505,35 @@ SELECT series_id, i, coalesce(replace(ltrim(spaced), ' ', '|'), '') AS digits,
     sql["requests"] = f"""{request3}
 SELECT series_id, prompt, CAST(floor(avg_tokens * 12 * CAST(1.05 AS DOUBLE)) AS BIGINT) AS max_tokens,
        CAST(0.7 AS DOUBLE) AS temperature, CAST(5 AS BIGINT) AS n_samples, CAST(1234 AS BIGINT) AS seed,
-       CAST(12 AS BIGINT) AS n_bias FROM reported WHERE status = 'ok'"""
+       CAST(12 AS BIGINT) AS n_bias, status FROM reported"""
+    sql["requests"] = sql["requests"].replace("CAST(12 AS BIGINT) AS n_bias", "CASE WHEN status = 'ok' THEN CAST(12 AS BIGINT) END AS n_bias")
+    sql["requests_that_do_not_fit"] = f"""{c3},\n{COUNTED},\n{_budget(12, 90)},\n{REPORT}
+SELECT series_id, CAST(floor(avg_tokens * 12 * CAST(1.05 AS DOUBLE)) AS BIGINT) AS max_tokens, status <> 'ok' AS no_bias, status FROM reported"""
+    asked1 = f"""{c1p2},\n{COUNTED},\n{_budget(12, CONTEXT)},\n{REPORT},
+asked AS (
+  SELECT series_id, prompt, CAST(floor(avg_tokens * 12 * CAST(1.05 AS DOUBLE)) AS BIGINT) AS max_tokens,
+         CAST(0.7 AS DOUBLE) AS temperature, 5 AS n_samples FROM reported)"""
+    sql["sample_completions"] = f"""{asked1},\n{_draws("chunked", "asked")}
+SELECT series_id, sample_id, text FROM texts""".replace("WITH ", "WITH RECURSIVE ", 1)
+    p1, p3 = f"{_past(S1)},\n{MARKED},\n{FINAL},\n{_forecast('f_scal')}", f"{_past(S3)},\n{MARKED},\n{FINAL},\n{_forecast('f_scal')}"
+    point = "SELECT series_id, step, round(yhat, 4) AS yhat, status FROM f_points"
+    sql["forecast"] = f"{p1} {point}"
+    sql["forecast_status"] = f"""{p3}
+SELECT series_id, count(step) AS steps, count(yhat) AS values, max(status) AS status FROM f_points GROUP BY 1"""
+    sql["forecast_tuned"] = f"""{_past(S1)},\n{SCORES},
+f_best AS (
+  SELECT series_id, pid FROM (
+    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY nlld, pid) AS place FROM scores WHERE nlld IS NOT NULL) WHERE place = 1),
+f_scal AS (SELECT series_id, "offset", scale FROM scal JOIN f_best USING (series_id, pid)),
+{_forecast("f_scal")} {point.replace("yhat, 4", "yhat, 3")}"""
+    compared = WIDE.replace("FROM series a", "FROM whole a").replace("FROM marked WHERE split = 'train'", "FROM whole WHERE i < n - 30")
+    sql["forecast_comparison"] = f"""{p1},
+{compared},
+truth AS (SELECT series_id, i - (n - 30) AS step, y FROM whole WHERE i >= n - 30),
+{ATTACHED.replace("SELECT series_id, step, quantile_cont(x, 0.5) AS yhat FROM samples GROUP BY 1, 2", "SELECT series_id, step, yhat FROM f_points WHERE status = 'ok'").replace("analog_median", "next_token")}
+SELECT model, round(avg(abs(yhat - y)), 4) AS mae, count(yhat - y) AS compared, count(*) - count(yhat - y) AS unmatched,
+       count(DISTINCT series_id) - count(DISTINCT CASE WHEN yhat IS NOT NULL THEN series_id END) AS series_without_forecast
+FROM attached LEFT JOIN truth USING (series_id, step) GROUP BY 1"""
     sql["token_bias"] = f"""{request1}
 SELECT series_id, tok, CAST(30 AS BIGINT) AS bias FROM reported,
   (SELECT ' ' || CAST(range AS VARCHAR) AS tok FROM range(10) UNION ALL SELECT ' ,' UNION ALL SELECT ' -')
@@ -463,6 +587,12 @@ SELECT series_id, step, round(quantile_cont(x, 0.5), 4) AS yhat FROM samples GRO
 SELECT model, round(avg(abs(yhat - y)), 4) AS mae, count(yhat - y) AS compared, count(*) - count(yhat - y) AS unmatched,
        count(DISTINCT series_id) - count(DISTINCT CASE WHEN yhat IS NOT NULL THEN series_id END) AS series_without_forecast
 FROM attached LEFT JOIN truth USING (series_id, step) GROUP BY 1"""
+    sql["comparison_wide"] = f"""{a1},\n{WIDE},\n{ATTACHED}, {TRUTH}
+SELECT series_id, step, round(max(y), 4) AS y,
+       round(max(CASE WHEN model = 'analog_median' THEN yhat END), 4) AS analog_median,
+       round(max(CASE WHEN model = 'seasonal_naive' THEN yhat END), 4) AS seasonal_naive,
+       round(max(CASE WHEN model = 'train_mean' THEN yhat END), 4) AS train_mean
+FROM attached FULL JOIN truth USING (series_id, step) GROUP BY 1, 2"""
     sql["unpivot_benchmark"] = f"""{S2}, {MARKED},\n{WIDE}
 SELECT series_id, step, model, round(yhat, 4) AS yhat FROM benchmark_long WHERE yhat IS NOT NULL
 UNION ALL SELECT series_id, step, model, yhat FROM benchmark_long WHERE yhat IS NULL"""

@@ -362,10 +362,16 @@ def _requests(series, fmt=FMT, context=CONTEXT_TOKENS):
 def requests(spark, sf):
     return _requests(s3(spark, sf)).select(
         "series_id", "prompt", long("max_tokens").alias("max_tokens"), "temperature",
-        long("n_samples").alias("n_samples"), "seed", long(F.size("bias")).alias("n_bias"),
+        long("n_samples").alias("n_samples"), "seed", long(F.size("bias")).alias("n_bias"), "status",
     )
 
 
+@query
+def requests_that_do_not_fit(spark, sf):
+    """A context that holds a few steps only: series of large numbers are not asked for, and stay."""
+    return _requests(s3(spark, sf), context=90).select("series_id", long("max_tokens").alias("max_tokens"), F.col("bias").isNull().alias("no_bias"), "status")
+
+
 @query
 def token_bias(spark, sf):
     rows = _requests(s1(spark, sf)).select("series_id", F.explode("bias").alias("tok", "bias"))
@@ -409,7 +415,8 @@ def score_tokens(spark, sf):
 def sample_completions(spark, sf):
     rows = textnum.encode(fitted(s1(spark, sf)), FMT2)
     model = nexttoken.fit_next_token(nexttoken.context_tokens(rows.select("series_id", "i", "chunk"), FMT2))
-    return nexttoken.sample_completions(model, _requests(s1(spark, sf), FMT2), FMT2)
+    rows = nexttoken.sample_completions(model, _requests(s1(spark, sf), FMT2), FMT2)
+    return rows.select("series_id", long("sample_id").alias("sample_id"), "text")
 
 
 # --- completions back to numbers ----------------------------------------------------------------
@@ -648,7 +655,7 @@ def _history(series):
 @query
 def forecast(spark, sf):
     rows = forecasting.forecast(_history(s1(spark, sf)), FMT, fit_on=F.col("split") == "train")
-    return rows.select("series_id", long("step").alias("step"), F.round("yhat", 4).alias("yhat"))
+    return rows.select("series_id", long("step").alias("step"), F.round("yhat", 4).alias("yhat"), "status")
 
 
 @query
@@ -656,7 +663,22 @@ def forecast_tuned(spark, sf):
     history = _history(s1(spark, sf))
     best = tuning.best_params(tuning.evaluate_grid(history, _points(), FMT))
     rows = forecasting.forecast(history, FMT, grid=_points(), best=best, fit_on=F.col("split") == "train")
-    return rows.select("series_id", long("step").alias("step"), F.round("yhat", 4).alias("yhat"))
+    return rows.select("series_id", long("step").alias("step"), F.round("yhat", 3).alias("yhat"), "status")
+
+
+@query
+def forecast_status(spark, sf):
+    """Series of few weeks: one line per series, forecast or not, and why not."""
+    rows = forecasting.forecast(_history(s3(spark, sf)), FMT, fit_on=F.col("split") == "train")
+    return rows.groupBy("series_id").agg(F.count("step").alias("steps"), F.count("yhat").alias("values"), F.max("status").alias("status"))
+
+
+@query
+def comparison_wide(spark, sf):
+    """The final table: truth and every model's value side by side."""
+    series = s1(spark, sf)
+    rows = metrics.wide_report(_attached(series), truth_of(series))
+    return rows.select("series_id", long("step").alias("step"), *[F.round(c, 4).alias(c) for c in rows.columns if c not in ("series_id", "step")])
 
 
 @query

@@ -23,17 +23,19 @@ def common_horizon(decoded: DataFrame) -> DataFrame:
     )
 
 
-def clip_samples(decoded: DataFrame) -> DataFrame:
+def clip_samples(decoded: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Long samples ``(…, sample_id, step, z)`` cut to the common horizon.
 
     The horizon comes from a window over the not yet exploded samples; the
-    grouping by step that follows reuses the same layout.
+    grouping by step that follows reuses the same layout.  With ``keep_empty`` the samples of a
+    series whose horizon is 0 keep a row without step and value.
     """
     require_columns(decoded, "zs", "usable")
     carried = [c for c in decoded.columns if c not in ("zs", "usable")]
     shortest = F.min("usable").over(Window.partitionBy(*key_columns(decoded)))
     rows = decoded.withColumn("_h", shortest)
-    return rows.select(*carried, F.posexplode(F.slice("zs", F.lit(1), F.col("_h"))).alias("step", "z"))
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    return rows.select(*carried, explode(F.slice("zs", F.lit(1), F.col("_h"))).alias("step", "z"))
 
 
 def rescale(samples: DataFrame, scalers: DataFrame) -> DataFrame:
@@ -64,13 +66,18 @@ def attach_model(predictions: DataFrame, forecast: DataFrame, name: str) -> Data
     The benchmark is cut to the steps the forecast has, series by series.  A
     series without any forecast keeps its whole benchmark and gets a row without
     a value for each of its steps, so that no comparison loses it.
+
+    Both sides are put together and laid out by series once; no side is planned twice.
     """
     keys = key_columns(forecast)
-    length = forecast.groupBy(*keys).agg((F.max("step") + 1).alias("_h"))
-    known = predictions.join(length, keys, "left").where(F.col("_h").isNull() | (F.col("step") < F.col("_h")))
-    added = forecast.select(*keys, "step", F.lit(name).alias("model"), "yhat")
-    nothing = known.where("_h is null").select(*keys, "step", F.lit(name).alias("model"), F.lit(None).cast("double").alias("yhat"))
-    return known.select(*keys, "step", "model", "yhat").unionByName(added).unionByName(nothing.distinct())
+    added = forecast.where("step is not null").select(*keys, "step", F.lit(name).alias("model"), "yhat", F.lit(True).alias("_new"))
+    both = predictions.select(*keys, "step", "model", "yhat", F.lit(False).alias("_new")).unionByName(added)
+    length = F.max(F.when(F.col("_new"), F.col("step") + 1)).over(Window.partitionBy(*keys))
+    first = F.col("model") == F.min("model").over(Window.partitionBy(*keys, "step"))
+    rows = both.withColumns({"_h": length, "_first": first}).where(F.col("_new") | F.col("_h").isNull() | (F.col("step") < F.col("_h")))
+    own = F.struct("model", "yhat")
+    nothing = F.when(F.col("_h").isNull() & F.col("_first"), F.struct(F.lit(name).alias("model"), F.lit(None).cast("double").alias("yhat")))
+    return rows.select(*keys, "step", F.inline(F.array_compact(F.array(own, nothing))))
 
 
 def unpivot_models(wide: DataFrame, models: Sequence[str] | None = None, truth: str = "test") -> DataFrame:
@@ -80,6 +87,23 @@ def unpivot_models(wide: DataFrame, models: Sequence[str] | None = None, truth:
     return wide.unpivot(ids, [F.col(c).cast("double").alias(c) for c in names], "model", "yhat")
 
 
+def wide_report(predictions: DataFrame, truth: DataFrame, max_models: int = 1000) -> DataFrame:
+    """One row per series and step: the truth and a column for every model found in ``predictions``.
+
+    Steps of either side stay.  The model names are looked up first, so that one aggregation makes all columns;
+    more than ``max_models`` names are an error, as is a model called like one of the other columns.
+    """
+    keys = [*key_columns(truth), "step"]
+    names = [r.model for r in predictions.select("model").where("model is not null").distinct().limit(max_models + 1).collect()]
+    taken = [n for n in names if n in (*keys, "y")]
+    if len(names) > max_models or taken:
+        raise ValueError(f"more than {max_models} models" if not taken else f"models cannot be called {taken}")
+    rows = predictions.where("model is not null").select(*keys, "model", "yhat")
+    rows = rows.unionByName(truth.select(*keys, F.lit(None).cast("string").alias("model"), F.col("y").alias("yhat")))
+    cells = [F.max(F.when(F.col("model") == n, F.col("yhat"))).alias(n) for n in sorted(names)]
+    return rows.groupBy(*keys).agg(F.max(F.when(F.col("model").isNull(), F.col("yhat"))).alias("y"), *cells)
+
+
 def compare_models(predictions: DataFrame, truth: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Error of every model against the truth, with the steps that had no counterpart.
 

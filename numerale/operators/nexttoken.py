@@ -21,6 +21,10 @@ ORDER = 2
 #: Tokens drawn before they are put aside.
 DRAW_BLOCK = 64
 
+# A multiplicative congruential generator whose products fit a BIGINT, so that any engine can repeat the draws.
+DRAW_FACTOR = 48_271
+DRAW_MODULUS = 2_147_483_647
+
 
 def token_bias(fmt: TextFormat) -> Column:
     """Map of every allowed token to the same positive bias."""
@@ -37,22 +41,25 @@ def build_requests(
     seed: int = REQUEST_SEED,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One request per prompt; the answer's length follows from the tokens per step.
+    """One row per prompt with its status; the answer's length follows from the tokens per step.
 
-    ``carry`` names further columns of ``prepared`` to pass along.
+    Only rows with the status ``ok`` are to be asked for: the others, series that do not fit or
+    have no scaler, have no length and no bias.  ``carry`` names further columns of ``prepared`` to pass along.
     """
     require_columns(prepared, "prompt", "avg_tokens", "status")
     temp = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
+    asked = F.col("status") == "ok"
     max_tokens = F.floor(F.col("avg_tokens") * F.lit(n_steps) * F.lit(HEADROOM)).cast("int")
-    return prepared.where(F.col("status") == "ok").select(
+    return prepared.select(
         *key_columns(prepared),
         "prompt",
-        max_tokens.alias("max_tokens"),
+        F.when(asked, max_tokens).alias("max_tokens"),
         temp.alias("temperature"),
         F.lit(n_samples).alias("n_samples"),
         F.lit(seed).cast("bigint").alias("seed"),
-        token_bias(fmt).alias("bias"),
-        *carry,
+        F.when(asked, token_bias(fmt)).alias("bias"),
+        "status",
+        *[c for c in carry if c != "status"],
     )
 
 
@@ -63,7 +70,8 @@ def complete_with(
 
     ``answer`` gets request rows and returns one list of texts per row.  A sample
     without text (None) stays as an empty text, and a request without any answer
-    gets one empty sample: both count as 0 steps and are seen downstream.  Write
+    gets one empty sample: both count as 0 steps and are seen downstream.  A request
+    whose status is not ``ok`` is not asked and gets an empty sample too.  Write
     the result to a table before using it: a lost executor makes Spark ask again.
     """
     keys = key_columns(requests)
@@ -72,7 +80,9 @@ def complete_with(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = rows[keys].assign(text=[list(texts) or [None] for texts in answer(rows)])
+            asked = rows["status"] == "ok" if "status" in rows else pd.Series(True, rows.index)
+            texts = iter(answer(rows[asked]) if asked.any() else [])
+            out = rows[keys].assign(text=[list(next(texts)) or [None] if a else [None] for a in asked])
             out = out.explode("text")
             out["text"] = out["text"].map(lambda t: t if isinstance(t, str) else "")
             out["sample_id"] = out.groupby(level=0).cumcount().astype("int32")
@@ -240,53 +250,59 @@ def sample_completions(
 ) -> DataFrame:
     """Draw the requested number of texts of ``max_tokens`` tokens: ``(…, sample_id, text)``.
 
-    Every draw is a hash of (series, sample, position, seed), so the result
-    does not depend on partitioning and is the same when a task is run again.
+    The draws of a sample come from a generator that starts at a hash of (series, sample, seed), so
+    the result does not depend on partitioning, is the same when a task is run again, and any engine
+    with MD5 and 64-bit integers can repeat it.  A request that is not ``ok`` or has no model
+    keeps its row: one empty sample (with ``status`` in ``carry``, the reason).
     """
     require_columns(requests, "prompt", "max_tokens", "temperature", "n_samples", "seed")
+    if "status" not in requests.columns:
+        requests = requests.withColumn("status", F.lit("ok"))
     keys = key_columns(requests)
     size = len(fmt.vocabulary)
     words = F.array(*map(F.lit, fmt.vocabulary))
-    last_chunk = F.element_at(F.split("prompt", f"\\Q{fmt.time_sep}\\E", -1), -2)
+    last_chunk = F.try_element_at(F.split("prompt", f"\\Q{fmt.time_sep}\\E", -1), F.lit(-2))
     tail = F.slice(token_array(last_chunk, fmt), -ORDER, ORDER)
     ready = (
-        requests.join(sampling_tables(model, fmt), keys)
-        .withColumn("cum", _cumulative(F.col("counts"), F.col("temperature")))
+        requests.join(sampling_tables(model, fmt), keys, "left")
+        .withColumn("status", F.when((F.col("status") == "ok") & F.col("counts").isNull(), "no_model").otherwise(F.col("status")))
+        .withColumn("cum", F.when(F.col("status") == "ok", _cumulative(F.col("counts"), F.col("temperature"))))
         .withColumn("ctx", _token_index(F.get(tail, F.lit(0)), fmt) * size + _token_index(F.get(tail, F.lit(1)), fmt))
         .select(*keys, *carry, "max_tokens", "n_samples", "seed", "cum", "ctx")
-        .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.col("n_samples") - 1)))
+        .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.when(F.col("cum").isNull(), 0).otherwise(F.col("n_samples") - 1))))
     )
+    start = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("sample_id").cast("string"), F.col("seed").cast("string")))
+    start = F.conv(F.substring(start, 1, 8), 16, 10).cast("bigint") % (DRAW_MODULUS - 1) + 1
+    ready = ready.withColumn("rng", start)
     # drawn in blocks: what one draw copies is bounded by the block, not by the text
     empty = F.array().cast("array<int>")
-    blocks = F.struct(F.col("ctx").alias("ctx"), F.array().cast("array<array<int>>").alias("done"))
+    blocks = F.struct(F.col("ctx").alias("ctx"), F.col("rng").alias("rng"), F.array().cast("array<array<int>>").alias("done"))
 
     def draw(state: Column, k: Column) -> Column:
         options = F.coalesce(F.get("cum", state["ctx"]), F.get("cum", F.lit(size * size)))
-        bits = F.xxhash64(*keys, "sample_id", k, "seed").bitwiseAND(F.lit((1 << 53) - 1))
-        level = bits.cast("double") / float(1 << 53)
 
-        def pick(cum: Column) -> Column:
+        def pick(rng: Column) -> Column:
             # the token's index is the number of cumulative weights not above the level
-            bound = level * F.element_at(cum, -1)
-            return bound_once(bound, lambda u: F.size(F.filter(cum, lambda w: w <= u)))
-
-        def step(t: Column) -> Column:
-            return F.struct(
-                ((state["ctx"] % size) * size + t).alias("ctx"), F.array_append(state["drawn"], t).alias("drawn")
-            )
+            level = rng.cast("double") / float(DRAW_MODULUS)
+            chosen = bound_once(options, lambda cum: bound_once(level * F.element_at(cum, -1), lambda u: F.size(F.filter(cum, lambda w: w <= u))))
+            return bound_once(chosen, lambda t: F.struct(
+                ((state["ctx"] % size) * size + t).alias("ctx"), rng.alias("rng"), F.array_append(state["drawn"], t).alias("drawn")
+            ))
 
-        return bound_once(bound_once(options, pick), step)
+        return bound_once(state["rng"] * DRAW_FACTOR % DRAW_MODULUS, pick)
 
     def draw_block(state: Column, b: Column) -> Column:
         positions = F.sequence(b * DRAW_BLOCK + 1, (b + 1) * DRAW_BLOCK)
-        begin = F.struct(state["ctx"].alias("ctx"), empty.alias("drawn"))
+        begin = F.struct(state["ctx"].alias("ctx"), state["rng"].alias("rng"), empty.alias("drawn"))
         return bound_once(
             F.aggregate(positions, begin, draw),
-            lambda block: F.struct(block["ctx"].alias("ctx"), F.array_append(state["done"], block["drawn"]).alias("done")),
+            lambda block: F.struct(
+                block["ctx"].alias("ctx"), block["rng"].alias("rng"), F.array_append(state["done"], block["drawn"]).alias("done")
+            ),
         )
 
     n_blocks = F.ceil(F.greatest("max_tokens", F.lit(1)) / DRAW_BLOCK).cast("int")
     drawn = F.flatten(F.aggregate(F.sequence(F.lit(0), n_blocks - 1), blocks, draw_block)["done"])
     drawn = F.slice(drawn, F.lit(1), F.greatest("max_tokens", F.lit(0)))
     text = F.array_join(F.transform(drawn, lambda t: F.get(words, t)), "")
-    return ready.select(*keys, *carry, "sample_id", text.alias("text"))
+    return ready.select(*keys, *carry, "sample_id", F.coalesce(F.when(F.col("cum").isNotNull(), text), F.lit("")).alias("text"))

@@ -126,7 +126,8 @@ def attach_grid_scalers(
 
     Minimum, maximum and all quantiles come from one pass over the series;
     the grid is a literal array, so no join is made and the layout is kept.
-    With ``best(series_id, pid)`` every series gets its own point only.
+    With ``best(series_id, pid)`` every series gets its own point only; a series without one keeps its
+    steps, without parameters and scaler.
     """
     require_columns(series, "y")
     y = F.col("y") if fit_on is None else F.when(fit_on, F.col("y"))
@@ -143,8 +144,8 @@ def attach_grid_scalers(
         rows = stats.select("*", F.explode(grid_literal(grid)).alias("_p"))
     else:
         # both sides are laid out by series already; pid only picks from the literal
-        chosen = stats.join(best.select("series_id", F.col("pid").alias("_pid")), "series_id")
-        rows = chosen.withColumn("_p", F.element_at(grid_literal(grid), F.col("_pid") + 1))
+        chosen = stats.join(best.select("series_id", F.col("pid").alias("_pid")), "series_id", "left")
+        rows = chosen.withColumn("_p", F.when(F.col("_pid").isNotNull(), F.element_at(grid_literal(grid), F.col("_pid") + 1)))
     # the position of alpha among the quantiles is known when the plan is built
     rank = F.element_at(F.array(*[F.lit(alphas.index(p["alpha"])) for p in grid]), F.col("_p.pid") + 1)
     offset = advanced_offset(F.col("_low"), F.col("_high"), F.col("_p.beta"))

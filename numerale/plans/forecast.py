@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from numerale.functions import require_columns
-from numerale.operators.metrics import clip_samples, point_forecast
+from numerale.operators.metrics import clip_samples
 from numerale.operators.nexttoken import build_requests, context_tokens, fit_next_token, sample_completions
 from numerale.operators.budget import prompts
 from numerale.operators.scaling import attach_grid_scalers, unscaled
@@ -47,7 +47,7 @@ def request_rows(
     return marked_chunks(rows.drop("pid"), for_grid(fmt, grid), True, n_steps, context, multiplier)
 
 
-def forecast_samples(
+def _samples(
     series: DataFrame,
     fmt: TextFormat = TextFormat(),
     grid: Sequence[dict] = (FINAL,),
@@ -57,26 +57,46 @@ def forecast_samples(
     n_samples: int = FORECAST_SAMPLES,
     completions: DataFrame | None = None,
 ) -> DataFrame:
-    """Samples ``(series_id, sample_id, step, x)`` on the original scale, cut to the common horizon.
-
-    ``completions`` are the landed answers of a model to the requests; when
-    absent, the offline next-token model draws them.
-    """
+    """``forecast_samples`` with the status, and a row without a step for each sample of a series that has no forecast."""
     marked = request_rows(series, fmt, grid, best, fit_on, n_steps)
     parameters = ("offset", "scale", "prec")
     prepared = prompts(marked, fmt, (*parameters, "temp"))
+    status = F.when(F.col("prec").isNull(), "no_usable_score").when(F.col("scale").isNull(), "no_training_part")
+    prepared = prepared.withColumn("status", status.otherwise(F.col("status")))
     if completions is None:
         kept = marked.where(F.col("i") >= F.col("cut")).select("series_id", "i", "chunk")
         model = fit_next_token(context_tokens(kept, fmt))
         requests = build_requests(prepared, fmt, n_steps, F.col("temp"), n_samples, carry=parameters)
-        answers = sample_completions(model, requests, fmt, parameters)
+        answers = sample_completions(model, requests, fmt, (*parameters, "status"))
     else:
-        answers = completions.join(prepared.select("series_id", *parameters), "series_id")
-    return clip_samples(decode_completions(answers, fmt)).select(
-        "series_id", "sample_id", "step", unscaled("z").alias("x")
-    )
+        answers = prepared.select("series_id", *parameters, "status").join(completions, "series_id", "left")
+        missing = F.col("text").isNull() & (F.col("status") == "ok")
+        answers = answers.withColumns(
+            {"status": F.when(missing, "no_answer").otherwise(F.col("status")), "text": F.coalesce("text", F.lit(""))}
+        )
+    rows = clip_samples(decode_completions(answers, fmt), keep_empty=True)
+    reached = F.when(F.col("step").isNotNull() & F.col("scale").isNotNull(), "ok")
+    status = reached.when(F.col("status") != "ok", F.col("status")).otherwise("no_common_step")
+    return rows.select("series_id", "sample_id", "step", unscaled("z").alias("x"), status.alias("status"))
+
+
+def forecast_samples(series: DataFrame, fmt: TextFormat = TextFormat(), **options) -> DataFrame:
+    """Samples ``(series_id, sample_id, step, x)`` on the original scale, cut to the common horizon.
+
+    ``completions`` are the landed answers of a model to the requests; when
+    absent, the offline next-token model draws them.
+    """
+    return _samples(series, fmt, **options).where("status = 'ok'").drop("status")
 
 
 def forecast(series: DataFrame, fmt: TextFormat = TextFormat(), **options) -> DataFrame:
-    """Median of the samples per step, as far as the shortest sample reaches."""
-    return point_forecast(forecast_samples(series, fmt, **options))
+    """Median of the samples per step, as far as the shortest sample reaches: ``(series_id, step, yhat, status)``.
+
+    Every series is in the result: one that cannot be forecast has a single row without step and value,
+    whose status says why (``no_usable_score``, ``no_training_part``, ``does_not_fit``, ``no_model``, ``no_answer``, ``no_common_step``).
+    """
+    samples = _samples(series, fmt, **options)
+    step = F.when(F.col("status") == "ok", F.col("step")).alias("step")
+    return samples.select("series_id", step, "x", "status").groupBy("series_id", "step").agg(
+        F.median("x").alias("yhat"), F.max("status").alias("status")
+    )

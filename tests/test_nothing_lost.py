@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from numerale import TextFormat
 from numerale.operators import metrics, nexttoken
@@ -84,3 +85,52 @@ def test_draws_do_not_depend_on_the_block(spark, monkeypatch):
     whole = draw()
     monkeypatch.setattr(nexttoken, "DRAW_BLOCK", 7)
     assert draw() == whole
+
+
+def test_series_that_cannot_be_forecast_keep_a_row(spark):
+    from numerale.plans.forecast import forecast, forecast_samples
+
+    long = [("good", i, 60, float(i % 7 + 1), "train") for i in range(60)]
+    rows = long + [("none", i, 20, None, "train") for i in range(20)] + [("wide", 0, 2, 1.0, "train"), ("wide", 1, 2, 1e300, "train")]
+    rows += [("val", i, 5, 2.0, "val") for i in range(5)]
+    series = spark.createDataFrame(rows, "series_id string, i int, n int, y double, split string")
+    options = {"fit_on": F.col("split") == "train", "n_steps": 4}
+    got = forecast(series, TextFormat(), **options).collect()
+    status = {r.series_id: r.status for r in got}
+    assert status == {"good": "ok", "none": "no_training_part", "wide": status["wide"], "val": "no_training_part"}
+    assert sorted(r.series_id for r in got if r.step is None) == sorted(k for k, v in status.items() if v != "ok")
+    assert all(r.yhat is None for r in got if r.step is None) and sum(r.series_id == "good" for r in got) >= 1
+    assert {r.series_id for r in forecast_samples(series, TextFormat(), **options).collect()} == {k for k, v in status.items() if v == "ok"}
+    landed = spark.createDataFrame([("good", 0, " 1 ,")], "series_id string, sample_id int, text string")
+    assert {r.series_id: r.status for r in forecast(series, TextFormat(), completions=landed, **options).collect()}["good"] == "no_common_step"
+    nothing = forecast(series, TextFormat(), completions=landed.where("false"), **options).collect()
+    assert {r.series_id: r.status for r in nothing}["good"] == "no_answer" and len(nothing) == 4
+    grid = [{"pid": 0, "alpha": 0.2, "beta": 0.15, "prec": 2, "temp": 1.0}]
+    best = spark.createDataFrame([("good", 0)], "series_id string, pid int")
+    tuned = {r.series_id: r.status for r in forecast(series, TextFormat(), grid=grid, best=best, **options).collect()}
+    assert tuned == {"good": "ok", "none": "no_usable_score", "wide": "no_usable_score", "val": "no_usable_score"}
+
+
+def test_requests_that_do_not_fit_stay(spark):
+    from numerale.operators.nexttoken import build_requests, complete_with, fit_next_token, sample_completions
+
+    prepared = spark.createDataFrame([("a", " 1 ,", 2.0, "ok"), ("b", "", None, "does_not_fit")], "series_id string, prompt string, avg_tokens double, status string")
+    requests = build_requests(prepared, TextFormat(), 3)
+    assert {r.series_id: (r.max_tokens, r.status) for r in requests.collect()} == {"a": (6, "ok"), "b": (None, "does_not_fit")}
+    asked = complete_with(requests, lambda rows: [[" 5 ,"] * 2 for _ in rows["prompt"]]).collect()
+    assert sorted((r.series_id, r.sample_id, r.text) for r in asked) == [("a", 0, " 5 ,"), ("a", 1, " 5 ,"), ("b", 0, "")]
+    model = fit_next_token(spark.createDataFrame([("b", " 1", " ,", " 1")], "series_id string, p2 string, p1 string, tok string"))
+    drawn = sample_completions(model, requests, TextFormat(), ["status"]).collect()
+    assert sorted((r.series_id, r.status, r.text) for r in drawn) == [("a", "no_model", ""), ("b", "does_not_fit", "")]
+
+
+def test_wide_report_keeps_steps_of_both_sides(spark):
+    from numerale.operators.metrics import wide_report
+
+    rows = spark.createDataFrame([("a", 0, "m", 1.0), ("a", 1, "n.x", 2.0), ("b", 0, "m", None)], "series_id string, step int, model string, yhat double")
+    truth = spark.createDataFrame([("a", 0, 5.0), ("c", 3, 6.0)], "series_id string, step int, y double")
+    got = wide_report(rows, truth)
+    assert got.columns == ["series_id", "step", "y", "m", "n.x"]
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 5.0, 1.0, None), ("a", 1, None, None, 2.0), ("b", 0, None, None, None), ("c", 3, 6.0, None, None)]
+    with pytest.raises(ValueError, match="called"):
+        wide_report(rows.replace("m", "y", "model"), truth)
