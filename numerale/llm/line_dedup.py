@@ -6,10 +6,9 @@ lines.  Cutting loses nothing: the lines joined give the text back.  A run is a
 consecutive lines with at least ``min_words`` words; a run that stands earlier - in a row
 that comes before (by id, then as read), or before in its own text - is deleted.
 
-* Grams: from each line the fewest lines that have half of ``min_words`` words, as one hash.
-* Fingerprints (winnowing): of the grams inside each shortest stretch of ``min_words`` words the
-  one with the smallest hash is selected, so that two texts that share a run always
-  share a selected gram at the same place of it.
+* Fingerprints (winnowing): of the lines of each shortest stretch of ``min_words`` words the
+  one with the smallest hash is selected (long lines before short ones), so that two texts that share
+  a run always share a selected line at the same place of it.
 * Positions: each fingerprint of a row is joined to its first place in the corpus, and inside the
   text to its place before.
 * Extension: on each pair of rows and shift that a fingerprint found, matches are extended both ways
@@ -51,6 +50,7 @@ SLOTS, MOST_SLOTS, SLOTS_PER_KEY = 1 << 16, 1 << 27, 8
 #: Keys that have more than this share of all places are joined by broadcast: so many at most.
 HOT_KEYS = 10_000
 NEAR = 6  # lines that most stretches need
+SHORT = 5  # words; lines below this are selected only among themselves
 
 
 def flags(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -91,12 +91,17 @@ def reach(words: str, i: str, counts: str = "nw") -> str:
     return f"(CASE {near} ELSE {far} END)"
 
 
+def print_of(i: str) -> str:
+    """SQL: the fingerprint of line i: its hash, negative for long lines, so that they come before short ones."""
+    return f"if(nw[{i}] < {SHORT}, h[{i}] & 9223372036854775807L, h[{i}] | -9223372036854775808L)"
+
+
 def line_table(rows: DataFrame, min_words: int) -> DataFrame:
-    """Per text: id, row, line hashes h, words per line nw, and the places of its fingerprints s (f, p) in the order of f and p.
+    """Per text: id, row, line hashes h, words per line nw, how many lines the shortest stretch of ``min_words`` words
+    from each line on has (w; 0 at the end of the text), and the places of its fingerprints s (f, p) in the order of f and p.
 
     ``rows``: id, row, text.
     """
-    gram = (min_words + 1) // 2
     rows = rows.where(F.col("text") != "").select("id", "row", F.xxhash64("text").alias("th"), lines_of(F.col("text")).alias("u"))
     bare = F.transform("u", lambda u: F.btrim(u, F.lit(" \t\r\n")))
     rows = rows.select("id", "row", "th", bare.alias("u")).select(
@@ -108,18 +113,13 @@ def line_table(rows: DataFrame, min_words: int) -> DataFrame:
         F.transform("u", lambda u: F.least(F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + 1, F.lit(min_words))).alias("nw"),
     )
     every = "sequence(0, size(nw) - 1)"
-    rows = rows.withColumns(
-        {"m": F.expr(f"transform({every}, i -> {reach(str(gram), 'i')})"), "w": F.expr(f"transform({every}, i -> {reach(str(min_words), 'i')})")}
-    )
-    rows = rows.withColumn("g", F.expr("transform(m, (n, i) -> if(n > 0, xxhash64(slice(h, i + 1, n)), null))"))
-    # the grams inside the stretch from line i on; of equal ones the last
-    inside = "filter(sequence(i, i + n - 1), k -> m[k] > 0 and k + m[k] <= i + n)"
-    least = f"array_min(transform({inside}, k -> struct(g[k] as f, -k as p)))"
-    rows = rows.withColumn("s", F.expr(f"filter(transform(w, (n, i) -> if(n > 0 and size(m) = size(g), {least}, null)), x -> x is not null)"))
-    # from line to line the selected place never goes back
-    once = "filter(s, (x, i) -> i = 0 or s[i - 1].p != x.p)"
-    places = F.expr(f"array_sort(transform({once}, x -> struct(x.f as f, -x.p as p)))")
-    return rows.select("id", "row", "th", "h", "nw", places.alias("s"))
+    rows = rows.withColumns({"w": F.expr(f"transform({every}, i -> {reach(str(min_words), 'i')})"), "k": F.expr(f"transform({every}, i -> {print_of('i')})")})
+    # where the smallest fingerprint of the stretch from line i on is: the first of equal ones; from line to line it never goes back
+    least = "i + array_position(slice(k, i + 1, n), array_min(slice(k, i + 1, n))) - 1"
+    rows = rows.withColumn("p", F.expr(f"transform(w, (n, i) -> if(n > 0 and size(w) = size(k), int({least}), -1))"))
+    once = "filter(p, (x, i) -> x >= 0 and (i = 0 or p[i - 1] != x))"
+    places = F.expr(f"array_sort(transform({once}, x -> struct(if(size(k) > x, k[x], null) as f, x as p)))")
+    return rows.select("id", "row", "th", "h", "nw", "w", places.alias("s"))
 
 
 def first_holders(places: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -191,32 +191,29 @@ def paired_runs(lines: DataFrame, min_words: int) -> DataFrame:
     before, after = enough("r.a", "p - 1", min_words), enough("p + 1", "r.b", min_words)
     covered = f"exists(runs, r -> r.a <= p and r.b >= p and (r.a = 0 or {before}) and (r.b = size(h) - 1 or {after}))"
     each = each.withColumn("open", F.expr(f"filter(ps, p -> not {covered})"))
-    gram = f"transform(open, p -> xxhash64(slice(h, p + 1, {reach(str((min_words + 1) // 2), 'p')})))"
-    return stored(each.select("row", "th", "runs", F.expr(gram).alias("open")), "lines-runs")
+    prints = f"transform(open, p -> {print_of('p')})"
+    return stored(each.select("row", "th", "runs", F.expr(prints).alias("open")), "lines-runs")
 
 
 def other_runs(lines: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
     """(row, th, runs): around all places of the fingerprints left open, the shortest stretches that stand earlier."""
     wanted = stored(found.select(F.explode("open").alias("f")).distinct(), "lines-open")
     places = lines.select("row", F.explode("s").alias("x")).select("row", F.col("x.f").alias("f"), F.col("x.p").alias("p"))
-    places = flags(places, "f", wanted).where("flag").join(wanted, "f").groupBy("row").agg(F.collect_list("p").alias("ps"))
-    places = stored(places, "lines-places")
-    rows = flags(lines.select("id", "row", "th", "h", "nw"), "row", places).where("flag").join(places, "row")
-    # the lines of the shortest stretches from each line on (w) and up to each line (v)
-    every = "sequence(0, size(nw) - 1)"
-    rows = rows.withColumn("wn", F.reverse("nw"))
-    up_to = reach(str(min_words), "(size(wn) - 1 - i)", "wn")
-    rows = rows.withColumns({"w": F.expr(f"transform({every}, i -> {reach(str(min_words), 'i')})"), "v": F.expr(f"transform({every}, i -> {up_to})")})
-    # those that hold the place
-    ahead = f"transform(filter(sequence(greatest(p - {min_words - 1}, 0), p), i -> w[i] > p - i), i -> i * 4294967296L + i + w[i] - 1)"
-    back = f"transform(filter(sequence(p, least(p + {min_words - 1}, size(v) - 1)), i -> v[i] > i - p), i -> (i - v[i] + 1) * 4294967296L + i)"
-    each = f"array_distinct(flatten(transform(ps, p -> concat({ahead}, {back}))))"
-    windows = rows.select("id", "row", "th", "h", F.expr(each).alias("ab"))
-    hashed = "transform(ab, x -> struct(xxhash64(slice(h, int(x div 4294967296) + 1, int(x % 4294967296 - x div 4294967296) + 1)) as k, int(x div 4294967296) as a, int(x % 4294967296) as b))"
-    # explode_outer: a filter on what is exploded would be pushed down, and all of this computed again for it
-    windows = windows.select("id", "row", "th", F.explode_outer(F.expr(hashed)).alias("x")).where("x.k is not null")
-    at = F.struct("id", "row", F.col("x.a").alias("a"), F.col("x.b").alias("b"), "th")
-    windows = stored(windows.select(F.col("x.k").alias("k"), at.alias("at"), F.lit(1).alias("n")), "lines-windows")
+    places = flags(places, "f", wanted).where("flag").join(wanted, "f").groupBy("row").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    # each place with the one before it: a stretch is taken with the first place that it holds
+    places = stored(places.select("row", F.expr("transform(ps, (p, i) -> struct(p, if(i = 0, -1, ps[i - 1]) as q))").alias("ps")), "lines-places")
+    rows = flags(lines.select("id", "row", "th", "h", "w"), "row", places).where("flag").join(places, "row")
+    # one row per place, then per line a before it, then per last line b: from each line on, and up to each line, the shortest
+    # stretch has min_words words; b goes from where the stretch from a ends to before where the stretch from a + 1 ends
+    rows = rows.select("id", "row", "th", "h", "w", F.explode("ps").alias("x"))
+    rows = rows.select("id", "row", "th", "h", "w", "x.p", "x.q", F.explode(F.sequence(F.lit(0), F.lit(min_words - 1))).alias("back"))
+    rows = rows.withColumn("a", F.col("p") - F.col("back")).where("a > q and a >= 0 and get(w, a) > 0")
+    end, next_ = "a + get(w, a) - 1", "if(get(w, a + 1) > 0, a + get(w, a + 1) - 1, size(w) - 1)"
+    rows = rows.withColumns({"low": F.greatest("p", F.expr(end)), "high": F.greatest(F.expr(end), F.expr(next_))}).where("low <= high")
+    rows = rows.select("id", "row", "th", "h", "a", F.explode(F.sequence("low", "high")).alias("b"))
+    at = F.struct("id", "row", "a", "b", "th")
+    hashed = F.expr("xxhash64(slice(h, a + 1, b - a + 1))")
+    windows = stored(rows.select(hashed.alias("k"), at.alias("at"), F.lit(1).alias("n")), "lines-windows")
     met, _ = first_holders(windows, "k")
     met = met.where("at.row != o.row or at.a != o.a")
     return met.groupBy(F.col("at.row").alias("row")).agg(F.first("at.th").alias("th"), F.collect_list(F.struct("at.a", "at.b")).alias("runs"))
