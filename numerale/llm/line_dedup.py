@@ -22,7 +22,7 @@ that comes before (by id, then as read), or before in its own text - is deleted.
 Fingerprints are sent once per row and pre-aggregated; a passage that very many documents share gives
 one pair per document, with its first holder.  Hashes with very many places (at most ``HOT_KEYS``)
 meet their holder by broadcast, the others by a shuffle; rows that surely take no part in a join are
-told by a bitmap (sized by the number of keys, at most 16 MB) and stay where they are.  Pairs
+told by a bitmap (sized by the number of keys, at most half a million words) and stay where they are.  Pairs
 are joined with line hashes (8 bytes a line), never with texts.
 
 Only whole lines are compared: what repeats inside a line, such as a passage without
@@ -45,8 +45,8 @@ from numerale.llm.common import stored
 
 LINE_END = r"(?<=[.,;:!?])(?= )|(?<=\n)"
 MARK = "\x01"
-#: Bits of a bitmap, at least and at most, and per key.
-SLOTS, MOST_SLOTS, SLOTS_PER_KEY = 1 << 16, 1 << 27, 8
+#: Bits of a bitmap, at least and at most (half a million words of 64 bits), and per key.
+SLOTS, MOST_SLOTS, SLOTS_PER_KEY = 1 << 16, 1 << 25, 8
 #: Keys that have more than this share of all places are joined by broadcast: so many at most.
 HOT_KEYS = 10_000
 NEAR = 6  # lines that most stretches need
@@ -61,15 +61,11 @@ def flags(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """
     slots = min(MOST_SLOTS, max(SLOTS, 1 << (SLOTS_PER_KEY * wanted.count()).bit_length()))
     slot = F.pmod(F.xxhash64(key), F.lit(slots))
-    at = wanted.select(slot.alias("x"))
-    at = at.select(F.bitmap_bucket_number("x").alias("bucket"), F.bitmap_bit_position("x").alias("x"))
-    maps = at.groupBy("bucket").agg(F.bitmap_construct_agg("x").alias("map"))
-    own = rows.withColumn("slot", slot).withColumn("bucket", F.bitmap_bucket_number("slot"))
-    joined = own.join(F.broadcast(maps), "bucket", "left")
-    place = F.bitmap_bit_position("slot")
-    byte = F.conv(F.hex(F.substring("map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    flag = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return joined.withColumn("flag", F.coalesce(flag, F.lit(False))).drop("slot", "bucket", "map")
+    bit = (slot % 64).cast("int")
+    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr("1L").alias("one"), bit.alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("bit"))).alias("bits"))
+    own = rows.withColumns({"word": F.shiftright(slot, 6), "bit": bit}).join(F.broadcast(words), "word", "left")
+    return own.withColumn("flag", F.coalesce(F.getbit("bits", "bit") == 1, F.lit(False))).drop("word", "bit", "bits")
 
 
 def lines_of(text: Column) -> Column:
@@ -98,7 +94,8 @@ def print_of(i: str) -> str:
 
 def line_table(rows: DataFrame, min_words: int) -> DataFrame:
     """Per text: id, row, line hashes h, words per line nw, how many lines the shortest stretch of ``min_words`` words
-    from each line on has (w; 0 at the end of the text), and the places of its fingerprints s (f, p) in the order of f and p.
+    from each line on has (w; 0 at the end of the text), the places of its fingerprints s (f, p) in the order of f and p, and
+    the distances between places of one fingerprint (steps).
 
     ``rows``: id, row, text.
     """
@@ -119,7 +116,9 @@ def line_table(rows: DataFrame, min_words: int) -> DataFrame:
     rows = rows.withColumn("p", F.expr(f"transform(w, (n, i) -> if(n > 0 and size(w) = size(k), int({least}), -1))"))
     once = "filter(p, (x, i) -> x >= 0 and (i = 0 or p[i - 1] != x))"
     places = F.expr(f"array_sort(transform({once}, x -> struct(if(size(k) > x, k[x], null) as f, x as p)))")
-    return rows.select("id", "row", "th", "h", "nw", "w", places.alias("s"))
+    rows = rows.select("id", "row", "th", "h", "nw", "w", places.alias("s"))
+    steps = "array_distinct(filter(transform(s, (x, i) -> if(i > 0 and s[i - 1].f = x.f, x.p - s[i - 1].p, null)), x -> x is not null))"
+    return rows.withColumn("steps", F.expr(steps))
 
 
 def first_holders(places: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -159,9 +158,11 @@ def agreeing(shifts: str, other: str, min_words: int) -> str:
 def paired_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """(row, th, runs, open): the runs that agree with the first holder of a fingerprint or inside the text, and the
     places of fingerprints with three or more places that they do not cover."""
-    first = F.expr("filter(transform(s, (x, i) -> if(i = 0 or s[i - 1].f != x.f, struct(x.f as f, x.p as p, if(get(s, i + 1).f <=> x.f, if(get(s, i + 2).f <=> x.f, 3, 2), 1) as n), null)), x -> x is not null)")
-    places = lines.select("id", "row", F.explode_outer(first).alias("x")).where("x.f is not null")
-    places = places.select(F.col("x.f").alias("f"), F.struct("id", "row", F.col("x.p").alias("p"), F.col("x.n").alias("n")).alias("at"), F.col("x.n").alias("n"))
+    # each fingerprint's first place in the text, and how often (up to three times) it is there
+    places = lines.select("id", "row", "s", F.posexplode("s").alias("i", "x")).where("i = 0 or get(s, i - 1).f != x.f")
+    often = F.expr("if(get(s, i + 1).f <=> x.f, if(get(s, i + 2).f <=> x.f, 3, 2), 1)").alias("n")
+    places = places.select("id", "row", F.col("x.f").alias("f"), F.col("x.p").alias("p"), often)
+    places = places.select("f", F.struct("id", "row", "p", "n").alias("at"), "n")
     met, _ = first_holders(places, "f")
     many = F.col("all") > 2
     met = met.where((F.col("at.row") != F.col("o.row")) | many)
@@ -177,8 +178,7 @@ def paired_runs(lines: DataFrame, min_words: int) -> DataFrame:
     # a row that holds a fingerprint first is compared with itself only
     own = pairs.where("row = source").select("source", "row", "at", "ps", "again", F.lit(None).cast("array<bigint>").alias("sh"))
     found = other.select("source", "row", "at", "ps", "again", "sh").unionByName(own)
-    steps = F.expr("array_distinct(filter(transform(s, (x, i) -> if(i > 0 and s[i - 1].f = x.f, x.p - s[i - 1].p, null)), x -> x is not null))")
-    mine = flags(lines.select("row", "th", "h", "nw", "s", steps.alias("steps")), "row", pairs).where("flag or size(steps) > 0").drop("flag")
+    mine = flags(lines.select("row", "th", "h", "nw", "s", "steps"), "row", pairs).where("flag or size(steps) > 0").drop("flag")
     both = mine.join(found, "row", "left")
     runs = F.when(F.col("sh").isNotNull(), F.expr(agreeing("at", "sh", min_words))).alias("runs")
     each = both.select("row", "th", "h", "nw", "s", "steps", runs, "ps", "again")
@@ -221,7 +221,7 @@ def other_runs(lines: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
     """(row, th, runs), stored: the first and last lines of the runs of each row that stand earlier."""
-    lines = stored(line_table(rows, min_words), "lines")
+    lines = stored(line_table(rows, min_words), "lines", "snappy")  # mostly hashes
     found = paired_runs(lines, min_words)
     both = found.where("size(runs) > 0").select("row", "th", "runs").unionByName(other_runs(lines, found, min_words))
     both = both.groupBy("row").agg(F.first("th").alias("th"), F.flatten(F.collect_list("runs")).alias("runs"))
