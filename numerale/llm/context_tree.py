@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -442,19 +442,19 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         lp[dealt(strings.distinct, parts)[0]] = np.concatenate([unpacked(x, np.float32) for x in answers.column("scores").to_pylist()])
         scores = strings.sums(lp)
         del strings, lp
-        total = {w: 0 for t in texts for w in t.split()}
-        for mine, n in zip(words_by_part(total, parts), answers.column("word_counts").to_pylist()):
-            total.update(zip(mine, unpacked(n, np.int64).tolist()))
+        # words as numbers, in the order in which they come
+        number: defaultdict = defaultdict()
+        number.default_factory = number.__len__
+        each = [np.fromiter(map(number.__getitem__, t.split()), np.int64) for t in texts]
+        total = np.zeros(len(number), np.int64)
+        for mine, n in zip(words_by_part(number, parts), answers.column("word_counts").to_pylist()):
+            total[[number[w] for w in mine]] = unpacked(n, np.int64)
         tokens, kinds = pc.sum(answers.column("tokens")).as_py() + ends, pc.sum(answers.column("kinds")).as_py() + (ends > 0)
         below = math.log10(tokens + 0.5 * (kinds + 1))
-        logs = {n: math.log10(n + 0.5) - below for n in {0, ends, *total.values()}}
-        n_tokens, n_known, base = [], [], []
-        for t in texts:
-            n = [total[w] for w in t.split()]
-            n.append(ends)
-            n_tokens.append(len(n))
-            n_known.append(len(n) - n.count(0))
-            base.append(math.fsum(map(logs.__getitem__, n)))
+        logs, end = np.log10(total + 0.5) - below, math.log10(ends + 0.5) - below
+        n_tokens = [len(x) + 1 for x in each]
+        n_known = [int(np.count_nonzero(total[x])) + (ends > 0) for x in each]
+        base = [float(logs[x].sum()) + end for x in each]
         columns = [table.column("id"), table.column("learned"), n_tokens, n_known, [tokens] * len(texts), base, scores, list(map(len, texts))]
         schema = schema_of(SCORES)
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
