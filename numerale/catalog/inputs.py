@@ -7,7 +7,7 @@ log-probabilities that follow a fixed rule of the token position.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from numerale.functions import token_array
@@ -83,6 +83,12 @@ def rule_responses(series: DataFrame, fmt: TextFormat = FMT2, context: int = CON
         F.max("scale").alias("scale"),
     )
 
+    return texts.withColumns(_by_rule())
+
+
+def _by_rule() -> dict[str, Column]:
+    """Log-probabilities and alternatives that follow from the position of a token in ``tokens``."""
+
     def logprob(k):
         return -(F.lit(0.1) + (k * 7 % 23) / 10.0)
 
@@ -91,9 +97,19 @@ def rule_responses(series: DataFrame, fmt: TextFormat = FMT2, context: int = CON
         odd = F.create_map(F.lit(" the"), -(F.lit(2.0) + k % 5))
         return F.when(k % 3 == 0, F.map_concat(word, odd)).otherwise(word)
 
-    return texts.withColumns(
-        {
-            "token_logprobs": F.transform("tokens", lambda t, k: F.when(k > 0, logprob(k).cast("float"))),
-            "top_logprobs": F.transform("tokens", top),
-        }
-    )
+    return {
+        "token_logprobs": F.transform("tokens", lambda t, k: F.when(k > 0, logprob(k).cast("float"))),
+        "top_logprobs": F.transform("tokens", top),
+    }
+
+
+def rule_answers(requests: DataFrame, fmt: TextFormat = FMT) -> DataFrame:
+    """Answers by the same rule to scoring requests, as a model would land them: one row with parallel arrays each.
+
+    The last point of every grid has no answer.
+    """
+    last = F.max("pid").over(Window.partitionBy("series_id"))
+    asked = requests.withColumn("_last", last).where((F.col("status") == "ok") & (F.col("pid") < F.col("_last")))
+    pieces = F.filter(F.split("prompt", f"\\Q{fmt.time_sep}\\E", -1), lambda p: F.length(p) > 0)
+    tokens = F.flatten(F.transform(pieces, lambda p: token_array(p, fmt)))
+    return asked.select("series_id", "pid", tokens.alias("tokens")).withColumns(_by_rule())

@@ -432,6 +432,28 @@ SELECT count(*) AS observations, count(*) FILTER (WHERE l_orderkey % 7 = 0 OR l_
        count(*) FILTER (WHERE l_orderkey % 11 = 0 OR l_orderkey % 13 = 0) AS no_number,
        count(*) FILTER (WHERE l_orderkey % 11 > 0 AND l_orderkey % 13 > 0 AND (l_orderkey % 3 = 0 OR l_extendedprice IS NULL)) AS missing_values
 FROM lineitem"""
+    sql["observations_parsed"] = """
+SELECT o_orderpriority, count(*) FILTER (WHERE o_orderkey % 9 > 0) AS accepted, count(*) FILTER (WHERE o_orderkey % 9 = 0) AS rejected,
+       count(*) FILTER (WHERE o_orderkey % 9 > 0 AND o_orderkey % 11 > 0) AS values,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE o_orderkey % 9 > 0 AND o_orderkey % 11 > 0) AS DOUBLE) AS total,
+       min(o_orderpriority || ',' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || ',n/a') FILTER (WHERE o_orderkey % 9 = 0) AS first_rejected,
+       CAST(min(o_orderdate) AS DATE) AS first_day
+FROM orders GROUP BY 1"""
+    sql["predictions_parsed"] = """
+SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS step, o_orderkey AS idx, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS test,
+       CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 2 AS DOUBLE) AS twice FROM orders"""
+    sql["completions_parsed"] = """
+SELECT o_orderkey % 5 AS sample, count(*) FILTER (WHERE o_orderkey % 13 > 0) AS accepted, count(*) FILTER (WHERE o_orderkey % 13 = 0) AS rejected,
+       CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 3) FILTER (WHERE o_orderkey % 13 > 0) AS BIGINT) AS characters,
+       max(length('{"series_id":"' || o_orderpriority || '","pid":0,"sample_id":0,"text":" ' || CAST(o_orderkey AS VARCHAR) || ' ,"}') - 4)
+         FILTER (WHERE o_orderkey % 13 = 0) AS longest_rejected
+FROM orders GROUP BY 1"""
+    net = "l_extendedprice * (1 - l_discount) / 7"
+    sql["mean_any_order"] = f"""
+SELECT l_suppkey AS series_id, {WEEK.format('l_shipdate')} AS wk, round(avg({net}), 6) AS y FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2"""
+    sql["values_off_scale"] = f"""
+SELECT l_suppkey AS series_id, count({net}) AS observations, count(*) FILTER (WHERE round(({net}) * 100) / 100 <> {net}) AS off_scale,
+       round(max(abs(round(({net}) * 100) / 100 - {net})), 6) AS largest FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1"""
     sql["week_ends"] = f"SELECT {WEEK.format('o_orderdate')} AS wk, count(*) AS orders FROM orders GROUP BY 1"
     sql["weekly_mean"] = f"WITH {W2} SELECT series_id, wk, round(y, 6) AS y FROM weekly"
     sql["weekly_spine"] = f"{S3} SELECT series_id, wk, i, n, round(y, 6) AS y FROM series"
@@ -609,6 +631,19 @@ FROM ruled JOIN starts USING (series_id) WHERE pos >= val_start GROUP BY 1"""
     sql["nlld"] = f"""{r2}
 SELECT series_id, round(nll - 2 * ln(CAST(10 AS DOUBLE)) + ln(scale), 6) AS nlld, status FROM nlls"""
 
+    sql["score_config"] = sql["nlld"]
+    sql["grid_scores_landed"] = f"""{S1},\n{SCORES},
+l_tokens AS (SELECT *, row_number() OVER (PARTITION BY series_id, pid ORDER BY i, j) - 1 AS pos FROM tokens),
+l_scored AS (
+  SELECT *, CAST(CAST(-(0.1 + ((pos * 7) % 23) / 10.0) AS FLOAT) AS DOUBLE) AS logprob,
+         CASE WHEN pos % 3 = 0 THEN exp(-(2.0 + pos % 5)) ELSE 0 END
+         + CASE WHEN tok IN {ALLOWED_SCORING} THEN 0 ELSE exp(-(0.1 + ((pos * 7) % 23) / 10.0)) END AS extra
+  FROM l_tokens WHERE split = 'val')
+SELECT series_id, CAST(pid AS BIGINT) AS pid, max(alpha) AS alpha, max(beta) AS beta, CAST(max(prec) AS BIGINT) AS prec, max(temp) AS temp,
+       CASE WHEN pid = 5 THEN 'no_answer' WHEN max(extra) >= 1 THEN 'unusable_token' ELSE 'ok' END AS status,
+       CASE WHEN pid < 5 AND max(extra) < 1 THEN
+         round(-sum(logprob - ln(CASE WHEN extra < 1 THEN 1 - extra END)) / max(n_val) - max(prec) * ln(CAST(10 AS DOUBLE)) + ln(max(scale)), 6) END AS nlld
+FROM l_scored JOIN scal USING (series_id, pid) JOIN lens USING (series_id) GROUP BY series_id, pid"""
     sql["param_grid"] = f"""{S2}, {MARKED},\n{POINTS}
 SELECT series_id, CAST(pid AS BIGINT) AS pid, alpha, beta, CAST(prec AS BIGINT) AS prec, temp,
        round("offset", 6) AS "offset", round(scale, 6) AS scale, steps FROM scal"""

@@ -15,6 +15,7 @@ from numerale.catalog.inputs import (
     SEASON,
     analog_completions,
     fitted,
+    rule_answers,
     rule_responses,
     s1,
     s2,
@@ -23,16 +24,20 @@ from numerale.catalog.inputs import (
     truth_of,
 )
 from numerale.functions import ensure_terminated, week_end
+from numerale.operators.numbering import number_rows
 from numerale.operators import budget, calendar, checks, likelihood, metrics, nexttoken, scaling, textnum
 from numerale.plans import forecast as forecasting
 from numerale.plans import oneshot, prepare as preparing, tuning
 from numerale.settings import CONTEXT_TOKENS, TextFormat
 from numerale.sources import (
+    accepted,
     as_series,
     explode_logprobs,
     load,
     orders_by_nation,
     orders_by_priority,
+    parse_csv_lines,
+    parse_json_lines,
     parse_time,
     rejected_observations as count_rejected,
 )
@@ -92,6 +97,43 @@ def rejected_observations(spark, sf):
     return count_rejected(rows, ["id"], "ts", "value")
 
 
+@query
+def observations_parsed(spark, sf):
+    """Observations as lines of text, some without a number: per series what was read and what was turned away."""
+    key = F.col("o_orderkey")
+    value = F.when(key % 9 == 0, F.lit("n/a")).when(key % 11 > 0, F.col("o_totalprice").cast("decimal(18,2)").cast("string")).otherwise("")
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    lines = load(spark, sf, "orders").select("o_orderpriority", F.concat_ws(",", "o_orderpriority", stamp, value).alias("line"))
+    read = parse_csv_lines(lines)
+    return read.groupBy("o_orderpriority").agg(
+        F.count_if(F.col("_corrupt").isNull()).alias("accepted"), F.count("_corrupt").alias("rejected"), F.count("value").alias("values"),
+        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.min("_corrupt").alias("first_rejected"),
+        F.min(F.to_date("ts")).alias("first_day"),
+    )
+
+
+@query
+def predictions_parsed(spark, sf):
+    """A wide benchmark as lines of text in any order: its rows numbered by the index, without one task for all."""
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    lines = load(spark, sf, "orders").select(F.concat_ws(",", "o_orderkey", price.cast("string"), (price * 2).cast("string")).alias("line"))
+    read = accepted(parse_csv_lines(lines, schema="idx BIGINT, test DOUBLE, twice DOUBLE"))
+    return number_rows(read, [F.col("idx")], range_rows=4000).select("step", "idx", "test", "twice")
+
+
+@query
+def completions_parsed(spark, sf):
+    """Landed answers as JSON lines, some broken off: texts per sample, and the broken lines kept."""
+    key = F.col("o_orderkey")
+    whole = F.to_json(F.struct(F.col("o_orderpriority").alias("series_id"), F.lit(0).alias("pid"), (key % 5).cast("int").alias("sample_id"), F.concat(F.lit(" "), key.cast("string"), F.lit(" ,")).alias("text")))
+    line = F.when(key % 13 == 0, F.substring(whole, F.lit(1), F.length(whole) - 4)).otherwise(whole)
+    read = parse_json_lines(load(spark, sf, "orders").select((key % 5).cast("bigint").alias("sample"), line.alias("line")))
+    return read.groupBy("sample").agg(
+        F.count_if(F.col("_corrupt").isNull()).alias("accepted"), F.count("_corrupt").alias("rejected"),
+        F.sum(F.when(F.col("_corrupt").isNull(), F.length("text"))).alias("characters"), F.max(F.length("_corrupt")).cast("bigint").alias("longest_rejected"),
+    )
+
+
 LINE_VALUES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -123,6 +165,24 @@ def weekly_mean(spark, sf):
     return calendar.resample_mean(orders_by_nation(spark, sf), decimals=2).withColumn("y", r6("y"))
 
 
+def _net(spark, sf):
+    """Prices with as many decimals as a division leaves."""
+    lines = load(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 7).alias("net"))
+    return as_series(lines, ["l_suppkey"], "l_shipdate", "net")
+
+
+@query
+def mean_any_order(spark, sf):
+    """Means of doubles of any size without a stated number of decimals: added digit by digit."""
+    return calendar.resample_mean(_net(spark, sf)).withColumn("y", r6("y"))
+
+
+@query
+def values_off_scale(spark, sf):
+    rows = calendar.off_scale(_net(spark, sf), 2)
+    return rows.select("series_id", "observations", "off_scale", r6("largest").alias("largest"))
+
+
 @query
 def weekly_spine(spark, sf):
     return s3(spark, sf).select("series_id", "wk", long("i").alias("i"), long("n").alias("n"), r6("y").alias("y"))
@@ -592,6 +652,14 @@ def nlld(spark, sf):
     return rows.select("series_id", r6("nlld").alias("nlld"), "status")
 
 
+@query
+def score_config(spark, sf):
+    """One configuration from landed answers and a table of scalers."""
+    rows = rule_responses(s2(spark, sf))
+    scored = likelihood.score(rows.drop("scale"), rows.select("series_id", "scale"), "n_train", "n_val", FMT2)
+    return scored.select("series_id", r6("nlld").alias("nlld"), "status")
+
+
 # --- tuning and forecast ------------------------------------------------------------------------
 
 
@@ -636,6 +704,13 @@ def grid_scores_gaps(spark, sf):
     return _rounded(tuning.evaluate_grid(s3(spark, sf), _points(), FMT))
 
 
+@query
+def grid_scores_landed(spark, sf):
+    """The grid scored from landed answers; a point without an answer keeps its row."""
+    requests = tuning.scoring_requests(s1(spark, sf), _points(), FMT)
+    return _rounded(tuning.evaluate_responses(requests, rule_answers(requests), _points(), FMT))
+
+
 @query
 def best_params(spark, sf):
     return _rounded(tuning.best_params(_scores(spark, sf)))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from numerale.functions import by_key, key_columns, require_columns, week_end
+from numerale.operators.exact import exact_mean
 
 
 def select_target(df: DataFrame, col: str, keys: Sequence[str] = ("series_id", "ts")) -> DataFrame:
@@ -22,9 +23,7 @@ def select_target(df: DataFrame, col: str, keys: Sequence[str] = ("series_id", "
     return require_columns(df, *keys, col).select(*keys, F.col(col).alias("value"))
 
 
-def _mean(col: str, decimals: int | None) -> Column:
-    if decimals is None:
-        return F.avg(col)
+def _mean(col: str, decimals: int) -> Column:
     # sums of whole units do not depend on the order of addition, so digits cut from the mean are
     # stable; a sum beyond the range of BIGINT is an error under ANSI, never a wrong number
     unit = float(10**decimals)
@@ -37,15 +36,29 @@ def resample_mean(
 ) -> DataFrame:
     """Mean per series and week, missing values skipped: ``(series_id, wk, y)``.
 
-    ``decimals`` states that the values have at most so many decimals and
-    makes the sum exact.  With several value columns each keeps its name.
+    The mean has the same bits however the rows lie: without ``decimals`` the values are added
+    digit by digit (``exact_mean``).  ``decimals`` states that the values have at most so many
+    decimals, so that whole units can be added, which is cheaper; ``off_scale`` counts the values
+    that this rounds.  With several value columns each keeps its name.
     """
     require_columns(observations, "series_id", "ts", *value_cols)
     names = ["y"] if len(value_cols) == 1 else list(value_cols)
+    if decimals is None:
+        means = exact_mean(observations, ["series_id", week_end("ts").alias("wk")], list(value_cols))
+        return means.select("series_id", "wk", *[F.col(c).alias(n) for c, n in zip(value_cols, names)])
     means = [_mean(c, decimals).alias(n) for c, n in zip(value_cols, names)]
     return observations.groupBy("series_id", week_end("ts").alias("wk")).agg(*means)
 
 
+def off_scale(observations: DataFrame, decimals: int, col: str = "value") -> DataFrame:
+    """Per series, the values and how many of them have more than ``decimals`` decimals, with the largest difference made."""
+    unit = float(10**decimals)
+    gap = F.abs(F.rint(F.col(col) * unit) / unit - F.col(col))
+    return observations.groupBy("series_id").agg(
+        F.count(col).alias("observations"), F.count_if(gap > 0).alias("off_scale"), F.max(gap).alias("largest")
+    )
+
+
 def calendar_spine(weekly: DataFrame) -> DataFrame:
     """Add the empty weeks inside each series' range, the step ``i`` and the length ``n``.
 

@@ -161,32 +161,35 @@ def score_tokens(model: DataFrame, contexts: DataFrame, fmt: TextFormat, top: in
     Output as a scored text would be landed, in long form: ``(…, pos, tok,
     logprob FLOAT, top MAP)``.  The first token has no log-probability.
 
-    The contexts of a series, at most |vocabulary|^2, meet its tokens as one map,
-    so the join is on the series alone and no token leaves its place.
+    The contexts of a series, at most |vocabulary|^2, meet its tokens as one nested array in which a
+    context is a position, so the join is on the series alone, no token leaves its place, and nothing is searched for.
     """
     keys = key_columns(model)
+    size = len(fmt.vocabulary)
+    of_token = F.create_map(*[F.lit(x) for k, t in enumerate(fmt.vocabulary) for x in (t, k)])
+
+    def position(tok: str) -> Column:
+        return F.try_element_at(of_token, F.col(tok))
+
     seen = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("neg"), "tok")))
+    by_token = F.array(*[F.coalesce(F.sum(F.when(F.col("tok") == t, F.col("c"))), F.lit(0)) for t in fmt.vocabulary])
+    best = F.transform(F.slice("seen", 1, top), lambda s: F.struct(s["tok"], smoothed_logprob(-s["neg"], F.col("total"), fmt)))
     by_context = (
         model.groupBy(*keys, "p2", "p1")
-        .agg(F.sum("c").alias("total"), seen.alias("seen"))
-        .withColumn("counts", F.map_from_entries(F.transform("seen", lambda s: F.struct(s["tok"], -s["neg"]))))
-        .withColumn(
-            "top",
-            F.map_from_entries(
-                F.transform(
-                    F.slice("seen", 1, top),
-                    lambda s: F.struct(s["tok"], smoothed_logprob(-s["neg"], F.col("total"), fmt)),
-                )
-            ),
-        )
-        .select(*keys, F.concat("p2", F.lit("\0"), "p1").alias("_context"), F.struct("total", "counts", "top").alias("_seen"))
+        .agg(F.sum("c").alias("total"), by_token.alias("counts"), seen.alias("seen"))
+        .select(*keys, (position("p2") * size + position("p1")).alias("_context"), F.struct("total", "counts", F.map_from_entries(best).alias("top")).alias("_seen"))
+        .where("_context is not null")
     )
-    by_series = by_context.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_context", "_seen"))).alias("_model"))
-    context = F.concat("p2", F.lit("\0"), "p1")
-    rows = contexts.join(by_series, keys, "left").withColumn("_seen", F.try_element_at("_model", context)).drop("_model")
-    rows = rows.select("*", "_seen.total", "_seen.counts", "_seen.top")
-    count = F.coalesce(F.try_element_at("counts", F.col("tok")), F.lit(0))
-    logprob = smoothed_logprob(count, F.coalesce("total", F.lit(0)), fmt).cast("float")
+    # contexts in their order; a token finds its own by its place among those that were seen
+    entries = F.array_sort(F.collect_list(F.struct("_context", F.struct("_seen.total", "_seen.counts", F.map_entries("_seen.top").alias("top")).alias("_seen"))))
+    by_series = by_context.groupBy(*keys).agg(entries.alias("_entries"))
+    place = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.array_position(F.transform("_entries", lambda e: e["_context"]), k).cast("int") - 1)
+    by_series = by_series.select(*keys, place.alias("_place"), F.transform("_entries", lambda e: e["_seen"]).alias("_model"))
+    rows = contexts.join(by_series, keys, "left")
+    at = F.get("_place", position("p2") * size + position("p1"))
+    rows = rows.withColumn("_seen", F.when(at >= 0, F.get("_model", at))).drop("_model", "_place")
+    count = F.coalesce(F.get("_seen.counts", position("tok")), F.lit(0))
+    logprob = smoothed_logprob(count, F.coalesce("_seen.total", F.lit(0)), fmt).cast("float")
     nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
     return rows.select(
         *keys,
@@ -194,7 +197,7 @@ def score_tokens(model: DataFrame, contexts: DataFrame, fmt: TextFormat, top: in
         "pos",
         "tok",
         F.when(F.col("p1").isNotNull(), logprob).alias("logprob"),
-        F.coalesce("top", nothing).alias("top"),
+        F.coalesce(F.map_from_entries("_seen.top"), nothing).alias("top"),
     )
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from numerale.functions import require_columns
 from numerale.functions.columns import column
+from numerale.operators.numbering import number_rows
 
 #: Header of the observation files: a date text and the target.
 OBSERVATION_FILE = T.StructType([T.StructField("Date", T.StringType()), T.StructField("tmax", T.DoubleType())])
@@ -61,9 +62,10 @@ def read_predictions(
     first = F.col(f"`{index}`")
     kept = [truth, *(models if models is not None else [c for c in names if c != truth])]
     values = [F.col(f"`{c}`").try_cast("double").alias(c) for c in kept]
-    # one benchmark file is one series of a horizon's length: its rows are numbered in one task
-    order = Window.orderBy(first.try_cast("double"), first.try_cast("timestamp_ntz"), first)
-    return raw.select((F.row_number().over(order) - 1).alias("step"), *values)
+    index_col = F.col("_index")
+    order = [index_col.try_cast("double"), index_col.try_cast("timestamp_ntz"), index_col]
+    numbered = number_rows(raw.select(first.alias("_index"), *values), order)
+    return numbered.select(F.col("step").cast("int").alias("step"), *[f"`{c}`" for c in kept])
 
 
 def _parsed(text: Column, fmt: str | None) -> Column:

@@ -3,21 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from numerale.sources.observations import as_series
 
 
-_SCHEMAS: dict[tuple[str, str], StructType] = {}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; its schema is read from the files once per application, then declared."""
-    path = f"{sf_dir}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _SCHEMAS:
-        _SCHEMAS[key] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    """A table as it is now: the schema is read from its files each time."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def orders_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,45 @@ def test_tables_and_completions(spark, tmp_path):
     scores = spark.createDataFrame([("basic", 1.0), ("gaussian", 2.0)], "kind string, s double")
     write_table(scores, str(tmp_path / "s"), ["kind"])
     assert (tmp_path / "s" / "kind=basic").is_dir()
+
+
+def test_lines_of_text(spark):
+    from numerale.sources import accepted, parse_csv_lines, parse_json_lines, rejected
+
+    lines = ["a,2024-01-02T00:00:00,1.5", "b,2024-01-03T00:00:00,", "c,yesterday,2", "d,2024-01-04T00:00:00,x", "", 'e,"2024-01-05T00:00:00",7', None]
+    read = parse_csv_lines(spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "k int, line string"))
+    assert read.columns == ["k", "series_id", "ts", "value", "_corrupt"]
+    assert {r.k: r.value for r in accepted(read).where("series_id is not null").collect()} == {0: 1.5, 1: None, 5: 7.0}
+    assert {r[0] for r in rejected(read).collect()} >= {lines[2], lines[3]}
+    texts = ['{"series_id": "a", "pid": 1, "sample_id": 0, "text": " 1 ,"}', '{"series_id": "b", "pid"', "[]"]
+    answers = parse_json_lines(spark.createDataFrame([(t,) for t in texts], "line string"))
+    assert [r.text for r in accepted(answers).where("series_id is not null").collect()] == [" 1 ,"]
+    assert texts[1] in {r[0] for r in rejected(answers).collect()}
+
+
+def test_a_job_run_again_leaves_one_copy(spark, tmp_path):
+    from numerale.sources import write_table
+
+    rows = spark.createDataFrame([("m", 1), ("m", 2), ("n", 3)], "model string, x int")
+    path = str(tmp_path / "t")
+    for part in (rows, rows.where("model = 'm'"), rows.where("model = 'm'")):
+        write_table(part, path, ["model"], mode="replace_parts")
+    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    with pytest.raises(ValueError, match="partition_by"):
+        write_table(rows, path, mode="replace_parts")
+
+
+def test_a_table_by_series_is_joined_without_a_shuffle(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from numerale.sources import write_bucketed
+
+    rows = spark.range(200).select((F.col("id") % 9).alias("series_id"), F.col("id").alias("x"))
+    for _ in range(2):  # a second run replaces the first
+        write_bucketed(rows, "by_series_a", 4)
+    write_bucketed(rows, "by_series_b", 4)
+    a, b = spark.table("by_series_a"), spark.table("by_series_b").withColumnRenamed("x", "z")
+    joined = a.join(b.hint("merge"), "series_id").groupBy("series_id").agg(F.sum("z").alias("z"))
+    assert a.count() == 200 and "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    for t in ("by_series_a", "by_series_b"):
+        spark.sql(f"DROP TABLE {t}")
