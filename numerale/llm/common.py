@@ -43,6 +43,23 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it for one name, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct: an operator works beside it, so that no name of its own meets one of the user's."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns])
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores after it as make it a new one."""
+    while name.lower() in (t.lower() for t in taken):
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows that one Arrow batch carries to Python (a setting of the session, lowered only)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -204,7 +204,7 @@ def indexes(
 ) -> list[Callable[[], Index]]:
     """For each block of items, what makes its index in a task."""
     small_batches(spark)
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     repeats = repeats_for(recall, max_edits, steps)

@@ -22,7 +22,10 @@ Equal vectors are one node with a count, so a group of copies costs nothing.  A
 with more than ``BLOCK`` vectors is cut into blocks by a hash, and each pair of
 blocks is a task of its own: no cell is gathered and none is capped.
 
-Defined cases: vectors that are null, empty, zero, of another length than most, or
+Vectors of every length take part; only those of one length are compared.  DOUBLE components are
+kept as they are, all others as single precision.
+
+Defined cases: vectors that are null, empty, zero, or
 hold null or non-finite components link with nothing (their own component);
 rows that repeat a vec_id are vectors of their own with that id; a null id is never
 the smallest of a component (null if all are).  Labels are not read.
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +103,9 @@ class Projections:
         return out
 
 
-def unit(vectors: list[bytes], dims: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), "<f4").reshape(-1, dims).astype(np.float64)
+def unit(vectors: list[bytes], dims: int, kind: str = "<f4") -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), kind).reshape(-1, dims).astype(np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]  # no square leaves the range of doubles
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -176,7 +181,9 @@ def near_duplicates(
     """(id, n_links, component_id, kept) per row of ``vectors``."""
     spark = vectors.sparkSession
     small_batches(spark)
-    value = F.transform(F.col(vector_col), lambda v: v.cast("float"))
+    wide = vectors.schema[vector_col].dataType.simpleString() == "array<double>"
+    kind, width = ("<f8", 8) if wide else ("<f4", 4)
+    value = F.transform(F.col(vector_col), lambda v: v.cast("double" if wide else "float"))
     fine = (F.size(vector_col) > 0) & ~F.exists(
         vector_col, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf"))
     ) & F.exists(vector_col, lambda v: v != 0)
@@ -184,57 +191,61 @@ def near_duplicates(
 
     @F.pandas_udf("binary")
     def packed(v: pd.Series) -> pd.Series:
-        return v.map(lambda a: None if a is None else (np.asarray(a, "<f4") + np.float32(0)).tobytes())
+        return v.map(lambda a: None if a is None else (np.asarray(a, kind) + np.zeros(1, kind)).tobytes())
 
     rows = stored(rows.withColumn("v", packed("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    usual = rows.where("v is not null").groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if usual is None:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    size = usual.n
-    classes = rows.where(F.length("v") == size).groupBy("v")
+    classes = rows.where("v is not null").groupBy("v")
     classes = classes.agg(F.min("row").alias("node"), F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = stored(classes, "vector-classes")
     n = classes.count()
-    dims, r = size // 4, math.sqrt(2 - 2 * min_cosine)
+    r = math.sqrt(2 - 2 * min_cosine)
     each = 1 - (1 - recall) / 2
     depth, tables = plan(n, min_cosine, each)
     need = least_count(counted, each)
-    make = (dims, depth, tables, counted, r, seed)
-
-    cell_schema = schema_of("table int, cell long, node long, copies long, v binary")
+    make = (depth, tables, counted, r, seed)
+    columns = "dims int, table int, cell long, node long, copies long, v binary"
+    cell_schema = schema_of(columns)
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = Projections(*make)
+        lines: dict[int, Projections] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = lines.cells(unit(batch.column("v").to_pylist(), dims)).view(np.int64)
-            for t in range(tables):
-                arrays = [pa.array(np.full(len(cells), t, np.int32)), pa.array(cells[:, t].copy()), batch.column("node"), batch.column("copies"), batch.column("v")]
-                yield pa.RecordBatch.from_arrays(arrays, schema=cell_schema)
-
-    placed = classes.select("node", "copies", "v").mapInArrow(to_cells, "table int, cell long, node long, copies long, v binary")
-    sizes = classes.select("node", "copies", "v").mapInArrow(to_cells, "table int, cell long, node long, copies long, v binary")
-    sizes = sizes.select("table", "cell").groupBy("table", "cell").agg(F.count("*").alias("n")).where("n > 1")
+            sizes = pc.divide(pc.binary_length(batch.column("v")), width).to_numpy(zero_copy_only=False)
+            for dims in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == dims))
+                own = lines.setdefault(dims, Projections(dims, *make))
+                cells = own.cells(unit(part.column("v").to_pylist(), dims, kind)).view(np.int64)
+                same = pa.array(np.full(len(cells), dims, np.int32))
+                for t in range(tables):
+                    arrays = [same, pa.array(np.full(len(cells), t, np.int32)), pa.array(cells[:, t].copy()), part.column("node"), part.column("copies"), part.column("v")]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=cell_schema)
+
+    placed = classes.select("node", "copies", "v").mapInArrow(to_cells, columns)
+    sizes = classes.select("node", "copies", "v").mapInArrow(to_cells, columns)
+    sizes = sizes.select("dims", "table", "cell").groupBy("dims", "table", "cell").agg(F.count("*").alias("n")).where("n > 1")
     sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "vector-cells")
-    placed = placed.join(sizes.drop("n"), ["table", "cell"])
+    placed = placed.join(sizes.drop("n"), ["dims", "table", "cell"])
     # block b of a cell takes part in the pairs (b, 0), (b, 1), ..., each a group of its own
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own")
     pairs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
-    dealt = placed.select("table", "cell", "node", "copies", "v", own, "blocks").select("*", pairs)
+    dealt = placed.select("dims", "table", "cell", "node", "copies", "v", own, "blocks").select("*", pairs)
     dealt = dealt.withColumns({"a": F.least("own", "with"), "b": F.greatest("own", "with")})
 
-    keys = ["table", "cell", "a", "b"]
+    keys = ["dims", "table", "cell", "a", "b"]
 
     def count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = Projections(*make)
+        known: dict[int, Projections] = {}
         out = schema_of(LINKS)
 
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            table, cell, first, second, own, nodes, copies = (rows.column(c).to_numpy() for c in [*keys, "own", "node", "copies"])
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            for dims in rows.column("dims").unique().to_pylist():
+                yield linked(rows.filter(pc.equal(rows.column("dims"), dims)), dims)
+
+        def linked(rows: pa.Table, dims: int) -> pa.RecordBatch:
+            lines = known.setdefault(dims, Projections(dims, *make))
+            table, cell, first, second, own, nodes, copies = (rows.column(c).to_numpy() for c in [*keys[1:], "own", "node", "copies"])
             new = np.ones(len(nodes), bool)
             new[1:] = (table[1:] != table[:-1]) | (cell[1:] != cell[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-            x = unit(rows.column("v").to_pylist(), dims)
+            x = unit(rows.column("v").to_pylist(), dims, kind)
             links, find, forest = np.zeros(len(nodes), np.int64), np.arange(len(nodes)), []
             found = linked_pairs(np.cumsum(new), own, first != second, table, x, x @ lines.count, lines.cells(x), need, r, min_cosine)
             for i, j in found:
@@ -259,10 +270,10 @@ def near_duplicates(
             last = np.flatnonzero(~np.logical_and.reduce([e == e[-1] for e in ends]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield done(held.slice(0, cut))
+                yield from done(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield done(held)
+            yield from done(held)
 
     grouped = dealt.select(*keys, "own", "node", "copies", "v").repartition(*keys).sortWithinPartitions(*keys)
     found = stored(grouped.mapInArrow(count_links, LINKS), "vector-links")
@@ -274,6 +285,6 @@ def near_duplicates(
     known = stored(known, "vector-known")
     smallest = known.groupBy("component").agg(F.min("first").alias("component_id"))
     known = known.join(smallest, "component").select("v", "n_links", "component_id")
-    linked = rows.where(F.length("v") == size).join(known, "v").select("id", "n_links", "component_id")
-    alone = rows.where("v is null or length(v) != {}".format(size)).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    linked = rows.where("v is not null").join(known, "v").select("id", "n_links", "component_id")
+    alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

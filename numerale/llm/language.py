@@ -19,7 +19,6 @@ null labels are not learned from.  Only id, text and (for learning) lang are rea
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -29,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numerale.llm.common import schema_of, small_batches, stored, texts_of
+from numerale.llm.common import free_name, quoted, schema_of, small_batches, stored, texts_of, whole_row
 
 BUCKETS = 1 << 12
 PER_LANGUAGE = 500
 SAMPLE = 3000
 PART = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
 
 # Families of languages by their two-letter codes.
 FAMILIES = {
@@ -90,7 +88,8 @@ class Model:
         return total / n + self.bias
 
     def predict(self, text: bytes) -> tuple[str, float]:
-        if not self.languages or not LETTER.search(text.decode("utf-8", "replace")):
+        # a letter is what Unicode files under L: numerals such as those in circles are none
+        if not self.languages or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
             return "und", 0.0
         margin = self.margins(text)
         names = sorted(set(self.families))
@@ -190,7 +189,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+    """``docs`` with lang_pred and score (with an underscore more where there is a column of that name)."""
     small_batches(docs.sparkSession)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -199,4 +198,6 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         found = [model.predict(t) for t in texts_of(texts)]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], fields=list(kind))
 
-    return docs.withColumn("__found", predict(F.col(text_col))).select(*docs.columns, "__found.lang_pred", "__found.score")
+    found = docs.select(whole_row(docs).alias("doc"), predict(F.col(quoted(text_col))).alias("found"))
+    own = [F.col("found")[c].alias(free_name(c, docs.columns)) for c in ("lang_pred", "score")]
+    return found.select("doc.*", *own)

@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from numerale.llm.common import stored
+from numerale.llm.common import free_name, stored, whole_row
 
 LINE_END = r"(?<=[.,;:!?])(?= )|(?<=\n)"
 MARK = "\x01"
@@ -229,20 +229,11 @@ def repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
     return stored(both.select("row", "th", gone.alias("gone")), "lines-gone")
 
 
-def free_name(name: str, taken: list[str]) -> str:
-    """The name, with as many underscores after it as make it a new one."""
-    while name.lower() in (t.lower() for t in taken):
-        name += "_"
-    return name
-
-
 def remove_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, into: str = "lines_removed"
 ) -> DataFrame:
     """``docs`` with later copies of repeated runs deleted, and the column lines_removed."""
-    quoted = lambda c: "`" + c.replace("`", "``") + "`"
-    columns = [F.col(quoted(c)).alias(c) for c in docs.columns]
-    rows = docs.select(F.struct(*columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(whole_row(docs).alias("doc"), F.monotonically_increasing_id().alias("row"))
     text = F.col("doc")[text_col]
     gone = repeated_runs(rows.select(F.col("doc")[id_col].alias("id"), "row", text.alias("text")), min_words)
     flagged = flags(rows, "row", gone)

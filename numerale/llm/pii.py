@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numerale.llm.common import schema_of, small_batches, stored, texts_of
+from numerale.llm.common import free_name, schema_of, small_batches, stored, texts_of, whole_row
 
 WIDEN = 12
 
@@ -253,23 +253,25 @@ def surrogates(values: DataFrame, key: bytes) -> DataFrame:
 
 def pseudonymized(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with entities replaced, and the columns n_replaced and replaced (start, stop, kind, surrogate;
-    positions in the old text)."""
+    positions in the old text; with an underscore more where there is a column of that name)."""
     small_batches(docs.sparkSession)
     found = stored(spans(docs, id_col, text_col), "pii-spans")
     made = stored(surrogates(found.select("kind", "value").distinct(), key), "pii-surrogates")
     pairs = found.join(made, ["kind", "value"])
-    each = F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "surrogate"))).alias("__spans")
-    per_doc = pairs.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(each)
-    same = docs[id_col].cast("long").eqNullSafe(per_doc["__id"]) & (F.xxhash64(docs[text_col]) == per_doc["__mark"])
-    out = docs.join(per_doc, same, "left")
-    text = F.col(text_col)
+    each = F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "surrogate"))).alias("spans")
+    per_doc = pairs.groupBy("id", "mark").agg(each)
+    rows = docs.select(whole_row(docs).alias("doc"))
+    text = F.col("doc")[text_col]
+    same = F.col("doc")[id_col].cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("mark"))
+    out = rows.join(per_doc, same, "left")
 
     def piece(s, i):
-        before = F.when(i > 0, F.get("__spans", i - 1)["stop"]).otherwise(0)
+        before = F.when(i > 0, F.get("spans", i - 1)["stop"]).otherwise(0)
         return F.concat(F.substr(text, before + 1, s["start"] - before), s["surrogate"])
 
-    tail = F.substr(text, F.element_at("__spans", -1)["stop"] + 1)
-    new = F.when(F.col("__spans").isNull(), text).otherwise(F.concat(F.array_join(F.transform("__spans", piece), ""), tail))
-    columns = [new.alias(c) if c == text_col else docs[c] for c in docs.columns]
-    n = F.coalesce(F.size("__spans"), F.lit(0))
-    return out.select(*columns, F.when(n > 0, n).otherwise(0).alias("n_replaced"), F.coalesce("__spans", F.array()).alias("replaced"))
+    tail = F.substr(text, F.element_at("spans", -1)["stop"] + 1)
+    new = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(F.transform("spans", piece), ""), tail))
+    columns = [(new if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns]
+    n = F.coalesce(F.size("spans"), F.lit(0))
+    counted = F.when(n > 0, n).otherwise(0).alias(free_name("n_replaced", docs.columns))
+    return out.select(*columns, counted, F.coalesce("spans", F.array()).alias(free_name("replaced", docs.columns)))

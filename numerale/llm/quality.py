@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from numerale.llm.common import schema_of, small_batches, texts_of
+from numerale.llm.common import free_name, quoted, schema_of, small_batches, texts_of
 
 PASSAGE = 64
 SAMPLE = 4000
@@ -177,9 +177,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1."""
+    """``docs`` with the probability of label 1 (``into`` gets an underscore more where there is a column of that name)."""
     small_batches(docs.sparkSession)
-    return docs.withColumn(into, score_column(model, F.col(text_col)))
+    return docs.withColumn(free_name(into, docs.columns), score_column(model, F.col(quoted(text_col))))
 
 
 def score_column(model: Model, text: Column) -> Column:

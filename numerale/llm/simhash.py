@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from numerale.llm.common import components, small_batches, stored
+from numerale.llm.common import components, quoted, small_batches, stored, whole_row
 
 BITS = 64
 
@@ -166,10 +166,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """Exactly one row of each component stays: one with the smallest id (rows without id come last), and of rows
     that repeat it the first as they are stored."""
     small_batches(docs.sparkSession)
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__fp", fingerprint(F.col(text_col), shingle))
+    rows = docs.select(whole_row(docs).alias("doc"), F.monotonically_increasing_id().alias("row"), fingerprint(F.col(quoted(text_col)), shingle).alias("fp"))
     rows = stored(rows, "simhash-rows")  # the key of a row is fixed by this table
-    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    nodes = stored(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(place).alias("first")), "simhash-nodes")
+    place = F.struct(F.col("doc")[id_col].isNull().alias("none"), F.col("doc")[id_col].alias("id"), F.col("row").alias("row"))
+    nodes = stored(rows.groupBy("fp").agg(F.min(place).alias("first")), "simhash-nodes")
     labels = near_links(nodes.select("fp"), **options).join(nodes, "fp")
-    kept = labels.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = labels.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -79,3 +79,16 @@ def test_parameters():
     assert sum(math.comb(COUNTED, j) * p**j * (1 - p) ** (COUNTED - j) for j in range(k)) <= 0.001
     small, large = plan(10_000, 0.95, 0.99), plan(1_000_000_000, 0.95, 0.99)
     assert small[0] < large[0] and small[1] < large[1] < 400 and BLOCK > 100
+
+
+def test_vectors_of_every_length_and_doubles(spark):
+    rows = [(k, [1.0, k / 1000]) for k in range(5)] + [(10, [1.0, 2.0, 3.0]), (11, [1.0, 2.0, 3.0]), (12, [1.0, 2.0, 3.01]), (13, [5.0] * 40)]
+    got = {r.id: (r.n_links, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == {**{k: (4, 0) for k in range(5)}, 10: (2, 10), 11: (2, 10), 12: (2, 10), 13: (0, 13)}
+    # cosines just above and below the threshold that single precision cannot tell apart, and components of any size
+    c = 0.95
+    pair = lambda x, eps: [x, [x[0] * (c + eps) - x[1] * math.sqrt(1 - (c + eps) ** 2), x[0] * math.sqrt(1 - (c + eps) ** 2) + x[1] * (c + eps)]]
+    for scale in (1.0, 1e200, 1e-200):
+        above, below = pair([scale, 0.0], 1e-12), pair([0.0, scale], -1e-12)
+        rows = spark.createDataFrame([(k, v) for k, v in enumerate([*above, *[[-a, -b] for a, b in below]])], "vec_id long, embedding array<double>")
+        assert sorted((r.id, r.n_links) for r in near_duplicates(rows).collect()) == [(0, 1), (1, 1), (2, 0), (3, 0)]

@@ -64,3 +64,9 @@ def test_defined_cases(spark, odd, none, learned):
     assert identified(none, model).count() == 0
     nothing = learn(odd.withColumn("lang", odd["lang"].substr(9, 1)).where("lang is null"))
     assert nothing.predict(b"some text") == ("und", 0.0)
+
+
+def test_numerals_are_no_letters(learned):
+    model, _ = learned
+    assert all(model.predict(t.encode()) == ("und", 0.0) for t in ("½ ²", "Ⅷ", "①", "12", "__", "〇"))
+    assert model.predict("ª".encode())[0] != "und"
