@@ -10,21 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numerale.llm import decontaminate, line_dedup, packing, quality, simhash
-from numerale.llm.common import load, stored
+from numerale.llm.common import free_name, load, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from all labels, scores below the threshold go."""
     model = quality.learn(docs, load(spark, sf_dir, "labels"))
-    kept = quality.scored(docs, model, into="__score").where(f"__score >= {quality.THRESHOLD}")
-    return kept.drop("__score")
+    score = free_name("score", docs.columns)
+    kept = quality.scored(docs, model).where(F.col(score) >= quality.THRESHOLD)
+    return kept.drop(score)
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs go; n_chars follows the text where it changed."""
     out = line_dedup.remove_repeated_lines(docs)
-    n_chars = F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    removed = free_name("lines_removed", docs.columns)
+    n_chars = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).drop(removed)
 
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
