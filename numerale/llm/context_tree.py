@@ -75,18 +75,18 @@ def parts_of(texts: list[bytes], size: int = PART) -> Iterator[tuple[int, int]]:
 
 def keys_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(strings, first position per text): a string for every byte of every text and its end."""
-    data = np.frombuffer(END * depth + b"".join(t + END for t in texts), np.uint8)
-    n = len(data) - depth
+    data = np.frombuffer(END * 7 + b"".join(t + END for t in texts), np.uint8)
+    # eight bytes that end at each byte, as one number, the last byte lowest
+    eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8))
+    key = eights.view(">u8").reshape(-1).astype(np.int64) & ((1 << (8 * (depth + 1))) - 1)
     sizes = np.array([len(t) + 1 for t in texts])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    key = data[depth:].astype(np.int64)
-    for d in range(1, depth + 1):
-        key += data[depth - d : depth - d + n].astype(np.int64) << (8 * d)
     # the bytes before a text are end symbols, whatever the text before it
-    for s, length in zip(starts.tolist(), sizes.tolist()):
-        for k in range(min(depth - 1, length)):
-            low = (1 << (8 * (k + 1))) - 1
-            key[s + k] = (key[s + k] & low) | (((1 << (8 * (depth + 1))) - 1) & ~low)
+    k = np.arange(depth - 1)
+    inside = k < sizes[:, None]
+    low = np.broadcast_to((1 << (8 * (k + 1))) - 1, inside.shape)[inside]
+    at = (starts[:, None] + k)[inside]
+    key[at] = (key[at] & low) | (((1 << (8 * (depth + 1))) - 1) & ~low)
     return key, starts
 
 
@@ -280,7 +280,9 @@ class Strings:
         for a, b in parts_of(texts):
             codes, distinct, starts = grams(texts[a:b], depth)
             self.texts.append((codes.astype(np.int32), distinct, starts))
-        self.distinct = np.unique(np.concatenate([x[1] for x in self.texts]))
+        every = np.concatenate([x[1] for x in self.texts])
+        every.sort()
+        self.distinct = every[np.concatenate([[True], every[1:] != every[:-1]])]
 
     def sums(self, scores: np.ndarray) -> np.ndarray:
         """Along each text, the sum of its strings' scores (given in the order of ``distinct``)."""
