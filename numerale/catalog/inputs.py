@@ -67,6 +67,12 @@ def analog_completions(series: DataFrame, fmt: TextFormat = FMT, carry: tuple[st
     return rows.groupBy("series_id", "sample_id").agg(joined_chunks(fmt).alias("text"), *[F.max(c).alias(c) for c in carry])
 
 
+def season_completions(series: DataFrame, fmt: TextFormat = FMT) -> DataFrame:
+    """Every week of every series as a text to be read: sample s holds the steps of season s."""
+    rows = encode(fitted(series), fmt).withColumn("sample_id", F.floor(F.col("i") / SEASON).cast("int"))
+    return rows.groupBy("series_id", "sample_id").agg(joined_chunks(fmt).alias("text"))
+
+
 def rule_responses(series: DataFrame, fmt: TextFormat = FMT2, context: int = CONTEXT_TOKENS) -> DataFrame:
     """Prompt plus held-out steps as one scored text per series, with the training and validation lengths."""
     train = F.col("split") == "train"

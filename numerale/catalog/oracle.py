@@ -167,6 +167,9 @@ samples AS (
   SELECT series_id, sample_id, step, z * scale + "offset" AS x
   FROM decoded JOIN horizons USING (series_id) JOIN scal USING (series_id) WHERE step < horizon)"""
 
+#: Every week as part of a text: a season per sample.
+SEASONS = "analog AS (SELECT series_id, i // 52 AS sample_id, i % 52 AS step, chunk FROM chunked),\nnumbered AS" + ANALOG.split("numbered AS", 1)[1]
+
 TRUTH = "truth AS (SELECT series_id, i - (n - 30) AS step, y FROM series WHERE i >= n - 30)"
 
 WIDE = """moved AS (
@@ -580,10 +583,11 @@ LEFT JOIN model m ON m.series_id = o.series_id AND m.p2 = o.p2 AND m.p1 = o.p1 A
 LEFT JOIN totals t ON t.series_id = o.series_id AND t.p2 = o.p2 AND t.p1 = o.p1
 LEFT JOIN odd e ON e.series_id = o.series_id AND e.p2 = o.p2 AND e.p1 = o.p1"""
 
-    sql["decode_split"] = f"{a2} SELECT series_id, sample_id, step, chunk FROM done"
-    sql["decode_values"] = f"""{a2}
+    b2, b3 = f"{c2},\n{SEASONS}", f"{c3},\n{SEASONS}"
+    sql["decode_split"] = f"{b2} SELECT series_id, sample_id, step, chunk FROM done"
+    sql["decode_values"] = f"""{b2}
 SELECT series_id, sample_id, step, round(z, 6) AS z, z IS NULL AS malformed FROM decoded"""
-    sql["decode_malformed"] = f"{a3} SELECT series_id, sample_id, steps, usable FROM sized"
+    sql["decode_malformed"] = f"{b3} SELECT series_id, sample_id, steps, usable FROM sized"
     sql["rescale_roundtrip"] = f"""{S2},
 b AS (SELECT series_id, greatest(quantile_cont(abs(y), 0.95), 0.01) AS scale FROM series WHERE y IS NOT NULL GROUP BY 1),
 zed AS (SELECT s.*, scale, y / scale AS z FROM series s JOIN b USING (series_id)),

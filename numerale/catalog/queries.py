@@ -21,6 +21,7 @@ from numerale.catalog.inputs import (
     s2,
     s3,
     scalers_of,
+    season_completions,
     truth_of,
 )
 from numerale.functions import ensure_terminated, week_end
@@ -484,13 +485,13 @@ def sample_completions(spark, sf):
 
 @query
 def decode_split(spark, sf):
-    rows = textnum.split_completion(analog_completions(s2(spark, sf)), FMT)
+    rows = textnum.split_completion(season_completions(s2(spark, sf)), FMT)
     return rows.select("series_id", long("sample_id").alias("sample_id"), long("step").alias("step"), "chunk")
 
 
 @query
 def decode_values(spark, sf):
-    rows = textnum.decode_steps(textnum.split_completion(analog_completions(s2(spark, sf)), FMT), FMT)
+    rows = textnum.decode_steps(textnum.split_completion(season_completions(s2(spark, sf)), FMT), FMT)
     return rows.select(
         "series_id", long("sample_id").alias("sample_id"), long("step").alias("step"), r6("z").alias("z"), "malformed"
     )
@@ -498,7 +499,7 @@ def decode_values(spark, sf):
 
 @query
 def decode_malformed(spark, sf):
-    decoded = textnum.decode_completions(analog_completions(s3(spark, sf)), FMT)
+    decoded = textnum.decode_completions(season_completions(s3(spark, sf)), FMT)
     return decoded.select(
         "series_id", long("sample_id").alias("sample_id"),
         long(F.size("zs")).alias("steps"), long("usable").alias("usable"),
