@@ -32,6 +32,7 @@ from numerale.llm.common import free_name, quoted, schema_of, small_batches, tex
 
 PASSAGE = 64
 SAMPLE = 4000
+LEARN_PASSAGES = 128  # of one document, spread evenly over it; scoring reads all
 ENCODED = 24
 ATTENTION = 12
 THRESHOLD = 0.3
@@ -151,7 +152,8 @@ def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 15,
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents, one of each id."""
+    """Fit on at most ``sample`` labelled documents, one of each id, and ``LEARN_PASSAGES`` passages of each: what
+    reaches the driver is bounded, however long the texts are."""
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
     chosen = chosen.agg(F.max(F.col(label_col).cast("int")).alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
@@ -165,7 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             made = []
             for key, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
                 x, n = describe([text])
-                made.append((str(key), label, int(n[0]), x.astype(np.float32).tobytes()))
+                x = x[np.unique(np.linspace(0, n[0] - 1, min(n[0], LEARN_PASSAGES)).astype(int))]
+                made.append((str(key), label, len(x), x.astype(np.float32).tobytes()))
             columns = list(zip(*made)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 

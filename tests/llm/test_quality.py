@@ -77,3 +77,16 @@ def test_defined_cases(spark, odd, none, model_and_data):
     assert learn(odd, labels.where("false")).score(*describe([b"x"]))[0] == 0.5
     one = spark.createDataFrame([(1, 1), (1, 0), (None, 0), (7, None), (99, 0)], "doc_id long, quality int")
     assert learn(odd, one).score(*describe([b"x"]))[0] == 1.0  # the largest of several labels; nothing else to learn from
+
+
+def test_a_long_document_teaches_with_some_of_its_passages(spark, monkeypatch):
+    from numerale.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, sizes, labels: seen.append((x, sizes, labels)))
+    words = quality.PASSAGE * quality.LEARN_PASSAGES * 5
+    docs = spark.createDataFrame([(1, "word " * words), (2, "short text"), (3, "a b " * 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    quality.learn(docs, labels)
+    x, sizes, marks = seen[0]
+    assert sizes.tolist() == [quality.LEARN_PASSAGES, 1, 2] and len(x) == sizes.sum() and marks.tolist() == [1, 0, 1]
