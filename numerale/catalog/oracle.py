@@ -661,6 +661,7 @@ SELECT s.series_id, CAST(s.pid AS BIGINT) AS pid, coalesce(a.prompt, '') AS prom
 FROM scal s JOIN lens USING (series_id) LEFT JOIN asked a USING (series_id, pid) LEFT JOIN fit f USING (series_id, pid)"""
     sql["grid_scores"] = f"{S1},\n{SCORES} SELECT {SCORE_COLUMNS}, status FROM scores"
     sql["grid_scores_gaps"] = f"{S3},\n{SCORES} SELECT {SCORE_COLUMNS}, status FROM scores"
+    sql["grid_scores_spread"] = sql["grid_scores_gaps"]
     sql["best_params"] = f"""{S1},\n{SCORES}
 SELECT {SCORE_COLUMNS} FROM (
   SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY nlld, pid) AS place FROM scores WHERE nlld IS NOT NULL)

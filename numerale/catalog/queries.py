@@ -705,6 +705,12 @@ def grid_scores_gaps(spark, sf):
     return _rounded(tuning.evaluate_grid(s3(spark, sf), _points(), FMT))
 
 
+@query
+def grid_scores_spread(spark, sf):
+    """The same, with the grid's rows dealt out before text is made of them."""
+    return _rounded(tuning.evaluate_grid(s3(spark, sf), _points(), FMT, spread=2 * spark.sparkContext.defaultParallelism))
+
+
 @query
 def grid_scores_landed(spark, sf):
     """The grid scored from landed answers; a point without an answer keeps its row."""

@@ -39,13 +39,19 @@ def for_grid(fmt: TextFormat, grid: Sequence[dict]) -> TextFormat:
 
 
 def scoring_rows(
-    series: DataFrame, grid: Sequence[dict], fmt: TextFormat, val_steps: int, context: int, multiplier: float
+    series: DataFrame, grid: Sequence[dict], fmt: TextFormat, val_steps: int, context: int, multiplier: float, spread: int | None = None
 ) -> DataFrame:
-    """Chunks of every grid point: the training steps the budget leaves, then the validation steps."""
+    """Chunks of every grid point: the training steps the budget leaves, then the validation steps.
+
+    ``spread`` deals the rows of a grid of several points to so many partitions by series and point, before text is
+    made of them: one shuffle of small rows more, for a session whose partitions are merged by size alone.
+    """
     require_columns(series, "series_id", "i", "n", "y")
     train = F.col("split") == "train"
     marked = split_holdout(series, val_steps).withColumn("n_val", F.least(F.col("n"), F.lit(val_steps)))
     rows = attach_grid_scalers(marked, grid, fit_on=train)
+    if spread and len(grid) > 1:
+        rows = rows.hint("rebalance", spread, "series_id", "pid")
     chunks = marked_chunks(rows, for_grid(fmt, grid), True, val_steps, context, multiplier, within=train)
     return chunks.withColumn("train", train)
 
@@ -112,6 +118,7 @@ def evaluate_grid(
     val_steps: int = VAL_STEPS,
     context: int = CONTEXT_TOKENS,
     multiplier: float = STEP_MULTIPLIER,
+    spread: int | None = None,
 ) -> DataFrame:
     """``scores(series_id, pid, alpha, beta, prec, temp, nlld, status)`` under the offline model.
 
@@ -129,11 +136,11 @@ def evaluate_grid(
         alike.setdefault((p["alpha"], p["beta"], p["prec"]), []).append(p)
     if len(alike) < len(grid):
         distinct = [{**points[0], "pid": k} for k, points in enumerate(alike.values())]
-        scores = evaluate_grid(series, distinct, fmt, val_steps, context, multiplier)
+        scores = evaluate_grid(series, distinct, fmt, val_steps, context, multiplier, spread)
         own = F.array(*[F.array(*[F.struct(F.lit(p["pid"]).alias("pid"), F.lit(float(p["temp"])).alias("temp")) for p in points]) for points in alike.values()])
         fanned = scores.select("*", F.explode(F.element_at(own, F.col("pid") + 1)).alias("_t"))
         return fanned.select("series_id", "_t.pid", "alpha", "beta", "prec", "_t.temp", "nlld", "status")
-    chunks = scoring_rows(series, grid, fmt, val_steps, context, multiplier)
+    chunks = scoring_rows(series, grid, fmt, val_steps, context, multiplier, spread)
     kept = chunks.where((F.col("i") >= F.col("cut")) | ~F.col("train"))
     lines = code_lines(kept.select("series_id", "pid", "i", "chunk", "scale", "cut", "n_val", "train"), fmt)
     at = F.col("_at")

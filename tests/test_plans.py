@@ -43,6 +43,11 @@ def test_branches_share_the_scan(spark, sf, name):
     assert plan.count("orders.parquet") == 1
 
 
+def test_a_wide_grid_is_dealt_out_where_asked_for(spark, tiny):
+    plan = final_plan_of(QUERIES["grid_scores_spread"](spark, tiny))
+    assert len(re.findall(r"Exchange hashpartitioning\(series_id#\w+, pid#\w+, \d+\), REBALANCE", plan)) == 1
+
+
 def test_scan_reads_three_columns(spark, tiny):
     plan = plan_of(QUERIES["weekly_spine"](spark, tiny))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
