@@ -204,6 +204,32 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     return draw.like(value) + draw.like("0" * extra)
 
 
+def normal_form(kind: str, value: str) -> str:
+    """What a value is whatever way it is written: separators and the case of addresses do not count."""
+    if kind == "email":
+        return value.lower()
+    if kind == "card":
+        return re.sub(r"\D", "", value)
+    if kind == "account":
+        return value.replace(" ", "")
+    if kind == "phone":
+        country = re.match(r"\+\d{1,3}(?!\d)", value)
+        kept = country[0] if country else ""
+        return f"{kept} " * bool(kept) + re.sub(r"\D", "", value[len(kept) :])
+    return value
+
+
+def written_like(kind: str, value: str, made: str) -> str:
+    """A surrogate of a normal form, written the way ``value`` is."""
+    if kind == "email":
+        return "".join(c.upper() if value[k : k + 1].isupper() else c for k, c in enumerate(made))
+    if kind not in ("card", "account", "phone"):
+        return made
+    left = [c for c in made if c.isalnum()]
+    out = [left.pop(0) if c.isalnum() and left else c for c in value]
+    return "".join(out + left)
+
+
 SPANS = "id long, mark long, start int, stop int, kind string, value string"
 
 
@@ -224,7 +250,27 @@ def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def surrogates(values: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value): distinct surrogates, none of them a value of its kind."""
+    """(kind, value, surrogate) for distinct (kind, value): distinct surrogates, none of them a value of its kind.
+
+    Surrogates are drawn for normal forms, so that a value keeps its surrogate in every way of writing it.
+    """
+
+    @F.arrow_udf("string")
+    def normal(kind: pa.Array, value: pa.Array) -> pa.Array:
+        return pa.array(list(map(normal_form, kind.to_pylist(), value.to_pylist())), pa.string())
+
+    @F.arrow_udf("string")
+    def written(kind: pa.Array, value: pa.Array, made: pa.Array) -> pa.Array:
+        return pa.array(list(map(written_like, kind.to_pylist(), value.to_pylist(), made.to_pylist())), pa.string())
+
+    forms = stored(values.select("kind", "value", normal("kind", "value").alias("form")), "pii-forms")
+    made = drawn_surrogates(forms.select("kind", F.col("form").alias("value")).distinct(), key)
+    made = made.select("kind", F.col("value").alias("form"), F.col("surrogate").alias("made"))
+    return forms.join(made, ["kind", "form"]).select("kind", "value", written("kind", "value", "made").alias("surrogate"))
+
+
+def drawn_surrogates(values: DataFrame, key: bytes) -> DataFrame:
+    """``surrogates`` of distinct normal forms."""
 
     @F.arrow_udf("string")
     def draw(kind: pa.Array, value: pa.Array, attempt: pa.Array) -> pa.Array:

@@ -81,3 +81,21 @@ def test_defined_cases(spark, odd, none):
     rows = [r for r in pseudonymized(same, KEY).collect() if r.doc_id == 8]
     assert len(rows) == 3 and len({r.text for r in rows}) == 1 and rows[0].n_replaced == 2
     assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now 漢😀 \d+\.\d+\.\d+\.\d+!", rows[0].text)
+
+
+def test_one_value_in_every_way_of_writing_it(spark):
+    from numerale.llm.pii import normal_form, written_like
+
+    card = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"]
+    mail = ["Ann.Lee@X.com", "ann.lee@x.com", "ANN.LEE@x.com"]
+    phone = ["+1 (569) 555-6633", "+1 569 555 6633", "+1-569-555-6633"]
+    account = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]
+    values = [("card", v) for v in card] + [("email", v) for v in mail] + [("phone", v) for v in phone] + [("account", v) for v in account]
+    rows = {r.value: r for r in surrogates(spark.createDataFrame(values, "kind string, value string"), KEY).collect()}
+    assert len(rows) == len(values)
+    for kind, group in (("card", card), ("email", mail), ("phone", phone), ("account", account)):
+        made = [rows[v].surrogate for v in group]
+        assert len({normal_form(kind, m) for m in made}) == 1 and all(len(m) == len(v) for m, v in zip(made, group))
+        for v, m in zip(group, made):
+            assert [c for c in m if not c.isalnum()] == [c for c in v if not c.isalnum()] and [c.isupper() for c in m] == [c.isupper() for c in v]
+    assert written_like("card", "1 2", "345") == "3 45"
