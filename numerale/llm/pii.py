@@ -10,7 +10,9 @@ Replacement: a surrogate is drawn from HMAC-SHA256 of (type, value, attempt) und
 secret key.  It keeps the value's form: letters stay letters of their case, digits
 digits, separators where they were; card and account numbers get right check digits,
 octets stay in range and private networks private; names keep gender (by the title),
-script and capitals.  Equal values get equal surrogates in all documents.
+script and capitals.  Equal values get equal surrogates in all documents: surrogates are drawn for a
+normal form (a card's digits, an address in lower case, an account without blanks, a phone number's country and
+digits) and written the way each value is.
 
 Collisions: the distinct values of the corpus are one table.  A surrogate that is an
 original value of its type, or that another value got, is drawn again with the next
