@@ -12,8 +12,9 @@ from each of its words on.  A passage of an item thus offers a window for every
 ``stride`` words, each compared with the part of the item that begins there.  A walk
 reads a window only as far as its steps go, so a window needs no copy of the text.
 Items shorter than ``steps + stride`` words would offer too few; while there are such
-items, windows start more often (at every word if need be), and items too short for an edit (their words times
-``max_edits`` below one) are found as exact phrases.
+items, windows start more often (at every word if need be).  The walks read ``steps`` steps, about half as many words, so
+they tell items of ``SHORT`` words and more.  Shorter ones are found exactly: of one more pieces than an
+item may have edits, at least one stands in the text as it is, and the pieces of all items lie in one table by their hash.
 
 Every candidate is verified: the item's edit distance, in words, to the best
 stretch of the document around the window, must be at most ``max_edits`` of the
@@ -45,6 +46,7 @@ BLOCK_BYTES = 16 << 20
 STEPS = 12
 SAMPLED = 8
 STRIDE = 4
+SHORT = 8
 
 FOUND = "doc_id long, item_id long, distance int, item_words int, similarity double, first_word long, last_word long"
 
@@ -97,16 +99,23 @@ class Index:
         self.items = [(i, [self.ids[w] for w in words]) for i, words in split]
         self.words = [frozenset(w) for _, w in self.items]
         self.max_edits, self.steps, self.sampled = max_edits, steps, sampled
-        long = [k for k, (_, w) in enumerate(self.items) if int(max_edits * len(w) + 1e-9)]
-        self.phrases: dict[int, list[int]] = {}
-        for k, (_, w) in enumerate(self.items):
-            if not int(max_edits * len(w) + 1e-9):
-                self.phrases.setdefault(len(w), []).append(k)
+        long = [k for k, (_, w) in enumerate(self.items) if len(w) >= SHORT]
         shortest = min((len(self.items[k][1]) for k in long), default=steps + stride)
         self.stride = max(1, min(stride, shortest - steps))
         rng = np.random.default_rng(seed)
         n = len(vocabulary) + 1
         self.code = rng.integers(1, 1 << 63, n, np.int64).astype(np.uint64)
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (_, w) in enumerate(self.items):
+            if len(w) < SHORT:
+                cuts = np.linspace(0, len(w), min(len(w), int(max_edits * len(w) + 1e-9) + 1) + 1).astype(int).tolist()
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    pieces.setdefault(b - a, []).append((int(self.hashes(np.array(w[a:b]), b - a)[0]), k, a))
+        #: By length: the hashes of the pieces in order, and item and place of each.
+        self.pieces = {}
+        for size, rows in pieces.items():
+            rows.sort()
+            self.pieces[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64))
         self.walks = []
         for _ in range(repeats if long else 0):
             bits = rng.integers(0, 2, (steps, n)).astype(np.int64)
@@ -125,6 +134,15 @@ class Index:
             order = np.argsort(keys, kind="stable")
             self.walks.append((bits, picks, keys[order], owner[order]))
 
+    def hashes(self, symbols: np.ndarray, n: int) -> np.ndarray:
+        """A hash of every n words in a row."""
+        code = self.code[symbols]
+        out = np.zeros(max(0, len(symbols) - n + 1), np.uint64)
+        for k in range(n):
+            out = (out ^ code[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
     def keys(self, symbols: np.ndarray, starts: np.ndarray, bits: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The key of each window, and which windows are left: one that samples a word of no item can't match."""
         at, live = starts, np.arange(len(starts))
@@ -161,6 +179,15 @@ class Index:
             hit = np.repeat(np.arange(len(n)), n)
             place = owner[lo[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)]
             candidates.append(np.stack([place[:, 0], starts[live[hit]] - place[:, 1], starts[live[hit]]], 1))
+        for n, (known, owner) in self.pieces.items():
+            here = np.flatnonzero(symbols)  # a piece has words of items only
+            here = here[here + n <= len(symbols)]
+            mine = self.hashes(symbols, n)[here]
+            lo = np.searchsorted(known, mine, "left")
+            times = np.searchsorted(known, mine, "right") - lo
+            hit = np.repeat(np.arange(len(here)), times)
+            place = owner[lo[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times)]
+            candidates.append(np.stack([place[:, 0], here[hit] - place[:, 1], here[hit]], 1))
         candidates = np.concatenate(candidates) if candidates else np.zeros((0, 3), np.int64)
         _, one = np.unique(candidates[:, :2], axis=0, return_index=True)
         candidates = candidates[np.sort(one)]
@@ -178,15 +205,6 @@ class Index:
             distance, end = best_stretch(item, stretch)
             if distance <= allowed and distance < found.get((t, k), (allowed + 1,))[0]:
                 found[t, k] = (distance, max(a, a + end - len(item)), a + end)
-        for n, owners in self.phrases.items():
-            if len(symbols) < n:
-                continue
-            windows = np.lib.stride_tricks.sliding_window_view(symbols, n)
-            for k in owners:
-                hits = np.flatnonzero((windows == self.items[k][1]).all(axis=1))
-                for t in np.unique(np.searchsorted(base, hits, "right") - 1):
-                    p = int(hits[np.searchsorted(hits, base[t])] - base[t])
-                    found[int(t), k] = (0, p, p + n)
         return found
 
 

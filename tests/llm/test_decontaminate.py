@@ -93,3 +93,35 @@ def test_odd_rows(spark, odd, none):
 
 def test_repeats_follow_the_recall():
     assert repeats_for(0.5, 0.2) < repeats_for(0.95, 0.2) < repeats_for(0.99, 0.3)
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 60])
+def test_recall_at_the_full_number_of_edits(words):
+    from numerale.llm.decontaminate import SHORT, Index
+
+    rng = random.Random(words)
+    edits, trials = int(0.2 * words + 1e-9), 200
+    items = [(k, " ".join(word(rng) + str(k) for _ in range(words)).encode()) for k in range(trials)]
+    index = Index(items, repeats_for(0.95, 0.2), 0.2, 12, 8, 4, 1)
+    texts = []
+    for _, text in items:
+        passage = text.decode().split()
+        for _ in range(edits):
+            at = rng.randrange(len(passage))
+            passage[at : at + rng.randint(0, 1)] = [word(rng)] * rng.randint(0, 1)
+        around = [[word(rng) for _ in range(rng.randint(0, 30))] for _ in range(2)]
+        texts.append(" ".join([*around[0], *passage, *around[1]]).encode())
+    found = index.search([index.known(t) for t in texts])
+    assert all(t == k for t, k in found)  # words of one item stand in no other
+    assert len(found) >= (trials if words < SHORT else 0.95 * trials)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=1, max_size=7), min_size=1, max_size=4), st.lists(st.sampled_from("abcde"), max_size=25))
+def test_short_items_are_found_exactly(items, text):
+    from numerale.llm.decontaminate import Index
+
+    index = Index([(k, " ".join(w).encode()) for k, w in enumerate(items)], 1, 0.2, 12, 8, 4, 1)
+    found = index.search([index.known(" ".join(text).encode())])
+    best = {k: plain_best(w, text) for k, w in enumerate(items)}
+    assert {k: d[0] for (_, k), d in found.items()} == {k: d for k, d in best.items() if d <= int(0.2 * len(items[k]) + 1e-9)}
