@@ -22,7 +22,7 @@ item's words (one minus a similarity of 0.8).
 
 The items are a stated query set against all documents.  They are read in blocks
 of at most ``BLOCK_BYTES`` of text by expectation, however many there are; the
-documents are scanned once per block and never shuffled.
+documents are scanned once per block and never shuffled; neither the driver nor a task holds more than one block.
 
 Defined cases: null and empty texts and items match nothing; a repeated item id
 counts once, by its best match; rows that repeat a document id are reported each;
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerale.llm.common import schema_of, small_batches, texts_of
+from numerale.llm.common import new_path, quoted, schema_of, small_batches, stored, texts_of, whole_row
 
 BLOCK_BYTES = 16 << 20
 STEPS = 12
@@ -219,19 +219,21 @@ def indexes(
     sampled: int = SAMPLED,
     stride: int = STRIDE,
     seed: int = 1,
-) -> list[Callable[[], Index]]:
-    """For each block of items, what makes its index in a task."""
+) -> tuple[int, Iterator[Callable[[], Index]]]:
+    """The number of blocks of items, and one by one what makes a block's index in a task: a block is read when it is asked for."""
     small_batches(spark)
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     repeats = repeats_for(recall, max_edits, steps)
-    made = []
-    for block in range(blocks):
-        mine = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        pairs = [(r.i, r.t.encode()) for r in mine.collect()]  # bounded: one block of items
-        made.append(partial(Index, pairs, repeats, max_edits, steps, sampled, stride, seed))
-    return made
+
+    def each() -> Iterator[Callable[[], Index]]:
+        for block in range(blocks):
+            mine = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
+            pairs = [(r.i, r.t.encode()) for r in mine.collect()]  # bounded: one block of items
+            yield partial(Index, pairs, repeats, max_edits, steps, sampled, stride, seed)
+
+    return blocks, each()
 
 
 def contaminated(
@@ -243,9 +245,11 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and item it holds: distance, similarity and the words where the best match lies."""
     out = schema_of(FOUND)
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long"), text_col)
-    result = None
-    for make in indexes(docs.sparkSession, items, **options):
+    blocks, makes = indexes(spark, items, **options)
+    path = new_path(spark, "contaminated")
+    for make in makes:
 
         def run(batches: Iterator[pa.RecordBatch], make=make) -> Iterator[pa.RecordBatch]:
             index = make()
@@ -262,8 +266,10 @@ def contaminated(
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
         part = texts.mapInArrow(run, FOUND)
-        result = part if result is None else result.unionByName(part)
-    return result
+        if blocks == 1:
+            return part
+        part.write.mode("append").parquet(path)  # neither the driver nor a task holds more than one block
+    return spark.read.schema(FOUND).parquet(path)
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -289,6 +295,14 @@ def clean(make: Callable[[], Index], text: Column) -> Column:
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose text holds an item, whatever their ids: each row is decided on by itself."""
-    for make in indexes(docs.sparkSession, items, **options):
-        docs = docs.where(clean(make, F.col(text_col)))
-    return docs
+    spark = docs.sparkSession
+    blocks, makes = indexes(spark, items, **options)
+    if blocks == 1:
+        return docs.where(clean(next(makes), F.col(quoted(text_col))))
+    rows = docs.select(whole_row(docs).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = stored(rows, "decontaminate-rows")  # the key of a row is fixed by this table
+    path = new_path(spark, "contaminated")
+    for make in makes:
+        rows.where(~clean(make, F.col("doc")[text_col])).select("row").write.mode("append").parquet(path)
+    gone = spark.read.schema("row long").parquet(path).distinct()
+    return rows.join(gone, "row", "left_anti").select("doc.*")

@@ -125,3 +125,20 @@ def test_short_items_are_found_exactly(items, text):
     found = index.search([index.known(" ".join(text).encode())])
     best = {k: plain_best(w, text) for k, w in enumerate(items)}
     assert {k: d[0] for (_, k), d in found.items()} == {k: d for k, d in best.items() if d <= int(0.2 * len(items[k]) + 1e-9)}
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    from numerale.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    items = [(k, f"item number {k} alpha{k} beta{k} gamma{k}") for k in range(12)]
+    docs = [(k % 5, f"x{k} y item number {k} alpha{k} beta{k} gamma{k} z", "a") for k in range(0, 30, 2)] + [(None, None, "b"), (None, "clean", "c")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, row string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    blocks, makes = decontaminate.indexes(spark, asked)
+    sizes = [len(make().items) for make in makes]
+    assert blocks > 5 and sum(sizes) == 12 and max(sizes) < 6
+    assert sorted(r.item_id for r in contaminated(frame, asked).collect()) == [0, 2, 4, 6, 8, 10]
+    left = decontaminate.keep_clean(frame, asked)
+    assert left.columns == frame.columns
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in frame.collect() if not (r.text or "").startswith(("x0 ", "x2 ", "x4 ", "x6 ", "x8 ", "x10 ")))
