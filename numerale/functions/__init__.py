@@ -6,6 +6,7 @@ from numerale.functions.digits import (
     decimal_digits,
     decode_chunk,
     ensure_terminated,
+    greedy_digits,
     overflows,
     signed_chunk,
     spaced_digits,
@@ -19,6 +20,6 @@ from numerale.functions.digits import (
 
 __all__ = [
     "bound_once", "by_key", "key_columns", "newest_first", "require_columns", "week_end", "decimal_digits", "decode_chunk", "ensure_terminated",
-    "overflows", "signed_chunk", "spaced_digits", "split_chunks", "token_array", "token_codes", "token_count",
+    "greedy_digits", "overflows", "signed_chunk", "spaced_digits", "split_chunks", "token_array", "token_codes", "token_count",
     "token_of_code", "with_greedy_digits",
 ]

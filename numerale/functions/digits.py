@@ -97,6 +97,31 @@ def with_greedy_digits(df: DataFrame, col: str, fmt: TextFormat, prec: Column |
     return rows.select(*df.columns, spaced.alias("_spaced"))
 
 
+def greedy_digits(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:
+    """The digits of ``with_greedy_digits`` as one expression, for values inside arrays."""
+    base = float(fmt.base)
+    places = fmt.prec if prec is None else prec if isinstance(prec, int) else fmt.max_prec
+    powers = [base**k for k in range(fmt.int_digits - 1, -1, -1)] + [base**-k for k in range(1, places + 1)]
+    positions = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(power).alias("power")) for k, power in enumerate(powers)])
+
+    def position(state: Column, p: Column) -> Column:
+        def cut(digit: Column) -> Column:
+            piece = F.concat(F.lit(fmt.bit_sep), F.when(p["k"] == 0, _whole(digit)).otherwise(digit.cast("bigint").cast("string")))
+            if isinstance(prec, Column):
+                piece = F.when((p["k"] < fmt.int_digits) | (prec > p["k"] - fmt.int_digits), piece).otherwise(F.lit(""))
+            return F.struct((state["rest"] - digit * p["power"]).alias("rest"), F.concat(state["text"], piece).alias("text"))
+
+        return bound_once(state["rest"] / p["power"], lambda ratio: bound_once(ratio - ratio % 1.0, cut))
+
+    begin = F.struct(_size(z).alias("rest"), F.lit("").alias("text"))
+    zeros = f"^(?:{_quoted(fmt.bit_sep + '0')})+(?={_quoted(fmt.bit_sep) if fmt.bit_sep else '.'})"
+    spaced = F.regexp_replace(F.aggregate(positions, begin, position)["text"], zeros, "")
+    if isinstance(prec, Column):
+        beyond = F.raise_error(F.lit(f"prec exceeds max_prec={places} of the text format")).cast("string")
+        spaced = F.when(prec > places, beyond).otherwise(spaced)
+    return spaced
+
+
 def spaced_digits(z: Column | str, fmt: TextFormat, prec: Column | int | None = None) -> Column:
     """Decimal digits of ``|z|``, each led by ``bit_sep``."""
     return F.concat(F.lit(fmt.bit_sep), F.array_join(F.split(decimal_digits(z, fmt, prec), ""), fmt.bit_sep))

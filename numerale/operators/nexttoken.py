@@ -139,6 +139,41 @@ def context_tokens(chunk_rows: DataFrame, fmt: TextFormat) -> DataFrame:
     )
 
 
+def step_codes(steps: Column | str, fmt: TextFormat) -> Column:
+    """The text of an array of steps (``chunk``) as one character per token (``fmt.codes``)."""
+    return F.array_join(F.transform(steps, lambda s: token_codes(s["chunk"], fmt)), "")
+
+
+def code_places(codes: Column, letters: str) -> Column:
+    """Place of each character in ``letters``, from 0; -1 for any other."""
+    places = F.transform(F.split(codes, ""), lambda c: F.instr(F.lit(letters), c) - 1)
+    return F.when(F.length(codes) > 0, places).otherwise(F.array().cast("array<int>"))
+
+
+def context_cells(places: str, size: int) -> Column:
+    """For each token its place in a table of (token two before, token before, token); -1 without two tokens before it."""
+
+    def cell(tok: Column, k: Column) -> Column:
+        before = F.get(places, k - 2) * size + F.get(places, k - 1)
+        return F.when(k >= ORDER, before * size + tok).otherwise(-1)
+
+    return F.transform(places, cell)
+
+
+def count_between(rows: DataFrame, cells: str, marks: str, into: str) -> DataFrame:
+    """Add ``into``: for each of the sorted ``marks`` but the last, how many ``cells`` lie from it to before the next.
+
+    Both are arrays of whole numbers in the row.  They are sorted together, each mark before the cells equal to
+    it, so that no cell is looked up and no row leaves its place.
+    """
+    both = F.sort_array(F.concat(F.transform(cells, lambda c: c * 2 + 1), F.transform(marks, lambda m: m * 2)))
+    rows = rows.withColumn("_both", both)
+    at = F.filter(F.sequence(F.lit(0), F.size("_both") - 1), lambda k: F.get("_both", k) % 2 == 0)
+    rows = rows.withColumn("_at", F.when(F.size("_both") > 0, at).otherwise(F.array().cast("array<int>")))
+    later = F.slice("_at", F.lit(2), F.greatest(F.size("_at") - 1, F.lit(0)))
+    return rows.withColumn(into, F.transform(later, lambda p, k: p - F.get("_at", k) - 1)).drop("_both", "_at")
+
+
 def fit_next_token(contexts: DataFrame, counted: Column | None = None) -> DataFrame:
     """Counts of each token after each pair of tokens: ``(…, p2, p1, tok, c)``.
 
@@ -225,6 +260,34 @@ def sampling_tables(model: DataFrame, fmt: TextFormat) -> DataFrame:
     return by_context.groupBy(*keys).agg(table.alias("_m")).select(*keys, dense.alias("counts"))
 
 
+def text_tables(texts: DataFrame, fmt: TextFormat) -> DataFrame:
+    """``sampling_tables`` of the model that ``fit_next_token`` finds in ``codes``, a text per row (``step_codes``).
+
+    A text without a token to learn from has no ``counts``.  Counted inside the row: no row per token is made, and what a task holds does not grow with the number of series.
+    """
+    keys = key_columns(texts)
+    size = len(fmt.vocabulary)
+    allowed = [k for k, t in enumerate(fmt.vocabulary) if t in fmt.allowed_tokens()]
+    rows = texts.select(*keys, code_places(F.col("codes"), "".join(fmt.codes[t] for t in fmt.vocabulary)).alias("_t"))
+
+    def cells(tok: Column, k: Column) -> Column:
+        context = F.get("_t", k - 2) * size + F.get("_t", k - 1)
+        # under its context, and under the last entry, token counts alone
+        counted = F.array(F.when(context >= 0, context * size + tok), F.lit(size**3) + tok)
+        return F.when((k >= ORDER) & tok.isin(allowed), counted).otherwise(F.array().cast("array<int>"))
+
+    rows = rows.select(*keys, F.array_compact(F.flatten(F.transform("_t", cells))).alias("_cells"))
+    rows = rows.withColumn("_marks", F.sequence(F.lit(0), F.lit((size * size + 1) * size)))
+    rows = count_between(rows, "_cells", "_marks", "_counts")
+
+    def entry(counts: Column, k: Column) -> Column:
+        return bound_once(F.slice(counts, k * size + 1, F.lit(size)), lambda own: F.when(F.array_max(own) > 0, own))
+
+    dense = bound_once(F.col("_counts"), lambda counts: F.transform(F.sequence(F.lit(0), F.lit(size * size)), lambda k: entry(counts, k)))
+    # not a filter: pushed down, it would make the text again for every token
+    return rows.select(*keys, F.when(F.size("_cells") > 0, dense).alias("counts"))
+
+
 def _cumulative(counts: Column, temperature: Column) -> Column:
     """Cumulative weights per context; weight = (count / highest count) ^ (1 / temperature)."""
 
@@ -251,7 +314,14 @@ def _cumulative(counts: Column, temperature: Column) -> Column:
 def sample_completions(
     model: DataFrame, requests: DataFrame, fmt: TextFormat, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Draw the requested number of texts of ``max_tokens`` tokens: ``(…, sample_id, text)``.
+    """Draw the requested number of texts of ``max_tokens`` tokens: ``(…, sample_id, text)``; see ``draw_completions``."""
+    return draw_completions(sampling_tables(model, fmt), requests, fmt, carry)
+
+
+def draw_completions(
+    tables: DataFrame, requests: DataFrame, fmt: TextFormat, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Draw from ``sampling_tables`` or ``text_tables`` the requested number of texts: ``(…, sample_id, text)``.
 
     The draws of a sample come from a generator that starts at a hash of (series, sample, seed), so
     the result does not depend on partitioning, is the same when a task is run again, and any engine
@@ -267,7 +337,7 @@ def sample_completions(
     last_chunk = F.try_element_at(F.split("prompt", f"\\Q{fmt.time_sep}\\E", -1), F.lit(-2))
     tail = F.slice(token_array(last_chunk, fmt), -ORDER, ORDER)
     ready = (
-        requests.join(sampling_tables(model, fmt), keys, "left")
+        requests.join(tables, keys, "left")
         .withColumn("status", F.when((F.col("status") == "ok") & F.col("counts").isNull(), "no_model").otherwise(F.col("status")))
         .withColumn("cum", F.when(F.col("status") == "ok", _cumulative(F.col("counts"), F.col("temperature"))))
         .withColumn("ctx", _token_index(F.get(tail, F.lit(0)), fmt) * size + _token_index(F.get(tail, F.lit(1)), fmt))

@@ -140,6 +140,38 @@ def attach_grid_scalers(
             "_quantiles": F.percentile(y, F.array(*map(F.lit, alphas))).over(own),
         }
     )
+    return _with_points(stats, series.columns, grid, alphas, best)
+
+
+def pack_grid_scalers(
+    series: DataFrame,
+    grid: Sequence[dict],
+    fit_on: Column | None = None,
+    best: DataFrame | None = None,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """The rows of ``attach_grid_scalers`` as one row per series and grid point, with its steps as an array.
+
+    ``steps`` holds (i, y, fit) in step order, ``fit`` says whether the scaler has seen the step.  The steps are
+    gathered before the grid multiplies them, so that no sort or shuffle holds more than the series itself; a
+    series is bounded by the calendar.  ``carry`` names columns that are constant within a series.
+    """
+    require_columns(series, "series_id", "i", "y", *carry)
+    fit = F.lit(True) if fit_on is None else F.coalesce(fit_on, F.lit(False))
+    y = F.col("y") if fit_on is None else F.when(fit_on, F.col("y"))
+    alphas = sorted({p["alpha"] for p in grid})
+    packed = series.groupBy("series_id").agg(
+        F.sort_array(F.collect_list(F.struct("i", "y", fit.alias("fit")))).alias("steps"),
+        F.min(y).alias("_low"),
+        F.max(y).alias("_high"),
+        F.percentile(y, F.array(*map(F.lit, alphas))).alias("_quantiles"),
+        *[F.max(c).alias(c) for c in carry],
+    )
+    return _with_points(packed, ["series_id", "steps", *carry], grid, alphas, best)
+
+
+def _with_points(stats: DataFrame, columns: Sequence[str], grid: Sequence[dict], alphas: Sequence[float], best: DataFrame | None) -> DataFrame:
+    """Rows with ``_low``, ``_high`` and ``_quantiles`` (of ``alphas``), once per grid point or with the best one."""
     if best is None:
         rows = stats.select("*", F.explode(grid_literal(grid)).alias("_p"))
     else:
@@ -150,7 +182,7 @@ def attach_grid_scalers(
     rank = F.element_at(F.array(*[F.lit(alphas.index(p["alpha"])) for p in grid]), F.col("_p.pid") + 1)
     offset = advanced_offset(F.col("_low"), F.col("_high"), F.col("_p.beta"))
     return rows.select(
-        *series.columns,
+        *columns,
         "_p.*",
         offset.alias("offset"),
         nonzero(F.get("_quantiles", rank) - offset).alias("scale"),

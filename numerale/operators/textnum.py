@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from numerale.functions import (
+    bound_once,
     decimal_digits,
     decode_chunk,
+    greedy_digits,
     key_columns,
     overflows,
     require_columns,
@@ -61,6 +63,17 @@ def chunks(df: DataFrame, fmt: TextFormat, col: str = "z") -> DataFrame:
     return df.withColumn("chunk", signed_chunk(col, spaced_digits(col, fmt, prec_of(df)), fmt))
 
 
+def chunk_of(y: Column, fmt: TextFormat, prec: Column | None = None) -> Column:
+    """The text of one step as an expression, for values inside arrays: ``encode`` with the row's offset and scale."""
+    spaced = greedy_digits if fmt.digit_mode == "greedy" else spaced_digits
+    return bound_once(scaled(y), lambda z: signed_chunk(z, spaced(z, fmt, prec), fmt))
+
+
+def kept_text(steps: Column | str, fmt: TextFormat) -> Column:
+    """The text of an array of steps in order, each chunk followed by the separator."""
+    return F.array_join(F.transform(steps, lambda s: F.concat(s["chunk"], F.lit(fmt.time_sep))), "")
+
+
 def joined_chunks(fmt: TextFormat, kept: Column | None = None) -> Column:
     """Aggregate: the chunks of a group in step order, each followed by the separator.
 

@@ -9,13 +9,13 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numerale.functions import key_columns, require_columns
+from numerale.functions import bound_once, key_columns, require_columns
 from numerale.operators.calendar import split_holdout
 from numerale.operators.likelihood import bin_correction, score
-from numerale.operators.nexttoken import ORDER, code_lines, code_position, smoothed_logprob
-from numerale.operators.scaling import attach_grid_scalers, grid_literal
-from numerale.plans.prepare import marked_chunks
-from numerale.operators.textnum import joined_chunks
+from numerale.operators.nexttoken import ORDER, code_places, context_cells, count_between, smoothed_logprob, step_codes
+from numerale.operators.scaling import grid_literal, pack_grid_scalers
+from numerale.operators.textnum import kept_text
+from numerale.plans.prepare import pack_marked_chunks
 from numerale.settings import CONTEXT_TOKENS, REQUEST_SEED, STEP_MULTIPLIER, TextFormat
 
 # The grid searched and the length of the validation part.
@@ -38,22 +38,36 @@ def for_grid(fmt: TextFormat, grid: Sequence[dict]) -> TextFormat:
     return replace(fmt, max_prec=max(p["prec"] for p in grid))
 
 
-def scoring_rows(
+def scoring_texts(
     series: DataFrame, grid: Sequence[dict], fmt: TextFormat, val_steps: int, context: int, multiplier: float, spread: int | None = None
 ) -> DataFrame:
-    """Chunks of every grid point: the training steps the budget leaves, then the validation steps.
+    """One row per series and grid point: ``steps`` (i, fit, chunk, n_tok) and the ``cut``; ``fit`` marks the training steps.
 
     ``spread`` deals the rows of a grid of several points to so many partitions by series and point, before text is
-    made of them: one shuffle of small rows more, for a session whose partitions are merged by size alone.
+    made of them: one shuffle more, for a session whose partitions are merged by size alone.
     """
     require_columns(series, "series_id", "i", "n", "y")
-    train = F.col("split") == "train"
     marked = split_holdout(series, val_steps).withColumn("n_val", F.least(F.col("n"), F.lit(val_steps)))
-    rows = attach_grid_scalers(marked, grid, fit_on=train)
+    rows = pack_grid_scalers(marked, grid, fit_on=F.col("split") == "train", carry=("n_val",))
     if spread and len(grid) > 1:
         rows = rows.hint("rebalance", spread, "series_id", "pid")
-    chunks = marked_chunks(rows, for_grid(fmt, grid), True, val_steps, context, multiplier, within=train)
-    return chunks.withColumn("train", train)
+    return pack_marked_chunks(rows, for_grid(fmt, grid), val_steps, context, multiplier, within="fit")
+
+
+def scoring_rows(
+    series: DataFrame, grid: Sequence[dict], fmt: TextFormat, val_steps: int, context: int, multiplier: float, spread: int | None = None
+) -> DataFrame:
+    """Chunks of every grid point, one row per step: the training steps the budget leaves, then the validation steps."""
+    texts = scoring_texts(series, grid, fmt, val_steps, context, multiplier, spread)
+    rows = texts.select(*[c for c in texts.columns if c != "steps"], F.inline("steps")).withColumnRenamed("fit", "train")
+    return rows.withColumn("split", F.when(F.col("train"), "train").otherwise("val"))
+
+
+def _kept_steps(train: bool) -> Column:
+    """The steps of a scored text: of the training part those the budget leaves, of the validation part all."""
+    if not train:
+        return F.filter("steps", lambda s: ~s["fit"])
+    return bound_once(F.col("cut"), lambda cut: F.filter("steps", lambda s: s["fit"] & (s["i"] >= cut)))
 
 
 def scoring_requests(
@@ -73,15 +87,19 @@ def scoring_requests(
     ``n_train`` and ``n_val`` say where the scored part begins and how long it is.
     Series that cannot be asked for keep their row, with a status.
     """
-    rows = scoring_rows(series, grid, fmt, val_steps, context, multiplier)
-    kept = (F.col("i") >= F.col("cut")) | ~F.col("train")
-    out = rows.groupBy("series_id", "pid").agg(
-        joined_chunks(fmt, kept).alias("prompt"),
-        F.count_if(kept & F.col("train")).alias("n_train"),
-        F.max("n_val").cast("bigint").alias("n_val"),
-        F.max("scale").alias("scale"),
-        F.max("cut").alias("_cut"),
-        F.max("temp").alias("temperature"),
+    texts = scoring_texts(series, grid, fmt, val_steps, context, multiplier)
+    rows = texts.select(
+        "series_id", "pid", "n_val", "scale", "cut", "temp", _kept_steps(True).alias("_train"), _kept_steps(False).alias("_val")
+    )
+    out = rows.select(
+        "series_id",
+        "pid",
+        F.concat(kept_text("_train", fmt), kept_text("_val", fmt)).alias("prompt"),
+        F.size("_train").cast("bigint").alias("n_train"),
+        F.col("n_val").cast("bigint").alias("n_val"),
+        "scale",
+        F.col("cut").alias("_cut"),
+        F.col("temp").alias("temperature"),
     )
     status = F.when(F.col("scale").isNull(), "no_training_part").when(F.col("_cut").isNull(), "does_not_fit").otherwise("ok")
     return out.select(
@@ -126,7 +144,8 @@ def evaluate_grid(
     runs over distinct contexts: how often each token follows a context in the
     training text and in the validation text is all the likelihood needs.
     After the series has been laid out by ``series_id`` no further shuffle is
-    needed, and the counting is hash aggregation without a sort.
+    needed.  The steps of a series are gathered before the grid multiplies them; text and counts of a point are
+    made inside its row, and one row per context of the validation text is summed.
 
     The temperature does not change log-probabilities: points that differ in it
     only are scored once.
@@ -140,32 +159,39 @@ def evaluate_grid(
         own = F.array(*[F.array(*[F.struct(F.lit(p["pid"]).alias("pid"), F.lit(float(p["temp"])).alias("temp")) for p in points]) for points in alike.values()])
         fanned = scores.select("*", F.explode(F.element_at(own, F.col("pid") + 1)).alias("_t"))
         return fanned.select("series_id", "_t.pid", "alpha", "beta", "prec", "_t.temp", "nlld", "status")
-    chunks = scoring_rows(series, grid, fmt, val_steps, context, multiplier, spread)
-    kept = chunks.where((F.col("i") >= F.col("cut")) | ~F.col("train"))
-    lines = code_lines(kept.select("series_id", "pid", "i", "chunk", "scale", "cut", "n_val", "train"), fmt)
-    at = F.col("_at")
-    first = F.greatest(at - ORDER, F.lit(1))
-    tok, context = F.substring("line", at, F.lit(1)), F.substring("line", first, at - first)
-    # the same for all tokens of a key: carried, not computed
-    carried = [F.max(c).alias(c) for c in ("scale", "cut", "n_val")]
-    words, codes = [*fmt.codes, "?"], [*fmt.codes.values(), "?"]
-    pairs = (
-        lines.select("*", code_position().alias("_at"))
-        .groupBy("series_id", "pid", context.alias("context"), tok.alias("tok"))
-        .agg(F.count_if("train").alias("c"), F.count_if(~F.col("train")).alias("v"), *carried)
-        # tokens without a full context are scored but not learned from
-        .withColumn("c", F.when(F.length("context") == ORDER, F.col("c")).otherwise(0))
-    )
-    counts = (
-        pairs.groupBy("series_id", "pid", "context")
-        .agg(
-            *[F.sum(F.when(F.col("tok") == x, F.col("c")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(codes)],
-            *[F.sum(F.when(F.col("tok") == x, F.col("v")).otherwise(0)).alias(f"v{k}") for k, x in enumerate(codes)],
-            F.sum("c").alias("seen"),
-            F.sum("v").alias("scored"),
-            *carried,
-        )
-        .where((F.col("scored") > 0) | F.col("cut").isNull())
+    words = [*fmt.codes, "?"]
+    size = len(words)
+    # the same for all contexts of a key: carried, not computed
+    names = ["series_id", "pid", "scale", "cut", "n_val"]
+    carried = [F.max(c).alias(c) for c in names[2:]]
+    texts = scoring_texts(series, grid, fmt, val_steps, context, multiplier, spread)
+    codes = texts.select(*names, step_codes(_kept_steps(True), fmt).alias("_train"), step_codes(_kept_steps(False), fmt).alias("_val"))
+    letters = "".join(fmt.codes.values()) + "?"
+    lines = codes.select(*names, F.length("_train").alias("_n"), code_places(F.concat("_train", "_val"), letters).alias("_t"))
+    cells = lines.select(*names, "_n", context_cells("_t", size).alias("_cells"))
+    # tokens without a full context are only there without a training text, and then there is no score
+    learned = F.slice("_cells", F.lit(ORDER + 1), F.greatest(F.col("_n") - ORDER, F.lit(0)))
+    asked = F.filter(F.slice("_cells", F.col("_n") + 1, F.size("_cells")), lambda c: c >= 0)
+    cells = cells.select(*names, learned.alias("_learned"), asked.alias("_asked"))
+    contexts = F.sort_array(F.array_distinct(F.transform("_asked", lambda c: ((c - c % size) / size).cast("int"))))
+    cells = cells.withColumn("_contexts", contexts)
+    # every token after a context, and where the last one ends
+    marks = F.flatten(F.transform("_contexts", lambda k: F.sequence(k * size, k * size + size)))
+    cells = cells.withColumn("_marks", marks)
+    cells = count_between(count_between(cells, "_learned", "_marks", "_c"), "_asked", "_marks", "_v")
+
+    def counted(c: Column, v: Column) -> Column:
+        def own(x: Column, k: Column) -> Column:
+            return F.slice(x, k * (size + 1) + 1, F.lit(size))
+
+        return F.transform("_contexts", lambda _, k: F.struct(own(c, k).alias("c"), own(v, k).alias("v")))
+
+    each = bound_once(F.struct("_c", "_v"), lambda x: counted(x["_c"], x["_v"]))
+    counts = cells.select(*names, F.explode_outer(each).alias("_x")).select(
+        *names,
+        *[F.get(f"_x.{x}", F.lit(k)).alias(f"{x}{k}") for x in ("c", "v") for k in range(size)],
+        F.aggregate("_x.c", F.lit(0), lambda a, b: a + b).alias("seen"),
+        F.aggregate("_x.v", F.lit(0), lambda a, b: a + b).alias("scored"),
     )
     rest = 1.0 - _disallowed_mass(fmt, words)
     surprise = [

@@ -251,3 +251,27 @@ def test_forecast_from_landed_completions(spark, sf):
         low = s.lo - 0.15 * (s.hi - s.lo)
         assert (r.step, r.yhat) == (0, pytest.approx(1.505 * (s.q - low) + low))
     assert len(rows) == 5
+
+
+@pytest.mark.parametrize("fmt", [FMT, TextFormat(prec=2, base=3, digit_mode="greedy")])
+def test_chunks_inside_arrays_are_those_of_rows(spark, fmt):
+    values = [None, 0.0, -0.0, 1.23, -7.999, 123456.7, 1e9, -1e19, 0.5, 2.0]
+    rows = [("a", i, y, 1.0, 0.5 if i % 2 else 3.0, i % 3) for i, y in enumerate(values)]
+    df = spark.createDataFrame(rows, "series_id string, i int, y double, offset double, scale double, prec int")
+    want = {r.i: r.chunk for r in textnum.encode(df, fmt).collect()}
+    inside = df.select("i", F.element_at(F.transform(F.array("y"), lambda y: textnum.chunk_of(y, fmt, F.col("prec"))), 1).alias("chunk"))
+    assert {r.i: r.chunk for r in inside.collect()} == want
+
+
+def test_tables_of_texts_are_those_of_the_model(spark, tiny):
+    """Counts made inside a row equal those of one row per token; a text too short to learn from has none."""
+    chunks = s3(spark, tiny).withColumns({"offset": F.lit(0.0), "scale": F.lit(100.0)})
+    chunks = textnum.encode(chunks, FMT).select("series_id", "i", "chunk")
+    short = spark.createDataFrame([(10**6, 0, " 1")], "series_id bigint, i int, chunk string")
+    chunks = chunks.select(F.col("series_id").cast("bigint"), "i", "chunk").unionByName(short)
+    model = nexttoken.fit_next_token(nexttoken.context_tokens(chunks, FMT))
+    want = {r.series_id: r.counts for r in nexttoken.sampling_tables(model, FMT).collect()}
+    steps = chunks.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("i", "chunk"))).alias("steps"))
+    texts = steps.select("series_id", nexttoken.step_codes("steps", FMT).alias("codes"))
+    got = {r.series_id: r.counts for r in nexttoken.text_tables(texts, FMT).collect()}
+    assert got.pop(10**6) is None and got == want and len(want) == 10

@@ -66,3 +66,18 @@ def test_scored_tokens_do_not_move(spark, tiny):
     kinds = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert all("p1" not in k and "p2" not in k for k in kinds)
     assert {re.sub(r"#\d+L?", "", k).rsplit(",", 1)[0] for k in kinds} <= {"series_id", "series_id, wk", "series_id, _groupingexpression"}
+
+
+def above_the_grid(plan):
+    """The steps of a plan that work on rows the grid has multiplied."""
+    lines = plan.splitlines()
+    grid = next(k for k, line in enumerate(lines) if re.search(r"Generate explode\(.*\[_p#", line))
+    return "\n".join(lines[:grid])
+
+
+@pytest.mark.parametrize("name", ["grid_scores_gaps"])
+def test_the_rows_of_a_grid_are_not_sorted(spark, tiny, name):
+    above = above_the_grid(final_plan_of(QUERIES[name](spark, tiny)))
+    assert "Window" not in above and "Sort" not in above
+    # only the scores of a point's contexts are summed: no token is a row
+    assert set(re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", above)) == set(re.findall(r"HashAggregate\(keys=\[(series_id#\w+, pid#\w+)\]", above))
