@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from numerale.functions import require_columns
+from numerale.functions import bound_once, require_columns
 from numerale.operators.metrics import clip_samples
-from numerale.operators.nexttoken import build_requests, context_tokens, fit_next_token, sample_completions
-from numerale.operators.budget import prompts
-from numerale.operators.scaling import attach_grid_scalers, unscaled
+from numerale.operators.nexttoken import build_requests, draw_completions, step_codes, text_tables
+from numerale.operators.budget import packed_prompts
+from numerale.operators.scaling import pack_grid_scalers, unscaled
 from numerale.operators.textnum import decode_completions
-from numerale.plans.prepare import marked_chunks
+from numerale.plans.prepare import pack_marked_chunks
 from numerale.plans.tuning import for_grid
 from numerale.settings import CONTEXT_TOKENS, STEP_MULTIPLIER, TextFormat
 
@@ -33,7 +33,7 @@ def request_rows(
     context: int = CONTEXT_TOKENS,
     multiplier: float = STEP_MULTIPLIER,
 ) -> DataFrame:
-    """Chunks of the whole series under each series' parameters, marked with the cut.
+    """One row per series: the chunks of the whole series (``steps``) under its own parameters, and the cut.
 
     The scaler sees only ``fit_on`` (the training part), the prompt all of
     ``series``.  With ``best(series_id, pid)`` every series uses its own grid
@@ -42,9 +42,9 @@ def request_rows(
     require_columns(series, "series_id", "i", "y")
     if best is None and len(grid) != 1:
         raise ValueError("a grid of several points needs the best point per series")
-    rows = attach_grid_scalers(series, grid, fit_on, best)
+    rows = pack_grid_scalers(series, grid, fit_on, best)
     # one grid point per series from here on: series_id alone is the key
-    return marked_chunks(rows.drop("pid"), for_grid(fmt, grid), True, n_steps, context, multiplier)
+    return pack_marked_chunks(rows.drop("pid"), for_grid(fmt, grid), n_steps, context, multiplier)
 
 
 def _samples(
@@ -60,14 +60,14 @@ def _samples(
     """``forecast_samples`` with the status, and a row without a step for each sample of a series that has no forecast."""
     marked = request_rows(series, fmt, grid, best, fit_on, n_steps)
     parameters = ("offset", "scale", "prec")
-    prepared = prompts(marked, fmt, (*parameters, "temp"))
+    prepared = packed_prompts(marked, fmt, (*parameters, "temp"))
     status = F.when(F.col("prec").isNull(), "no_usable_score").when(F.col("scale").isNull(), "no_training_part")
     prepared = prepared.withColumn("status", status.otherwise(F.col("status")))
     if completions is None:
-        kept = marked.where(F.col("i") >= F.col("cut")).select("series_id", "i", "chunk")
-        model = fit_next_token(context_tokens(kept, fmt))
+        kept = bound_once(F.col("cut"), lambda cut: F.filter("steps", lambda s: s["i"] >= cut))
+        model = text_tables(marked.select("series_id", step_codes(kept, fmt).alias("codes")), fmt)
         requests = build_requests(prepared, fmt, n_steps, F.col("temp"), n_samples, carry=parameters)
-        answers = sample_completions(model, requests, fmt, (*parameters, "status"))
+        answers = draw_completions(model, requests, fmt, (*parameters, "status"))
     else:
         answers = prepared.select("series_id", *parameters, "status").join(completions, "series_id", "left")
         missing = F.col("text").isNull() & (F.col("status") == "ok")

@@ -81,3 +81,8 @@ def test_the_rows_of_a_grid_are_not_sorted(spark, tiny, name):
     assert "Window" not in above and "Sort" not in above
     # only the scores of a point's contexts are summed: no token is a row
     assert set(re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", above)) == set(re.findall(r"HashAggregate\(keys=\[(series_id#\w+, pid#\w+)\]", above))
+
+
+def test_a_forecast_makes_no_row_per_token(spark, tiny):
+    plan = final_plan_of(QUERIES["forecast_status"](spark, tiny))
+    assert not re.search(r"HashAggregate\(keys=\[[^\]]*\btok#", plan) and "Generate explode(sequence((length" not in plan
