@@ -75,7 +75,7 @@ def above_the_grid(plan):
     return "\n".join(lines[:grid])
 
 
-@pytest.mark.parametrize("name", ["grid_scores_gaps", "grid_scores_spread"])
+@pytest.mark.parametrize("name", ["grid_scores_gaps", "grid_scores_spread", "scoring_requests"])
 def test_the_rows_of_a_grid_are_not_sorted(spark, tiny, name):
     above = above_the_grid(final_plan_of(QUERIES[name](spark, tiny)))
     assert "Window" not in above and "Sort" not in above
