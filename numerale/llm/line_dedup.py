@@ -49,7 +49,7 @@ MARK = "\x01"
 SLOTS, MOST_SLOTS, SLOTS_PER_KEY = 1 << 16, 1 << 25, 8
 #: Keys that have more than this share of all places are joined by broadcast: so many at most.
 HOT_KEYS = 10_000
-NEAR = 6  # lines that most stretches need
+NEAR = 6  # lines that most stretches need: looked at one by one, without a slice of the array
 SHORT = 5  # words; lines below this are selected only among themselves
 
 
@@ -76,15 +76,27 @@ def lines_of(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END, -1)).otherwise(F.split(marked, MARK, -1))
 
 
-def reach(words: str, i: str, counts: str = "nw") -> str:
-    """SQL: how many lines from line i on have ``words`` words together (by the array ``counts``); 0 if the text ends before."""
+def reach(words: int) -> str:
+    """SQL in ``transform(nw, (x, i) -> ...)``: how many lines from line i on have ``words`` words together; 0 if the text ends before.
 
-    sums = [" + ".join(f"get({counts}, {i} + {k})" for k in range(n + 1)) for n in range(NEAR)]
+    ``nw2`` and ``nw4`` hold the words of two and of four lines from each line on (null if the text ends before).
+    """
+    sums = ["x", "get(nw2, i)", "get(nw2, i) + get(nw, i + 2)", "get(nw4, i)", "get(nw4, i) + get(nw, i + 4)", "get(nw4, i) + get(nw2, i + 4)"]
     near = " ".join(f"WHEN {total} >= {words} THEN {n + 1}" for n, total in enumerate(sums))
     # few texts need more: the state is words + lines * 2**32
     step = f"(s, x) -> if(s % 4294967296 >= {words}, s, s + x + 4294967296)"
-    far = f"aggregate(slice({counts}, {i} + 1, {words}), 0L, {step}, s -> if(s % 4294967296 >= {words}, int(s div 4294967296), 0))"
-    return f"(CASE {near} ELSE {far} END)"
+    far = f"aggregate(slice(nw, i + 1, {words}), 0L, {step}, s -> if(s % 4294967296 >= {words}, int(s div 4294967296), 0))"
+    return f"CASE {near} ELSE {far} END"
+
+
+def least_print() -> str:
+    """SQL in ``transform(w, (n, i) -> ...)``: the smallest fingerprint of the n lines from line i on; null for none.
+
+    ``k2`` and ``k4`` hold the smallest of two and of four lines from each line on.
+    """
+    near = ["get(k, i)", "get(k2, i)", "least(get(k2, i), get(k2, i + 1))", "get(k4, i)", "least(get(k4, i), get(k4, i + 1))", "least(get(k4, i), get(k4, i + 2))"]
+    near = " ".join(f"WHEN {n + 1} THEN {x}" for n, x in enumerate(near))
+    return f"CASE n WHEN 0 THEN null {near} ELSE array_min(slice(k, i + 1, n)) END"
 
 
 def print_of(i: str) -> str:
@@ -107,15 +119,20 @@ def line_table(rows: DataFrame, min_words: int) -> DataFrame:
         "th",
         F.transform("u", lambda u: F.xxhash64(u)).alias("h"),
         # no more than a run needs: a line counts at most min_words words
-        F.transform("u", lambda u: F.least(F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + 1, F.lit(min_words))).alias("nw"),
+        F.transform("u", lambda u: F.least(F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1, F.lit(min_words))).alias("nw"),
     )
-    every = "sequence(0, size(nw) - 1)"
-    rows = rows.withColumns({"w": F.expr(f"transform({every}, i -> {reach(str(min_words), 'i')})"), "k": F.expr(f"transform({every}, i -> {print_of('i')})")})
+    rows = rows.withColumn("k", F.expr(f"transform(h, (x, i) -> {print_of('i')})"))
+    for of, n in (("", 1), ("2", 2)):  # of one line and the next, then of two and the next two
+        words, prints = f"x + get(nw{of}, i + {n})", f"least(x, get(k{of}, i + {n}))"
+        rows = rows.withColumns({f"nw{2 * n}": F.expr(f"transform(nw{of}, (x, i) -> {words})"), f"k{2 * n}": F.expr(f"transform(k{of}, (x, i) -> {prints})")})
+    rows = rows.withColumn("w", F.expr(f"transform(nw, (x, i) -> {reach(min_words)})"))
     # where the smallest fingerprint of the stretch from line i on is: the first of equal ones; from line to line it never goes back
-    least = "i + array_position(slice(k, i + 1, n), array_min(slice(k, i + 1, n))) - 1"
-    rows = rows.withColumn("p", F.expr(f"transform(w, (n, i) -> if(n > 0 and size(w) = size(k), int({least}), -1))"))
+    rows = rows.withColumn("m", F.expr(f"transform(w, (n, i) -> {least_print()})"))
+    at = " ".join(f"WHEN get(k, i + {n}) = x THEN i + {n}" for n in range(NEAR))
+    at = f"CASE WHEN x is null THEN -1 {at} ELSE int(i + array_position(slice(k, i + 1, get(w, i)), x) - 1) END"
+    rows = rows.withColumn("p", F.expr(f"transform(m, (x, i) -> {at})"))
     once = "filter(p, (x, i) -> x >= 0 and (i = 0 or p[i - 1] != x))"
-    places = F.expr(f"array_sort(transform({once}, x -> struct(if(size(k) > x, k[x], null) as f, x as p)))")
+    places = F.expr(f"sort_array(transform({once}, x -> struct(get(k, x) as f, x as p)))")
     rows = rows.select("id", "row", "th", "h", "nw", "w", places.alias("s"))
     steps = "array_distinct(filter(transform(s, (x, i) -> if(i > 0 and s[i - 1].f = x.f, x.p - s[i - 1].p, null)), x -> x is not null))"
     return rows.withColumn("steps", F.expr(steps))

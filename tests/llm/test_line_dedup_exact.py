@@ -126,3 +126,23 @@ def test_columns_of_the_user(spark):
     assert out.columns == ["doc_id", "text", *NAMES, "lines_removed_"]
     for r in out.collect():
         assert list(r)[2:-1] == [f"{n}{r.doc_id}" for n in NAMES] and (r["lines_removed_"] > 0) == (r.doc_id > 0)
+
+
+@pytest.mark.parametrize("min_words", [1, 4, 25, 60])
+def test_winnowing_of_texts(spark, min_words):
+    from numerale.llm.line_dedup import line_table
+
+    rng = random.Random(11)
+    own = [sentence(rng, n) for n in (1, 2, 3, 5, 9, 30)]
+    texts = [" ".join(rng.choices(own, k=rng.randint(1, 40))) for _ in range(60)] + ["a. " * 70, "\n".join("b" * 9), "é, ü. x\ty"]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "id long, row long, text string")
+    table = line_table(rows, min_words)
+    for r in table.collect():
+        size = len(r.h)
+        least = [min((n for n in range(1, size - i + 1) if sum(r.nw[i : i + n]) >= min_words), default=0) for i in range(size)]
+        key = [h & (2**63 - 1) if n < 5 else h | -(2**63) for h, n in zip(r.h, r.nw)]
+        places = {min(range(i, i + n), key=lambda k: (key[k], k)) for i, n in enumerate(least) if n}
+        assert r.w == least and [tuple(x) for x in r.s] == sorted((key[p], p) for p in places)
+    # nothing is ordered by an interpreted comparison, and the sums of words are made once per line
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "nw4" in plan
