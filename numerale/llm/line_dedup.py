@@ -49,7 +49,7 @@ MARK = "\x01"
 SLOTS, MOST_SLOTS, SLOTS_PER_KEY = 1 << 16, 1 << 25, 8
 #: Keys that have more than this share of all places are joined by broadcast: so many at most.
 HOT_KEYS = 10_000
-NEAR = 6  # lines that most stretches need: looked at one by one, without a slice of the array
+NEAR = 32  # lines that stretches of the usual length need at most: looked at one by one, without a slice of the array
 SHORT = 5  # words; lines below this are selected only among themselves
 
 
@@ -76,32 +76,48 @@ def lines_of(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END, -1)).otherwise(F.split(marked, MARK, -1))
 
 
+def blocks(min_words: int) -> list[int]:
+    """Numbers of lines (powers of two) whose words and smallest fingerprint are made once per line: a stretch has ``min_words`` lines at most."""
+    return [1 << n for n in range(max(min_words - 1, 4).bit_length())]
+
+
+def named(name: str, lines: int) -> str:
+    return name if lines == 1 else f"{name}{lines}"
+
+
 def reach(words: int) -> str:
     """SQL in ``transform(nw, (x, i) -> ...)``: how many lines from line i on have ``words`` words together; 0 if the text ends before.
 
-    ``nw2`` and ``nw4`` hold the words of two and of four lines from each line on (null if the text ends before).
+    ``nw2``, ``nw4``, ... hold the words of so many lines from each line on (null if the text ends before): halving
+    finds the number, whatever it is; null is as good as enough, and a number that passes the last of the ``lines`` is none.
     """
-    sums = ["x", "get(nw2, i)", "get(nw2, i) + get(nw, i + 2)", "get(nw4, i)", "get(nw4, i) + get(nw, i + 4)", "get(nw4, i) + get(nw2, i + 4)"]
-    near = " ".join(f"WHEN {total} >= {words} THEN {n + 1}" for n, total in enumerate(sums))
-    # few texts need more: the state is words + lines * 2**32
-    step = f"(s, x) -> if(s % 4294967296 >= {words}, s, s + x + 4294967296)"
-    far = f"aggregate(slice(nw, i + 1, {words}), 0L, {step}, s -> if(s % 4294967296 >= {words}, int(s div 4294967296), 0))"
-    return f"CASE {near} ELSE {far} END"
+
+    def search(low: int, high: int, before: str) -> str:  # more than low lines, high at most; before: the words of low lines
+        if high - low == 1:
+            return f"if(i + {high} > lines, 0, {high})"
+        half = 1 << ((high - low - 1).bit_length() - 1)
+        total = before + f"get({named('nw', half)}, i + {low})"
+        return f"if({total} < {words}, {search(low + half, high, total + ' + ')}, {search(low, low + half, before)})"
+
+    return search(0, max(words, 5), "")
 
 
-def least_print() -> str:
+def least_print(min_words: int) -> str:
     """SQL in ``transform(w, (n, i) -> ...)``: the smallest fingerprint of the n lines from line i on; null for none.
 
-    ``k2`` and ``k4`` hold the smallest of two and of four lines from each line on.
+    ``k2``, ``k4``, ... hold the smallest of so many lines from each line on; two of them that overlap hold that of n lines.
     """
-    near = ["get(k, i)", "get(k2, i)", "least(get(k2, i), get(k2, i + 1))", "get(k4, i)", "least(get(k4, i), get(k4, i + 1))", "least(get(k4, i), get(k4, i + 2))"]
-    near = " ".join(f"WHEN {n + 1} THEN {x}" for n, x in enumerate(near))
-    return f"CASE n WHEN 0 THEN null {near} ELSE array_min(slice(k, i + 1, n)) END"
+    *small, most = blocks(min_words)
+    least = f"least(get(k{most}, i), get(k{most}, i + n - {most}))"
+    for size in reversed(small):
+        k = named("k", size)
+        least = f"if(n < {2 * size}, least(get({k}, i), get({k}, i + n - {size})), {least})" if size > 1 else f"if(n < 2, get(k, i), {least})"
+    return f"if(n = 0, null, {least})"
 
 
-def print_of(i: str) -> str:
-    """SQL: the fingerprint of line i: its hash, negative for long lines, so that they come before short ones."""
-    return f"if(nw[{i}] < {SHORT}, h[{i}] & 9223372036854775807L, h[{i}] | -9223372036854775808L)"
+def print_of(h: str, nw: str) -> str:
+    """SQL: the fingerprint of a line: its hash, negative for long lines, so that they come before short ones."""
+    return f"if({nw} < {SHORT}, {h} & 9223372036854775807L, {h} | -9223372036854775808L)"
 
 
 def line_table(rows: DataFrame, min_words: int) -> DataFrame:
@@ -121,21 +137,23 @@ def line_table(rows: DataFrame, min_words: int) -> DataFrame:
         # no more than a run needs: a line counts at most min_words words
         F.transform("u", lambda u: F.least(F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1, F.lit(min_words))).alias("nw"),
     )
-    rows = rows.withColumn("k", F.expr(f"transform(h, (x, i) -> {print_of('i')})"))
-    for of, n in (("", 1), ("2", 2)):  # of one line and the next, then of two and the next two
-        words, prints = f"x + get(nw{of}, i + {n})", f"least(x, get(k{of}, i + {n}))"
-        rows = rows.withColumns({f"nw{2 * n}": F.expr(f"transform(nw{of}, (x, i) -> {words})"), f"k{2 * n}": F.expr(f"transform(k{of}, (x, i) -> {prints})")})
+    rows = rows.withColumns({"k": F.expr(f"zip_with(h, nw, (a, n) -> {print_of('a', 'n')})"), "lines": F.size("nw")})
+    for n in blocks(min_words)[:-1]:  # of n lines and the next n
+        nw, k = named("nw", n), named("k", n)
+        words, prints = f"zip_with({nw}, slice({nw}, {n + 1}, lines), (a, b) -> a + b)", f"zip_with({k}, slice({k}, {n + 1}, lines), (a, b) -> least(a, b))"
+        rows = rows.withColumns({f"nw{2 * n}": F.expr(words), f"k{2 * n}": F.expr(prints)})
     rows = rows.withColumn("w", F.expr(f"transform(nw, (x, i) -> {reach(min_words)})"))
-    # where the smallest fingerprint of the stretch from line i on is: the first of equal ones; from line to line it never goes back
-    rows = rows.withColumn("m", F.expr(f"transform(w, (n, i) -> {least_print()})"))
-    at = " ".join(f"WHEN get(k, i + {n}) = x THEN i + {n}" for n in range(NEAR))
-    at = f"CASE WHEN x is null THEN -1 {at} ELSE int(i + array_position(slice(k, i + 1, get(w, i)), x) - 1) END"
-    rows = rows.withColumn("p", F.expr(f"transform(m, (x, i) -> {at})"))
-    once = "filter(p, (x, i) -> x >= 0 and (i = 0 or p[i - 1] != x))"
+    # the smallest fingerprint of the stretch from line i on is at the first of equal ones; from line to line it never goes back, and
+    # it stays where it is if the one from the line before is equal and not in that line itself
+    rows = rows.withColumn("m", F.expr(f"transform(w, (n, i) -> {least_print(min_words)})"))
+    at = " ".join(f"WHEN get(k, i + {n}) = x THEN i + {n}" for n in range(min(min_words, NEAR)))
+    at = f"CASE {at} ELSE int(i + array_position(slice(k, i + 1, get(w, i)), x) - 1) END"
+    once = f"array_remove(transform(m, (x, i) -> if(x is null or (x = get(m, i - 1) and x != get(k, i - 1)), -1, {at})), -1)"
     places = F.expr(f"sort_array(transform({once}, x -> struct(get(k, x) as f, x as p)))")
     rows = rows.select("id", "row", "th", "h", "nw", "w", places.alias("s"))
     steps = "array_distinct(filter(transform(s, (x, i) -> if(i > 0 and s[i - 1].f = x.f, x.p - s[i - 1].p, null)), x -> x is not null))"
-    return rows.withColumn("steps", F.expr(steps))
+    # most texts hold each fingerprint once
+    return rows.withColumn("steps", F.expr(f"if(size(array_distinct(s.f)) = size(s), cast(array() as array<int>), {steps})"))
 
 
 def first_holders(places: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -156,23 +174,22 @@ def first_holders(places: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return at_hot.unionByName(rest.join(cold, key)), held
 
 
-def enough(a: str, b: str, min_words: int) -> str:
-    """SQL: whether the lines a to b have ``min_words`` words together; a line has one at least."""
-    lines = f"(({b}) - ({a}) + 1)"
-    return f"({lines} >= {min_words} or aggregate(slice(nw, ({a}) + 1, greatest({lines}, 0)), 0, (t, x) -> t + x) >= {min_words})"
+def enough(a: str, b: str) -> str:
+    """SQL: whether the lines a to b have ``min_words`` words together: the shortest stretch from a on ends with b or before."""
+    return f"(get(w, {a}) between 1 and ({b}) - ({a}) + 1)"
 
 
-def agreeing(shifts: str, other: str, min_words: int) -> str:
+def agreeing(shifts: str, other: str) -> str:
     """SQL: the runs (a, b) of lines that agree with the lines of ``other`` ``k`` before, for each shift k."""
     from_, to = "greatest(k, 0)", f"(least(size(h), size({other}) + k) - 1)"
     breaks = f"concat(array({from_} - 1), filter(sequence({from_}, {to}), i -> h[i] != {other}[i - k]), array({to} + 1))"
     runs = "transform(slice(z, 2, size(z) - 1), (e, j) -> struct(z[j] + 1 as a, e - 1 as b))"
-    runs = f"filter({runs}, r -> r.b >= r.a and {enough('r.a', 'r.b', min_words)})"
+    runs = f"filter({runs}, r -> r.b >= r.a and {enough('r.a', 'r.b')})"
     one = f"flatten(transform(array({breaks}), z -> {runs}))"
     return f"flatten(transform({shifts}, k -> if({from_} <= {to}, {one}, array())))"
 
 
-def paired_runs(lines: DataFrame, min_words: int) -> DataFrame:
+def paired_runs(lines: DataFrame) -> DataFrame:
     """(row, th, runs, open): the runs that agree with the first holder of a fingerprint or inside the text, and the
     places of fingerprints with three or more places that they do not cover."""
     # each fingerprint's first place in the text, and how often (up to three times) it is there
@@ -195,20 +212,21 @@ def paired_runs(lines: DataFrame, min_words: int) -> DataFrame:
     # a row that holds a fingerprint first is compared with itself only
     own = pairs.where("row = source").select("source", "row", "at", "ps", "again", F.lit(None).cast("array<bigint>").alias("sh"))
     found = other.select("source", "row", "at", "ps", "again", "sh").unionByName(own)
-    mine = flags(lines.select("row", "th", "h", "nw", "s", "steps"), "row", pairs).where("flag or size(steps) > 0").drop("flag")
+    mine = flags(lines.select("row", "th", "h", "nw", "w", "s", "steps"), "row", pairs).where("flag or size(steps) > 0").drop("flag")
     both = mine.join(found, "row", "left")
-    runs = F.when(F.col("sh").isNotNull(), F.expr(agreeing("at", "sh", min_words))).alias("runs")
-    each = both.select("row", "th", "h", "nw", "s", "steps", runs, "ps", "again")
+    runs = F.when(F.col("sh").isNotNull(), F.expr(agreeing("at", "sh"))).alias("runs")
+    each = both.select("row", "th", "h", "nw", "w", "s", "steps", runs, "ps", "again")
     each = each.groupBy("row").agg(
-        F.first("th").alias("th"), F.first("h").alias("h"), F.first("nw").alias("nw"), F.first("s").alias("s"), F.first("steps").alias("steps"),
+        F.first("th").alias("th"), F.first("h").alias("h"), F.first("nw").alias("nw"), F.first("w").alias("w"),
+        F.first("s").alias("s"), F.first("steps").alias("steps"),
         F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("ps")).alias("ps"), F.max("again").alias("again"),
     )
-    each = each.withColumn("runs", F.concat("runs", F.expr(agreeing("steps", "h", min_words))))
+    each = each.withColumn("runs", F.concat("runs", F.expr(agreeing("steps", "h"))))
     each = each.withColumn("ps", F.expr("if(again, transform(s, x -> x.p), ps)"))
-    before, after = enough("r.a", "p - 1", min_words), enough("p + 1", "r.b", min_words)
+    before, after = enough("r.a", "p - 1"), enough("p + 1", "r.b")
     covered = f"exists(runs, r -> r.a <= p and r.b >= p and (r.a = 0 or {before}) and (r.b = size(h) - 1 or {after}))"
     each = each.withColumn("open", F.expr(f"filter(ps, p -> not {covered})"))
-    prints = f"transform(open, p -> {print_of('p')})"
+    prints = f"transform(open, p -> {print_of('h[p]', 'nw[p]')})"
     return stored(each.select("row", "th", "runs", F.expr(prints).alias("open")), "lines-runs")
 
 
@@ -239,7 +257,7 @@ def other_runs(lines: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
 def repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
     """(row, th, runs), stored: the first and last lines of the runs of each row that stand earlier."""
     lines = stored(line_table(rows, min_words), "lines", "snappy")  # mostly hashes
-    found = paired_runs(lines, min_words)
+    found = paired_runs(lines)
     both = found.where("size(runs) > 0").select("row", "th", "runs").unionByName(other_runs(lines, found, min_words))
     both = both.groupBy("row").agg(F.first("th").alias("th"), F.flatten(F.collect_list("runs")).alias("runs"))
     gone = F.expr("array_distinct(flatten(transform(runs, r -> sequence(r.a, r.b))))")
