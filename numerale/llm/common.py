@@ -34,12 +34,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/numerale/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
     """The rows written to the shared folder and read back: a lost executor costs no work before this point."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).options(**(options or {})).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -85,11 +85,12 @@ def named(name: str, lines: int) -> str:
     return name if lines == 1 else f"{name}{lines}"
 
 
-def reach(words: int) -> str:
+def reach(words: int, most: int = 0) -> str:
     """SQL in ``transform(nw, (x, i) -> ...)``: how many lines from line i on have ``words`` words together; 0 if the text ends before.
 
     ``nw2``, ``nw4``, ... hold the words of so many lines from each line on (null if the text ends before): halving
-    finds the number, whatever it is; null is as good as enough, and a number that passes the last of the ``lines`` is none.
+    finds the number, whatever it is (``most`` at most, where this is known); null is as good as enough, and a number that
+    passes the last of the ``lines`` is none.
     """
 
     def search(low: int, high: int, before: str) -> str:  # more than low lines, high at most; before: the words of low lines
@@ -99,7 +100,7 @@ def reach(words: int) -> str:
         total = before + f"get({named('nw', half)}, i + {low})"
         return f"if({total} < {words}, {search(low + half, high, total + ' + ')}, {search(low, low + half, before)})"
 
-    return search(0, max(words, 5), "")
+    return search(0, most or max(words, 5), "")
 
 
 def least_print(min_words: int) -> str:
@@ -138,11 +139,19 @@ def line_table(rows: DataFrame, min_words: int) -> DataFrame:
         F.transform("u", lambda u: F.least(F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1, F.lit(min_words))).alias("nw"),
     )
     rows = rows.withColumns({"k": F.expr(f"zip_with(h, nw, (a, n) -> {print_of('a', 'n')})"), "lines": F.size("nw")})
-    for n in blocks(min_words)[:-1]:  # of n lines and the next n
-        nw, k = named("nw", n), named("k", n)
-        words, prints = f"zip_with({nw}, slice({nw}, {n + 1}, lines), (a, b) -> a + b)", f"zip_with({k}, slice({k}, {n + 1}, lines), (a, b) -> least(a, b))"
-        rows = rows.withColumns({f"nw{2 * n}": F.expr(words), f"k{2 * n}": F.expr(prints)})
-    rows = rows.withColumn("w", F.expr(f"transform(nw, (x, i) -> {reach(min_words)})"))
+    most = blocks(min_words)[-1]
+
+    def next_(name: str, n: int, both: str) -> str:  # of n lines and the next n
+        return f"zip_with({named(name, n)}, slice({named(name, n)}, {n + 1}, lines), (a, b) -> {both})"
+
+    for n in blocks(min_words)[:-1]:
+        # no line is looked up where n lines have half of the words anywhere in the text: none is as good as enough
+        sums = next_("nw", n, "a + b") if n < 4 else f"if(array_min({named('nw', n)}) * 2 >= {min_words}, cast(array() as array<int>), {next_('nw', n, 'a + b')})"
+        rows = rows.withColumn(f"nw{2 * n}", F.expr(sums))
+    shorter = f"if(size(nw{most}) = 0, transform(nw, (x, i) -> {reach(min_words, most)}), transform(nw, (x, i) -> {reach(min_words)}))"
+    rows = rows.withColumn("w", F.expr(shorter if most < max(min_words, 5) else f"transform(nw, (x, i) -> {reach(min_words)})"))
+    for n in blocks(min_words)[:-1]:
+        rows = rows.withColumn(f"k{2 * n}", F.expr(f"if(array_max(w) >= {2 * n}, {next_('k', n, 'least(a, b)')}, cast(array() as array<bigint>))"))
     # the smallest fingerprint of the stretch from line i on is at the first of equal ones; from line to line it never goes back, and
     # it stays where it is if the one from the line before is equal and not in that line itself
     rows = rows.withColumn("m", F.expr(f"transform(w, (n, i) -> {least_print(min_words)})"))
@@ -256,7 +265,9 @@ def other_runs(lines: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
     """(row, th, runs), stored: the first and last lines of the runs of each row that stand earlier."""
-    lines = stored(line_table(rows, min_words), "lines", "snappy")  # mostly hashes
+    # mostly hashes, of which a dictionary saves nothing
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("h.list.element", "s.list.element.f")}
+    lines = stored(line_table(rows, min_words), "lines", "snappy", plain)
     found = paired_runs(lines)
     both = found.where("size(runs) > 0").select("row", "th", "runs").unionByName(other_runs(lines, found, min_words))
     both = both.groupBy("row").agg(F.first("th").alias("th"), F.flatten(F.collect_list("runs")).alias("runs"))

@@ -146,3 +146,22 @@ def test_winnowing_of_texts(spark, min_words):
     # nothing is ordered by an interpreted comparison, and the sums of words are made once per line
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort" not in plan and "nw4" in plan
+
+
+@pytest.mark.parametrize("min_words", [8, 17, 25])
+def test_stretches_of_many_lines(spark, min_words):
+    from numerale.llm.line_dedup import line_table
+
+    rng = random.Random(12)
+    own = [sentence(rng, n) for n in (1, 1, 1, 1, 2, 6)]
+    texts = [rng.choice([" ", "\n", " \t", "\r\n "]).join(rng.choices(own[: rng.randint(1, 6)], k=rng.randint(1, 70))) for _ in range(60)]
+    table = line_table(spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "id long, row long, text string"), min_words)
+    for r in table.collect():
+        size = len(r.h)
+        words = [min(x.strip(" \t\r\n").count(" ") + 1, min_words) for x in cut(texts[r.id])]
+        least = [min((n for n in range(1, size - i + 1) if sum(words[i : i + n]) >= min_words), default=0) for i in range(size)]
+        key = [h & (2**63 - 1) if n < 5 else h | -(2**63) for h, n in zip(r.h, words)]
+        places = {min(range(i, i + n), key=lambda k: (key[k], k)) for i, n in enumerate(least) if n}
+        assert r.nw == words and r.w == least and [tuple(x) for x in r.s] == sorted((key[p], p) for p in places)
+    # the words of a stretch, however many lines it has, are not added up line by line
+    assert "aggregate(" not in table._jdf.queryExecution().optimizedPlan().toString()
